@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import repetition
+from . import decontaminate, line_dedup, mixing, near_dup, repetition, secrets, toxicity, url_filter, warc
 
-_MODULES = [repetition]
+_MODULES = [repetition, toxicity, warc, decontaminate, near_dup, line_dedup, mixing, url_filter, secrets]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
