@@ -25,6 +25,7 @@ from .common import WORD, lookup, staged
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BUCKET = 20_000  # documents rounded along one running sum
+SHIFTS = 32
 
 
 def text_size(text: Column) -> Column:
@@ -92,10 +93,14 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     x = x.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET))))
     run = Window.partitionBy("source", "_bucket").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("rate").over(run)
-    shift = F.pmod(F.xxhash64("source", "_bucket"), F.lit(1000)) / 1000.0
-    # sums of a rate that is whole stay whole, so a document at the cap never gets a copy more
-    grid = lambda c: F.floor(F.round(c + shift, 9))
-    copies = F.least(F.lit(cap), F.greatest(F.lit(0), grid(total) - grid(total - F.col("rate")))).cast("long")
+    x = staged(x.withColumn("_total", total).withColumn("_before", total - F.col("rate")))
+    # the running sums may start anywhere on a grid of SHIFTS; each source takes the start that comes nearest to its target
+    grid = lambda c, k: F.floor(F.round(c + (F.lit(k) if isinstance(k, int) else k) / SHIFTS, 9))  # noqa: E731  sums of whole rates stay whole
+    copies_at = lambda k: F.least(F.lit(cap), F.greatest(F.lit(0), grid(F.col("_total"), k) - grid(F.col("_before"), k))).cast("long")
+    tried = x.groupBy("source").agg(F.first("target").alias("t"), *[F.sum(copies_at(k) * F.col("size")).alias(f"k{k}") for k in range(SHIFTS)])
+    best = tried.select("source", F.array_min(F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("t")).alias("gap"), F.lit(k).alias("k")) for k in range(SHIFTS)]))["k"].alias("_k"))
+    x = lookup(x, best, ["source"], spread)
+    copies = copies_at(F.col("_k"))
     return x.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_c_{c}").alias(c) for c in carry if c not in ("doc_id", "source")])
 
 

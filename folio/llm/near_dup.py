@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("v", "head")
     fits = lambda x, y: (F.lit(100) * F.least(x, y)) >= (F.lit(threshold) * F.greatest(x, y))
     lists = staged(lists.join(heads, "v"))
-    star = lists.where((F.col("doc_id") <> F.col("head.doc_id")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = lists.where((F.col("doc_id") != F.col("head.doc_id")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = rows.join(reps.select(F.col("doc_id").alias("_id")).join(lists.select(F.col("doc_id").alias("_id")).distinct(), "_id"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     wanted = staged(wanted)
     stars = staged(_confirmed(star, reps, wanted, shingle, threshold))
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_lists = labelled.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
     m = staged(labelled.join(open_lists, "v"))
     x, y = m.toDF("v", "a", "na", "ca"), m.toDF("v", "b", "nb", "cb")
-    cross = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") <> F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    cross = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     cross = cross.join(star, ["a", "b"], "left_anti")
     links = stars.unionByName(_confirmed(cross, reps, wanted, shingle, threshold))
     # a document's node is its id; equal sets are linked with their representative
