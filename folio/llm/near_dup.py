@@ -134,9 +134,13 @@ def _listed(order, threshold: int):
     return run
 
 
-@F.pandas_udf("double")
-def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([estimate(np.asarray(x, np.int64).view(np.uint64), np.asarray(y, np.int64).view(np.uint64)) for x, y in zip(a, b)])
+def _estimate() -> Column:
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        values = lambda x: np.asarray(x, np.int64).view(np.uint64)
+        return pd.Series([estimate(values(x), values(y)) for x, y in zip(a, b)])
+
+    return run(F.col("_sa"), F.col("_sb"))
 
 
 def _verify(size: int, threshold: int) -> Column:
@@ -160,7 +164,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, t
     """Of pairs (a, b), those that are linked: by sizes and union sketches first, then on full sets."""
     side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"_s{s}"))
     rough = pairs.join(side("a"), "a").join(side("b"), "b")
-    rough = staged(rough.where(_estimate("_sa", "_sb") >= threshold / 100 - MARGIN).select("a", "b").distinct())
+    rough = staged(rough.where(_estimate() >= threshold / 100 - MARGIN).select("a", "b").distinct())
     text = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"_t{s}"))
     return rough.join(text("b"), "b").join(text("a"), "a").where(_verify(size, threshold)).select("a", "b").distinct()
 
