@@ -76,22 +76,20 @@ def balance(hist: DataFrame, goal: DataFrame, cap: float = CAP, tol: float = 1e-
     return state.select("source", "lam", "scale")
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, carry: list[str] = ()) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, rate, copies, taken and the columns of carry."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    if carry:
-        rows = staged(rows)  # else the texts would be read and counted twice
-    else:
-        rows = staged(rows.select("doc_id", "source", "size"))
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """One row per row of docs: doc_id, source, k1, k2 (hashes of id, source and text), size, source_size, target, rate, copies, taken."""
+    cols = [F.col(id_col), F.col(source_col), F.col(text_col)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), *_key(cols))
+    rows = staged(rows)
     hist = staged(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goal = staged(targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs")), weights, cap))
     lam = balance(hist, goal, cap)
     plan = goal.join(lam.withColumnRenamed("source", "_s"), goal.source.eqNullSafe(F.col("_s"))).select("source", "source_size", "target", "n_docs", "lam", "scale")
-    spread = F.struct(F.col("doc_id"), F.col("size"))
+    spread = F.col("k1")
     x = lookup(rows, plan, ["source"], spread)
     x = x.withColumn("rate", _rate(F.col("lam"), F.col("size"), F.col("scale"), cap))
-    x = x.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET))))
-    run = Window.partitionBy("source", "_bucket").orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_bucket", F.pmod(F.xxhash64("k1"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET))))
+    run = Window.partitionBy("source", "_bucket").orderBy("size", "doc_id", "k1", "k2").rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum("rate").over(run)
     x = staged(x.withColumn("_total", total).withColumn("_before", total - F.col("rate")))
     # the running sums may start anywhere on a grid of SHIFTS; each source takes the start that comes nearest to its target
@@ -101,7 +99,24 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     best = tried.select("source", F.array_min(F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("t")).alias("gap"), F.lit(k).alias("k")) for k in range(SHIFTS)]))["k"].alias("_k"))
     x = lookup(x, best, ["source"], spread)
     copies = copies_at(F.col("_k"))
-    return x.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_c_{c}").alias(c) for c in carry if c not in ("doc_id", "source")])
+    return x.withColumn("copies", copies).select("doc_id", "source", "k1", "k2", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _key(cols: list[Column]) -> list[Column]:
+    return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("second"), *cols).alias("k2")]
+
+
+def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **plan) -> DataFrame:
+    """docs with each row as often as the mix takes it, and a column copy (1, 2, ...). Rows not taken are left out.
+
+    Rows equal in id, source and text share their copies out among themselves. One shuffle carries the texts.
+    """
+    per_key = mix(docs, source_col, text_col, id_col, **plan).groupBy("k1", "k2").agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    keyed = docs.select("*", *[k.alias(f"_{n}") for k, n in zip(_key([F.col(id_col), F.col(source_col), F.col(text_col)]), ("k1", "k2"))])
+    x = keyed.join(per_key.where("_total > 0").withColumnsRenamed({"k1": "_p1", "k2": "_p2"}), (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")))
+    place = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_total"))
+    x = x.withColumn("_place", place).withColumn("_n", F.floor(F.col("_total") / F.col("_rows")) + (F.col("_place") <= F.col("_total") % F.col("_rows")).cast("int"))
+    return x.where("_n > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("copy"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lower_ascii, staged, words_of
@@ -204,6 +204,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """docs, all columns, with one document of each group: that with the smallest id. Rows with null ids all stay."""
+    found = staged(near_duplicates(docs, id_col, text_col, shingle, threshold).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")))
+    again = found.groupBy("_kept_id").count().where("count > 1").select("_kept_id")
+    single = docs.join(found.distinct(), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    if not again.isEmpty():  # ids that several rows have: one row of each stays, the first by its text
+        order = Window.partitionBy(id_col).orderBy(F.col(text_col), *[c for c in docs.columns if c not in (id_col, text_col)])
+        single = single.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    nulls = docs.where(F.col(id_col).isNull())
+    return single.unionByName(nulls)
+
+
 def op5_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
