@@ -55,14 +55,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with shortened texts, and two more columns: _n_lines and _n_removed."""
     bad = repeated_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_b_id"), F.col("text_hash").alias("_b_hash"), F.col("lines").alias("_b_lines"))
-    text = F.col(text_col)
-    x = docs.withColumn("_text_hash", F.xxhash64(text))
-    x = x.join(bad, F.col(id_col).eqNullSafe(F.col("_b_id")) & (F.col("_text_hash") == F.col("_b_hash")) & text.isNotNull(), "left")
-    kept = F.filter(F.transform(_lines(text), lambda l, i: F.when(~F.array_contains("_b_lines", i), l)), lambda l: l.isNotNull())
-    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(_lines(text)))
-    x = x.withColumn("_n_lines", n.cast("long")).withColumn("_n_removed", F.coalesce(F.size("_b_lines"), F.lit(0)).cast("long"))
-    new = F.when(F.col("_b_lines").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    return x.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns], "_n_lines", "_n_removed")
+    # the row travels as one struct, so that its columns' names can't clash with those used here
+    x = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
+    x = x.join(bad, F.col("id").eqNullSafe(F.col("_b_id")) & (F.col("h") == F.col("_b_hash")) & F.col("t").isNotNull(), "left")
+    kept = F.filter(F.transform(_lines(F.col("t")), lambda l, i: F.when(~F.array_contains("_b_lines", i), l)), lambda l: l.isNotNull())
+    n = F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("t"))))
+    new = F.when(F.col("_b_lines").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n"))
+    cols = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return x.select(*cols, n.cast("long").alias("_n_lines"), F.coalesce(F.size("_b_lines"), F.lit(0)).cast("long").alias("_n_removed"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
