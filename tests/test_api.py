@@ -67,3 +67,21 @@ def test_entry_without_the_corpus_operators(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'refs_by_tag' in q and not any(k.startswith('op1_') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", check=True, timeout=60)
+
+
+def test_command_line(tmp_path, capsys):
+    import pytest
+
+    from folio.__main__ import main
+
+    f = tmp_path / "a.txt"
+    f.write_text("+++\nt: 1\n+++\n= A\n#x <b\n% y", encoding="utf8")
+    assert main(["--html", str(f)]) == 0
+    assert capsys.readouterr().out == '<h1 id="a">A</h1><p><a href="/tags/x">#x</a> &#x3C;b % y</p>\n'
+    main(["--messages", str(f)])
+    assert capsys.readouterr().out.split("\n")[:2] == ["front matter 1-3: t: 1", "reference 0:tag:x"]
+    main(["--script", str(f)])
+    assert capsys.readouterr().out.startswith("const __out = []\n")
+    with pytest.raises(SystemExit) as e:
+        main(["--nothing"])
+    assert e.value.code == 2
