@@ -419,7 +419,7 @@ def pages_messages(spark, d):
 # --- inline --------------------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id AS source_id, unnest(regexp_extract_all(text, '[A-Za-z0-9.]+@[a-z0-9]+(?:\.[a-z]+)+')) AS address FROM documents")
+@query(r"SELECT doc_id AS source_id, unnest(regexp_extract_all(text, '[A-Za-z0-9.]+@[a-z0-9]+(?:\.[a-z$]+)+')) AS address FROM documents")
 def emails(spark, d):
     docs = _table(spark, d, "documents").where(F.col("text").contains("@"))
     n = DocFrame(docs, "text", "doc_id").nodes().where("tag = 'a'").select("source_id", F.col("props")[0]["s"].alias("href"))
