@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, crc_mod
 
-PER_LABEL = 4_000
+PER_LABEL = 3_000
 BITS = 20  # hashed words
+PREFIXES = (4, 5, 6)
 MIN_TEXTS = 4  # texts of the sample that a word must be in
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)|[.!?\n]+")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -40,7 +41,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def features(words: list[str]) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(w) >> (64 - BITS) for w in words]
+    """Hashed words, and their beginnings of PREFIXES characters: inflected forms share those."""
+    names = [n for w in words for n in (w, *("^" + w[:k] for k in PREFIXES if len(w) > k))]
+    return [xxhash.xxh3_64_intdigest(n) >> (64 - BITS) for n in names]
 
 
 def tokens(sentence: str) -> list[str]:
@@ -48,14 +51,14 @@ def tokens(sentence: str) -> list[str]:
 
 
 class Bags:
-    """Texts as flat features: features of all sentences, sentence starts, bag starts."""
+    """Texts as flat arrays: distinct features of all sentences, the sentence of each, the bag of each sentence."""
 
-    def __init__(self, bags: list[list[list[int]]]):
-        sents = [s for b in bags for s in b]
-        self.feats = np.fromiter((f for s in sents for f in s), np.int64)
-        self.sent = np.repeat(np.arange(len(sents)), [len(s) for s in sents])
-        self.bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        self.n_sents, self.n_bags = len(sents), len(bags)
+    def __init__(self, feats: np.ndarray, per_sentence: np.ndarray, per_bag: np.ndarray):
+        self.n_sents, self.n_bags = len(per_sentence), len(per_bag)
+        sent = np.repeat(np.arange(self.n_sents), per_sentence)
+        pairs = np.unique(sent << BITS | feats)
+        self.sent, self.feats = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        self.bag = np.repeat(np.arange(self.n_bags), per_bag)
 
     def logits(self, w: np.ndarray, b: float) -> np.ndarray:
         return np.bincount(self.sent, w[self.feats], self.n_sents) + b
@@ -66,15 +69,20 @@ def noisy_or(logits: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(-np.bincount(bag, np.logaddexp(0, logits), n))
 
 
-def train(bags: list[list[list[int]]], labels: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(x: Bags, labels: np.ndarray, weight: np.ndarray, steps: int = 120, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the weighted cross-entropy of noisy-or. Words of few texts keep weight 0."""
-    x = Bags([[sorted(set(s)) for s in b] for b in bags])
     pairs = np.unique(x.bag[x.sent].astype(np.int64) << BITS | x.feats)
-    often = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= MIN_TEXTS
-    names = np.flatnonzero(often)
-    keep = often[x.feats]
+    feats = pairs & ((1 << BITS) - 1)
+    often = np.bincount(feats, minlength=1 << BITS)
+    names = np.flatnonzero(often >= MIN_TEXTS)
+    # start from half the log odds of a word's texts, where they speak for label 1: words that many texts share lead
+    ones = np.bincount(feats, labels[pairs >> BITS], 1 << BITS)[names]
+    zeros = often[names] - ones
+    odds = np.log((ones + 0.5) / (labels.sum() + 1)) - np.log((zeros + 0.5) / ((1 - labels).sum() + 1))
+    keep = often[x.feats] >= MIN_TEXTS
     x.feats, x.sent = np.searchsorted(names, x.feats[keep]), x.sent[keep]
-    w, b = np.zeros(len(names)), -4.0
+    w, b = np.maximum(0, odds) / 2, -6.0
+    first = w.copy()
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         z = x.logits(w, b)
@@ -82,7 +90,7 @@ def train(bags: list[list[list[int]]], labels: np.ndarray, weight: np.ndarray, s
         # d loss / d log(prod(1 - p_s)) for each bag, times the sentence's sigmoid
         outer = weight * (np.where(labels == 1, -(1 - p) / p, 1.0))
         g = outer[x.bag] / (1 + np.exp(-z))
-        gw = np.bincount(x.feats, g[x.sent], len(names)) / weight.sum() + l2 * w
+        gw = np.bincount(x.feats, g[x.sent], len(names)) / weight.sum() + l2 * (w - first)
         gb = g.sum() / weight.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
@@ -93,7 +101,7 @@ def train(bags: list[list[list[int]]], labels: np.ndarray, weight: np.ndarray, s
     return full, float(b)
 
 
-def _sample_features(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[list, np.ndarray, np.ndarray, dict[int, int]]:
+def _sample_features(docs: DataFrame, labels: DataFrame, per_label: int) -> tuple[Bags, np.ndarray, np.ndarray, dict[int, int]]:
     """Sentence features of the sample; its labels; weights; rows by label. Only hashed words of the sample reach the driver."""
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -113,11 +121,11 @@ def _sample_features(docs: DataFrame, labels: DataFrame, per_label: int) -> tupl
                 ls.append([len(s) for s in each])
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "feats": fs, "lens": ls})
 
-    rows = texts.mapInPandas(flat, "doc_id long, label int, feats array<int>, lens array<int>").toPandas().sort_values("doc_id", kind="stable")
-    bags, y = [], rows["label"].to_numpy()
-    for fs, ls in zip(rows["feats"], rows["lens"]):
-        cuts = np.cumsum(np.asarray(ls, np.int64))[:-1]
-        bags.append([s.tolist() for s in np.split(np.asarray(fs, np.int64), cuts)])
+    rows = texts.mapInPandas(flat, "doc_id long, label int, feats array<int>, lens array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    column = lambda k: rows[k].combine_chunks() if hasattr(rows[k], "combine_chunks") else rows[k]
+    flat_of = lambda k: column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    y = rows["label"].to_numpy().astype(np.int64)
+    bags = Bags(flat_of("feats"), flat_of("lens"), np.array([len(x) for x in column("lens")], np.int64))
     here = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     return bags, y, np.array([counts.get(int(k), 0) / here[int(k)] for k in y]), counts
 
@@ -154,7 +162,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                         if x is None:
                             if len(cache) > _CACHE:
                                 cache.clear()
-                            x = cache[word] = float(w[features([word])[0]])
+                            x = cache[word] = float(w[features([word])].sum())
                         total += x
                     z.append(total)
                 z = np.array(z)
