@@ -24,7 +24,7 @@ from .common import WORD, lookup, staged
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
-BUCKET = 20_000  # documents rounded along one running sum
+BUCKET = 2_000  # documents rounded along one running sum
 SHIFTS = 32
 
 
@@ -112,11 +112,14 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", i
     Rows equal in id, source and text share their copies out among themselves. One shuffle carries the texts.
     """
     per_key = mix(docs, source_col, text_col, id_col, **plan).groupBy("k1", "k2").agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.select("*", *[k.alias(f"_{n}") for k, n in zip(_key([F.col(id_col), F.col(source_col), F.col(text_col)]), ("k1", "k2"))])
-    x = keyed.join(per_key.where("_total > 0").withColumnsRenamed({"k1": "_p1", "k2": "_p2"}), (F.col("_k1") == F.col("_p1")) & (F.col("_k2") == F.col("_p2")))
-    place = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_total"))
-    x = x.withColumn("_place", place).withColumn("_n", F.floor(F.col("_total") / F.col("_rows")) + (F.col("_place") <= F.col("_total") % F.col("_rows")).cast("int"))
-    return x.where("_n > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("copy"))
+    k1, k2 = _key([F.col(id_col), F.col(source_col), F.col(text_col)])
+    # the row travels as one struct, so that its columns' names can't clash with those used here
+    keyed = docs.select(F.struct("*").alias("row"), k1, k2)
+    taken = per_key.where("_total > 0").withColumnsRenamed({"k1": "p1", "k2": "p2"})
+    x = keyed.join(taken, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("_total")))
+    x = x.withColumn("times", F.floor(F.col("_total") / F.col("_rows")) + (F.col("place") <= F.col("_total") % F.col("_rows")).cast("int"))
+    return x.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*", "copy")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
