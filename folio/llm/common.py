@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -85,6 +86,19 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(spark: SparkSession, *dfs: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, and let Spark drop the shuffle files of finished steps.
+
+    Spark removes shuffle files when the driver's garbage collector finds their plans unused; on disks sized for one step at a
+    time that may come too late, so collection is asked for here.
+    """
+    for df in dfs:
+        for file in df.inputFiles()[:1]:
+            _drop(spark, file.rpartition("/")[0])
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove all that this application staged so far."""
     root = _roots.pop(spark.sparkContext.applicationId, None)
@@ -123,6 +137,12 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, b
 # --- connected components ---------------------------------------------------
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node is both a smaller and a larger end, nor the larger end of two edges."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("a").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR (below = 1 AND above = 1)").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (a, b).
 
@@ -130,8 +150,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round is staged, so a lost executor repeats one round at most. A hub's edges are pre-aggregated
     (min) before the shuffle, so that no task holds the neighbours of a hub.
     """
+    spark = edges.sparkSession
     edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(max_rounds):
+        if _stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour of x to the smallest of x and its neighbours
         low = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -141,8 +164,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("m"))
         small = large.join(least, large.b == least.x).select(F.col("m").alias("lo"), F.explode(F.array("a", "b")).alias("hi")).where("lo <> hi")
         new = staged(small.select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct())
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            break
+        unstage(spark, edges)
         edges = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

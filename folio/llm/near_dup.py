@@ -7,10 +7,10 @@ values, so it shares one among the rarest ``len - needed + 1`` of each, and only
 fixed-size table of hashed counts; any order is right, a good one keeps lists short). The sketch of the
 union estimates the similarity and drops most candidates; the rest is decided on the full sets.
 
-A list never emits all its pairs at once. First every member meets its list's smallest member;
-the links found join members into components. Then only pairs of different components still meet,
-so a group of thousands of near copies costs a number of pairs linear in its size, and no link
-between components is lost.
+A list never emits all its pairs at once. First every set meets the smallest member of its lists that it shares most
+values with; the links found join sets into components. Then only pairs of different components still meet, those
+that share a long list in a grid of blocks, so a group of thousands of near copies emits a number of pairs
+linear in its size, and no link between components is lost.
 
 Chance: for sets within K the needed overlap is certain; beyond, a pair at the threshold has fewer than NEEDED
 of K values in common with probability below 1e-6 (binomial), and falls below the estimate's margin as rarely.
@@ -30,13 +30,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, staged, words_of
+from .common import components, lower_ascii, staged, unstage, words_of
 
 K = 64
 NEEDED = 35  # of K, where sets are larger than SMALL: P(Bin(64, 0.8) < 35) < 1e-6
 SMALL = 60
 MARGIN = 0.25  # the estimate's slack: five standard deviations at K = 64
 THRESHOLD = 80  # per cent
+PAD = np.uint64(2**64 - 1)  # no shingle hashes to it but by a chance of 2 ** -64
+SHARED = 3  # listed values that a pair must share to be a candidate (fewer where sets are too small for that)
+LONG, BLOCK = 100, 200  # lists longer than LONG are compared in blocks of about BLOCK sets
+BROADCAST = 300_000  # pairs up to which their ids are sent to the texts, instead of the texts to them
 ORDER_BITS = 18  # the table of counts has 2 ** ORDER_BITS cells, whatever the data
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CACHE = 300_000
@@ -77,10 +81,24 @@ def needed(n: int, threshold: int = THRESHOLD) -> int:
     return -(-n * threshold // 100) if n <= SMALL else NEEDED
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity from the bottom-k sketch of the union of two sketches."""
-    both = np.union1d(a, b)[:K]
-    return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / max(1, len(both))
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of pairs from the bottom-k sketch of the union of their sketches. a, b: one padded sketch per row."""
+    both = np.sort(np.concatenate((a, b), 1), 1)
+    real = both != PAD
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    distinct = np.cumsum(real & ~again, 1)
+    size = np.minimum(distinct[:, -1], K)
+    return (again & (distinct <= K)).sum(1) / np.maximum(size, 1)
+
+
+def padded(sketches) -> np.ndarray:
+    """Sketches (lists of signed values, in unsigned order) as rows of K unsigned values, padded with PAD."""
+    lens = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    out = np.full((len(lens), K), PAD, np.uint64)
+    if len(lens):
+        out[np.arange(K)[None, :] < lens[:, None]] = np.concatenate([np.asarray(x, np.int64) for x in sketches]).view(np.uint64)
+    return out
 
 
 SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, sketch array<long>"
@@ -114,22 +132,24 @@ def _order_table(reps: DataFrame) -> np.ndarray:
 
 
 def _listed(order, threshold: int):
-    """doc_id, n, v: each set's rarest retained values, as many as its needed overlap leaves."""
+    """doc_id, n, need, v: each set's rarest retained values, so many that similar sets share ``need`` of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = order.value
         for b in batches:
-            ids, ns, vs = [], [], []
+            ids, ns, needs, vs = [], [], [], []
             for i, n, sk in zip(b["doc_id"], b["n_shingles"], b["sketch"]):
                 sk = np.asarray(sk, np.int64)
-                keep = len(sk) - needed(n, threshold) + 1
+                overlap = needed(n, threshold)
+                need = min(SHARED, overlap)
                 cells = table[(sk.view(np.uint64) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-                v = sk[np.lexsort((sk, cells))[:keep]]
+                v = sk[np.lexsort((sk, cells))[: len(sk) - overlap + need]]
                 ids.append(np.full(len(v), i))
                 ns.append(np.full(len(v), n))
+                needs.append(np.full(len(v), need))
                 vs.append(v)
             if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "n": np.concatenate(ns), "v": np.concatenate(vs)})
+                yield pd.DataFrame({"doc_id": np.concatenate(ids), "n": np.concatenate(ns), "need": np.concatenate(needs), "v": np.concatenate(vs)})
 
     return run
 
@@ -137,8 +157,7 @@ def _listed(order, threshold: int):
 def _estimate() -> Column:
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        values = lambda x: np.asarray(x, np.int64).view(np.uint64)
-        return pd.Series([estimate(values(x), values(y)) for x, y in zip(a, b)])
+        return pd.Series(estimates(padded(a), padded(b)))
 
     return run(F.col("_sa"), F.col("_sb"))
 
@@ -161,44 +180,126 @@ def _verify(size: int, threshold: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those that are linked: by sizes and union sketches first, then on full sets."""
+    """Of pairs (a, b), those that are linked: by union sketches first, then on full sets. Staged.
+
+    Texts meet by their group, that of a: a text is read once for each pair, and that of a once for the group.
+    """
+    spark = pairs.sparkSession
     side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"_s{s}"))
-    rough = pairs.join(side("a"), "a").join(side("b"), "b")
-    rough = staged(rough.where(_estimate() >= threshold / 100 - MARGIN).select("a", "b").distinct())
-    text = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"_t{s}"))
-    return rough.join(text("b"), "b").join(text("a"), "a").where(_verify(size, threshold)).select("a", "b").distinct()
+    rough = pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate() >= threshold / 100 - MARGIN)
+    rough = staged(rough.select("a", "b").distinct())
+    asked = rough.select(F.col("b").alias("_id"), F.col("a").alias("grp")).unionByName(rough.select(F.col("a").alias("_id"), F.col("a").alias("grp")).distinct())
+    if rough.count() <= BROADCAST:
+        asked = F.broadcast(asked)
+    got = staged(texts.join(asked, F.col("doc_id") == F.col("_id")).select("_id", "grp", "text"))
+    unstage(spark, rough)
+    heads = got.where("_id = grp").select(F.col("grp").alias("a"), F.col("text").alias("_ta"))
+    members = got.where("_id <> grp").select(F.col("grp"), F.col("_id").alias("b"), F.col("text").alias("_tb"))
+    linked = staged(members.join(heads, F.col("grp") == F.col("a")).where(_verify(size, threshold)).select("a", "b").distinct())
+    unstage(spark, got)
+    return linked
+
+
+def _block_links(size: int, threshold: int):
+    """Links (a, b) between texts of two blocks (or within one) that join different components; no more links than texts."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = Shingler(size)
+        rows = rows.drop_duplicates(["doc_id", "text"]).sort_values("doc_id", kind="stable")
+        ids, labels, block = rows["doc_id"].to_numpy(), rows["c"].to_numpy(), rows["block"].to_numpy()
+        one, two = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        elements = [sets(t) for t in rows["text"]]
+        lens = np.fromiter(map(len, elements), np.int64, len(elements))
+        sketches = padded([e[:K].view(np.int64) for e in elements])
+        parent = {c: c for c in labels.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        found = []
+        for x in np.flatnonzero(block == one).tolist():
+            mine = np.fromiter((root(c) for c in labels.tolist()), np.int64, len(labels))
+            other = (block == two) & (mine != mine[x]) & (100 * np.minimum(lens, lens[x]) >= threshold * np.maximum(lens, lens[x]))
+            if one == two:
+                other[: x + 1] = False
+            y = np.flatnonzero(other)
+            if len(y):
+                y = y[estimates(np.broadcast_to(sketches[x], (len(y), K)), sketches[y]) >= threshold / 100 - MARGIN]
+            if not len(y):
+                continue
+            every = np.concatenate([elements[k] for k in y])
+            at = np.minimum(np.searchsorted(elements[x], every), lens[x] - 1)
+            inter = np.add.reduceat((elements[x][at] == every).astype(np.int64), np.concatenate(([0], np.cumsum(lens[y])[:-1])))
+            for k in y[100 * inter >= threshold * (lens[x] + lens[y] - inter)].tolist():
+                p, q = root(int(labels[x])), root(int(labels[k]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((int(ids[x]), int(ids[k])))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def _hot_links(members: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links between different components among the members (v, doc_id, c) of long lists. Staged.
+
+    Sets that long lists connect form groups; a group is cut into blocks of about BLOCK sets, and each pair of blocks is one
+    small task that compares on sketches, then on full sets, and gives a spanning forest of its links. Nothing
+    is left out, no pair is emitted for being compared, and no task grows with the group.
+    """
+    heads = members.groupBy("v").agg(F.min("doc_id").alias("a"))
+    groups = staged(components(members.join(heads, "v").select("a", F.col("doc_id").alias("b"))))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    labels = members.select("doc_id", "c").distinct()
+    docs = labels.join(groups, labels.doc_id == groups.node).join(sizes, "component")
+    docs = staged(docs.select(F.col("doc_id").alias("_id"), "c", F.col("component").alias("g"), "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")))
+    asked = F.broadcast(docs) if docs.count() <= BROADCAST else docs
+    x = texts.join(asked, F.col("doc_id") == F.col("_id")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("doc_id", "text", "c", "g", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    return staged(x.groupBy("g", "i", "j").applyInPandas(_block_links(size, threshold), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = staged(rows.mapInPandas(_sketches(shingle), SKETCH))
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["n_shingles", "sig1", "sig2"]
     folded = staged(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    reps = named.join(folded, [named.doc_id == folded.rep, *[named[k] == folded[k] for k in key]]).select(named.doc_id, *[named[k] for k in key], named.sketch).dropDuplicates(["doc_id", *key])
-    reps = staged(reps.drop("sig1", "sig2"))
-    order = docs.sparkSession.sparkContext.broadcast(_order_table(reps))
-    lists = staged(reps.mapInPandas(_listed(order, threshold), "doc_id long, n long, v long"))
-    # a list: the members' smallest id; members whose sizes rule out a link with it wait for the second pass
-    heads = lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("v", "head")
+    reps = named.join(folded.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("rep")), [F.col("doc_id") == F.col("rep"), *[F.col(k) == F.col(f"_{k}") for k in key]])
+    reps = staged(reps.select("doc_id", *key, "sketch").dropDuplicates(["doc_id", *key]).drop("sig1", "sig2"))
+    order = spark.sparkContext.broadcast(_order_table(reps))
+    lists = staged(reps.mapInPandas(_listed(order, threshold), "doc_id long, n long, need long, v long"))
+    unstage(spark)
     fits = lambda x, y: (F.lit(100) * F.least(x, y)) >= (F.lit(threshold) * F.greatest(x, y))
-    lists = staged(lists.join(heads, "v"))
-    star = lists.where((F.col("doc_id") != F.col("head.doc_id")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    wanted = rows.join(reps.select(F.col("doc_id").alias("_id")).join(lists.select(F.col("doc_id").alias("_id")).distinct(), "_id"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    wanted = staged(wanted)
-    stars = staged(_confirmed(star, reps, wanted, shingle, threshold))
+    heads = lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("v", "head")
+    shared = staged(lists.join(heads, "v"))
+    unstage(spark, lists)
+    # first each set meets the one head that it shares most values with; one pair per set, whatever the size of its group
+    met = shared.where((F.col("doc_id") != F.col("head.doc_id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("doc_id").alias("b"), F.col("head.doc_id").alias("a")).count()
+    star = staged(met.groupBy("b").agg(F.max(F.struct(F.col("count"), (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"))
+    stars = _confirmed(star, reps, rows, shingle, threshold)
     first = staged(components(stars))
-    labelled = lists.drop("head").join(first, lists.doc_id == first.node, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    open_lists = labelled.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("v")
+    # then members of a list meet if they are still in different components
+    labelled = shared.drop("head").join(first, F.col("doc_id") == F.col("node"), "left").select("v", "doc_id", "n", "need", F.coalesce("component", "doc_id").alias("c"))
+    open_lists = labelled.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("v", (F.col("size") > LONG).alias("long"))
     m = staged(labelled.join(open_lists, "v"))
-    x, y = m.toDF("v", "a", "na", "ca"), m.toDF("v", "b", "nb", "cb")
-    cross = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
-    links = stars.unionByName(_confirmed(cross, reps, wanted, shingle, threshold))
+    unstage(spark, shared)
+    # pairs that share a long list are compared in blocks; all the values that other pairs share are in short ones
+    hot = _hot_links(m.where("long").select("v", "doc_id", "c"), rows, shingle, threshold)
+    x, y = (m.where("NOT long").drop("long").toDF("v", *k) for k in (("a", "na", "xa", "ca"), ("b", "nb", "xb", "cb")))
+    cross = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
+    cross = cross.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("xa", "xb")).alias("need")).where("k >= need").select("a", "b")
+    cross = staged(cross.join(star, ["a", "b"], "left_anti"))
+    stars = stars.unionByName(hot)
+    links = stars.unionByName(_confirmed(cross, reps, rows, shingle, threshold))
     # a document's node is its id; equal sets are linked with their representative
     member = named.join(folded, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    comps = components(links.unionByName(member))
+    comps = staged(components(links.unionByName(member)))
+    unstage(spark, m, star, cross, reps)
     out = sketched.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -206,12 +307,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """docs, all columns, with one document of each group: that with the smallest id. Rows with null ids all stay."""
-    found = staged(near_duplicates(docs, id_col, text_col, shingle, threshold).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")))
-    again = found.groupBy("_kept_id").count().where("count > 1").select("_kept_id")
-    single = docs.join(found.distinct(), F.col(id_col) == F.col("_kept_id"), "left_semi")
+    found = staged(near_duplicates(docs, id_col, text_col, shingle, threshold).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__folio_kept_id")))
+    again = found.groupBy("__folio_kept_id").count().where("count > 1").select("__folio_kept_id")
+    single = docs.join(found.distinct(), F.col(id_col) == F.col("__folio_kept_id"), "left_semi")
     if not again.isEmpty():  # ids that several rows have: one row of each stays, the first by its text
         order = Window.partitionBy(id_col).orderBy(F.col(text_col), *[c for c in docs.columns if c not in (id_col, text_col)])
-        single = single.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+        single = single.withColumn("__folio_rank", F.row_number().over(order)).where("__folio_rank = 1").drop("__folio_rank")
     nulls = docs.where(F.col(id_col).isNull())
     return single.unionByName(nulls)
 
