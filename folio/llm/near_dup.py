@@ -290,7 +290,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unstage(spark, shared)
     # pairs that share a long list are compared in blocks; all the values that other pairs share are in short ones
     hot = _hot_links(m.where("long").select("v", "doc_id", "c"), rows, shingle, threshold)
-    x, y = (m.where("NOT long").drop("long").toDF("v", *k) for k in (("a", "na", "xa", "ca"), ("b", "nb", "xb", "cb")))
+    short = m.where("NOT long").drop("long")
+    # a set with fewer values in short lists than a pair must share is in no pair
+    enough = short.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("least")).where("k >= least").select("_id")
+    short = staged(short.join(enough, F.col("doc_id") == F.col("_id"), "left_semi"))
+    x, y = (short.toDF("v", *k) for k in (("a", "na", "xa", "ca"), ("b", "nb", "xb", "cb")))
     cross = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
     cross = cross.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("xa", "xb")).alias("need")).where("k >= need").select("a", "b")
     cross = staged(cross.join(star, ["a", "b"], "left_anti"))
@@ -299,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a document's node is its id; equal sets are linked with their representative
     member = named.join(folded, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     comps = staged(components(links.unionByName(member)))
-    unstage(spark, m, star, cross, reps)
+    unstage(spark, m, short, star, cross, reps)
     out = sketched.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
