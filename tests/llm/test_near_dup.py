@@ -36,8 +36,10 @@ def mutated(rng, ws, n):
     return ws
 
 
-@pytest.mark.parametrize("seed", (0, 1))
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,long", ((0, 100), (1, 5)))
+def test_against_brute_force(spark, seed, long, monkeypatch):
+    monkeypatch.setattr("folio.llm.near_dup.LONG", long)
+    monkeypatch.setattr("folio.llm.near_dup.BLOCK", 7)
     rng = random.Random(seed)
     texts = []
     for size in (3, 6, 12, 40, 90, 200):
