@@ -3,10 +3,10 @@
 Corpus counts cover every training text. Tokens outside the recurrent model's vocabulary are one symbol of
 the model, and are told apart by their smoothed counts, so that the score is the log-probability of the text as it is.
 
-The recurrent model is trained by rounds of local passes: training texts picked by a hash of their ids (one in
-``TRAIN_ONE_IN``, so the set grows with the corpus) are dealt over shards of about ``SHARD_TOKENS`` tokens,
-each shard makes one pass of truncated backpropagation from the common weights, and the results are
-averaged by tokens. Every text, trained on or not, is scored whole.
+The recurrent model is trained by rounds of local passes: all training texts are dealt over shards of about
+``SHARD_TOKENS`` tokens, each shard makes one pass of truncated backpropagation from the common weights, and
+the results are averaged by tokens. ``one_in`` above 1 trains on a sample by a hash of the ids; the query doesn't.
+Every text, trained on or not, is scored whole.
 
 Words of up to ``FREQUENT`` ranks are looked up in a table of bounded size that each task holds; the counts of
 rarer ones, none of which can be a hot key, are joined by shuffle.
@@ -35,7 +35,6 @@ from .common import crc_mod, lower_ascii, staged, words_of
 END = "\n"  # no word holds a line end
 HELD_OUT_OF, HELD_OUT = 7, 2
 FREQUENT = 100_000
-TRAIN_ONE_IN = 16
 SHARD_TOKENS = 500_000
 RATES = (0.01, 0.004)  # of the rounds
 PARTIAL = 64
@@ -84,7 +83,7 @@ def _ids(lm: dict[str, int], ws: list[str]) -> np.ndarray:
     return np.fromiter(map(lm.get, ws, repeat(0)), np.int32, len(ws))
 
 
-def train_model(docs: DataFrame, lm: dict[str, int], start: dict, n_tokens: int, rates=RATES, one_in: int = TRAIN_ONE_IN) -> dict:
+def train_model(docs: DataFrame, lm: dict[str, int], start: dict, n_tokens: int, rates=RATES, one_in: int = 1) -> dict:
     """Weights after a round for each rate. docs: (doc_id, text), training rows only."""
     sc = docs.sparkSession.sparkContext
     picked = docs.where(F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(one_in)) == 0)
@@ -130,7 +129,7 @@ def train_model(docs: DataFrame, lm: dict[str, int], start: dict, n_tokens: int,
 PARTS = "doc_id long, n_tokens long, n_known long, base double, score double, words array<string>, times array<long>"
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = TRAIN_ONE_IN) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from folio.llm import gru
-from folio.llm.lm_score import score_documents
+from folio.llm.lm_score import op9_lm_score, score_documents
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,13 @@ def test_edges(spark, edge_docs, no_docs):
     assert score_documents(no_docs).count() == 0
     none = spark.createDataFrame([(i, "x y") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in score_documents(none).collect())
+
+
+def test_query_trains_on_every_training_text(spark, tmp_path):
+    """No id here is of the one in 16 that were once trained on: a model of a sample is the untrained one."""
+    rng = random.Random(8)
+    langs = [["%s%d" % (c, i) for i in range(60)] for c in "ab"]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(langs[i % 2], k=60))) for i in range(600)], "doc_id long, text string")
+    df.where("pmod(xxhash64('train', doc_id), 16) <> 0").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9_lm_score(spark, str(tmp_path)).where("held_out").collect()
+    assert len(got) > 50 and sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)
