@@ -4,7 +4,8 @@ Labelled page outcomes (bad or not) are shrunk level by level through beta-binom
 towards the whole table, the registered domain towards its suffix, the host towards its domain. The strength of each
 prior is estimated from the spread of its children by the method of moments. A host is blocked if a lower
 bound of its posterior bad rate (normal approximation of the beta posterior) is above a threshold, so
-a host with few labels is judged by its domain and suffix.
+a host with few labels is judged by its domain and suffix, and a host without any by the posterior
+of its domain, else of its suffix, else of the whole table.
 
 Counts are integers summed in partial aggregates; the join back to pages is broadcast below a counted
 bound and salted beyond, so that a host with a third of all pages is spread.
@@ -54,11 +55,11 @@ def _levels(host: Column) -> dict[str, Column]:
     return {"suffix": F.element_at(parts, -1), "domain": F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), "."), "host": host}
 
 
-def reputation(outcomes: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """(host, n, bad, rate, bound, blocked) from outcomes (host, bad: 0 or 1)."""
+def reputation(outcomes: DataFrame, threshold: float = THRESHOLD, z: float = Z, hosts: DataFrame | None = None) -> DataFrame:
+    """(host, n, bad, rate, bound, blocked) from outcomes (host, bad: 0 or 1), also for those of hosts (host) that have no outcome."""
     counts = staged(outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("k")).select("*", *[c.alias(k) for k, c in _levels(F.col("host")).items() if k != "host"]))
-    nodes = counts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(F.lit("").alias("key"), (F.col("k") / F.col("n")).alias("rate"))
-    parent = None
+    root = nodes = counts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(F.lit("").alias("key"), (F.col("k") / F.col("n")).alias("rate"))
+    parent, above = None, {}
     for level in ("suffix", "domain", "host"):
         up = [] if parent is None else [parent]
         if level == "host":
@@ -70,9 +71,18 @@ def reputation(outcomes: DataFrame, threshold: float = THRESHOLD, z: float = Z)
         v = kids.agg(F.sum(F.col("n") * (F.col("k") / F.col("n") - F.col("m")) ** 2 - F.col("m") * (1 - F.col("m"))).alias("over"), F.sum((F.col("n") - 1) * F.col("m") * (1 - F.col("m"))).alias("room"))
         share = F.when(F.col("room") > 0, F.col("over") / F.col("room")).otherwise(F.lit(0.0))
         strength = F.when(share <= 0, F.lit(STRENGTH[1])).otherwise(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), 1 / share - 1)))
-        kids = kids.join(F.broadcast(v.select(strength.alias("s"))), how="cross")  # one row
+        prior = v.select(strength.alias("s"))
+        kids = kids.join(F.broadcast(prior), how="cross")  # one row
         nodes = staged(kids.select("key", "n", "k", ((F.col("k") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s"))).alias("rate"), (F.col("n") + F.col("s")).alias("total")))
-        parent = level
+        parent, above[level] = level, nodes
+    if hosts is not None:
+        # no label (n = k = 0): the prior alone. Labelled hosts alone tell how strong it is
+        new = hosts.select("host").distinct().join(counts.select("host"), "host", "left_anti").select(*[c.alias(k) for k, c in _levels(F.col("host")).items()])
+        for level in ("domain", "suffix"):
+            new = lookup(new, above[level].select(F.col("key").alias(level), F.col("rate").alias(f"{level}_rate")), [level], F.col("host"))
+        new = new.join(F.broadcast(root.select(F.col("rate").alias("root_rate"))), how="cross").join(F.broadcast(prior), how="cross")  # one row each
+        rate, none = F.coalesce("domain_rate", "suffix_rate", "root_rate"), F.lit(0).cast("long")
+        nodes = nodes.unionByName(new.select(F.col("host").alias("key"), none.alias("n"), none.alias("k"), rate.alias("rate"), F.col("s").alias("total")))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("total") + 1))
     bound = F.col("rate") - z * sd
     return nodes.select(F.col("key").alias("host"), "n", F.col("k").alias("bad"), "rate", bound.alias("bound"), (bound > threshold).alias("blocked"))
@@ -83,7 +93,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", u
     url = F.col(url_col)
     p = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     seen = p.join(outcomes.select(F.col("page_id").alias("_o_id"), "bad"), F.col("page_id") == F.col("_o_id")).select("host", "bad")
-    blocked = reputation(seen, **limits).where("blocked").select("host", "blocked")
+    blocked = reputation(seen, hosts=p.select("host"), **limits).where("blocked").select("host", "blocked")
     x = lookup(p, blocked, ["host"], F.struct("page_id", "path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return x.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))

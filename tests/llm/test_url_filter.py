@@ -41,3 +41,13 @@ def test_empty(spark):
     assert judge_urls(pages, outcomes).count() == 0
     one = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert judge_urls(one, outcomes).collect()[0].verdict == "allow"
+
+
+def test_hosts_without_labels(spark):
+    """New hosts are judged by the domain, else by the suffix, else by the whole table."""
+    seen = [(f"h{i % 20}.bad.org", 1) for i in range(200)] + [(f"h{i % 20}.good.org", 0) for i in range(200)] + [(f"d{i % 20}.zip", 1) for i in range(200)] + [(f"d{i % 20}.net", 0) for i in range(400)]
+    new = {"new.bad.org": "block", "new.good.org": "allow", "new.zip": "block", "x.new.zip": "block", "new.net": "allow", "new.dev": "allow"}
+    pages = [(i, f"http://{h}/") for i, (h, _) in enumerate(seen)] + [(10_000 + i, f"http://{h}/") for i, h in enumerate(new)]
+    outcomes = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(seen)], "page_id long, bad int")
+    got = judge_urls(spark.createDataFrame(pages, "page_id long, url string"), outcomes).collect()
+    assert len(got) == len(pages) and {r.host: r.verdict for r in got if r.page_id >= 10_000} == new
