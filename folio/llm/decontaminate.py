@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation. Only built-in functions touch the data.
 
 Texts are lower-cased, stripped of punctuation and cut into tokens; numbers, names (capitalised words inside a sentence)
-and units (after a number) become typed placeholders. Windows of ``WIDTH`` tokens are hash-joined
+and units (after a number) become typed placeholders. Windows that hold names are also taken with the names as
+plain words, so that a copy in other letter case matches. Windows of ``WIDTH`` tokens are hash-joined
 with those of the benchmark's items. Matches are gathered by diagonal (place in the text less place in the item), the
 values under matching placeholders are paired, and a diagonal counts only if they form a consistent
 one-to-one replacement, so a question asked with other numbers or names is caught, and a text that
@@ -18,7 +19,7 @@ document; null ids never appear; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -48,35 +49,57 @@ def _typed(w: Column) -> Column:
     return F.when(first.isin(NUM, NAME, UNIT), first).otherwise(w)
 
 
+def _cased(w: Column) -> Column:
+    """As _typed, but names are words, so that a text matches in any case."""
+    first = F.substring(w, 1, 1)
+    return F.when(first.isin(NUM, UNIT), first).otherwise(F.translate(w, NAME, ""))
+
+
 def template_windows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, h, slots): the hash of each window's template, and the text's slots (place, value), if any."""
+    """(key, pos, h, slots, cased): the hash of each window's template, and the text's slots (place, value), if any.
+
+    A window that holds names has a second row (cased), in which they are words and no slots.
+    """
     x = rows.select(F.col(key), tokens(F.col(text)).alias("w")).where(F.size("w") >= WIDTH)
     slots = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("value"))), lambda s: s["value"] < "\x04")
-    x = x.select(key, F.transform("w", lambda w: F.xxhash64(_typed(w))).alias("t"), F.when(F.exists("w", lambda w: w < "\x04"), slots).alias("slots"))
+    x = x.select(key, "w", F.transform("w", lambda w: F.xxhash64(_typed(w))).alias("t"), F.when(F.exists("w", lambda w: w < "\x04"), slots).alias("slots"))
+    last = F.size("t") - WIDTH  # the place of the last window
+    names = F.filter("slots", lambda s: s["value"].startswith(NAME))
+    around = F.array_distinct(F.flatten(F.transform(names, lambda s: F.sequence(F.greatest(F.lit(0), s["at"] - (WIDTH - 1)), F.least(s["at"], last)))))
+    x = x.select(key, "w", "t", "slots", F.when(F.exists("slots", lambda s: s["value"].startswith(NAME)), around).alias("around"))
     window = F.transform(F.sequence(F.lit(1), F.size("t") - (WIDTH - 1)), lambda i: F.xxhash64(*[F.element_at("t", i + k) for k in range(WIDTH)]))
-    return x.select(key, "slots", F.posexplode(window).alias("pos", "h"))
+    cased = F.transform("around", lambda i: F.xxhash64(*[F.xxhash64(_cased(F.element_at("w", i + k + 1))) for k in range(WIDTH)]))
+    every = F.when(F.col("around").isNull(), window).otherwise(F.concat(window, cased))
+    x = x.select(key, "slots", "around", (last + 1).alias("m"), F.posexplode(every).alias("p", "h"))
+    again = F.col("p") >= F.col("m")
+    pos = F.when(again, F.element_at("around", F.col("p") - F.col("m") + 1)).otherwise(F.col("p"))
+    return x.select(key, F.when(again, F.filter("slots", lambda s: ~s["value"].startswith(NAME))).otherwise(F.col("slots")).alias("slots"), pos.alias("pos"), "h", again.alias("cased"))
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, pos, h, slots, n: the item's windows that have two plain tokens at least; n: how many."""
+    """item_id, pos, h, slots, typed, n, n_typed: the item's windows that have two plain tokens at least.
+
+    typed: whether the window has them with names as slots; n: how many places there are; n_typed: of these, typed.
+    """
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(F.col("item_id").isNotNull())
     w = template_windows(rows, "item_id", "text")
     in_window = F.filter("slots", lambda s: (s["at"] >= F.col("pos")) & (s["at"] < F.col("pos") + WIDTH))
     w = w.where(F.coalesce(F.size(in_window), F.lit(0)) <= WIDTH - 2)
-    return w.join(w.groupBy("item_id").agg(F.countDistinct("pos").alias("n")), "item_id")
+    w = w.withColumn("typed", F.max(~F.col("cased")).over(Window.partitionBy("item_id", "pos"))).drop("cased")
+    return w.join(w.groupBy("item_id").agg(F.countDistinct("pos").alias("n"), F.countDistinct(F.when(F.col("typed"), F.col("pos"))).alias("n_typed")), "item_id")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, longest, n_slots, n_changed) of each contaminated pair."""
-    bench = staged(benchmark_windows(items, item_id, item_text).select("item_id", F.col("pos").alias("i_pos"), F.col("h").alias("i_h"), F.col("slots").alias("i_slots"), F.col("n").alias("n_windows")))
+    bench = staged(benchmark_windows(items, item_id, item_text).select("item_id", F.col("pos").alias("i_pos"), F.col("h").alias("i_h"), F.col("slots").alias("i_slots"), "typed", F.col("n").alias("n_windows"), "n_typed"))
     if bench.count() <= BROADCAST:
         bench = F.broadcast(bench)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     hits = template_windows(rows, "doc_id", "text").join(bench, F.col("h") == F.col("i_h"))
     local = lambda slots, pos: F.transform(F.filter(slots, lambda s: (s["at"] >= F.col(pos)) & (s["at"] < F.col(pos) + WIDTH)), lambda s: F.struct((s["at"] - F.col(pos)).alias("at"), s["value"].alias("value")))
     both = F.zip_with(local("i_slots", "i_pos"), local("slots", "pos"), lambda i, d: F.struct((i["at"] + F.col("i_pos")).alias("at"), i["value"].alias("item"), d["value"].alias("doc")))
-    hits = hits.select("doc_id", "item_id", "n_windows", "i_pos", (F.col("pos") - F.col("i_pos")).alias("diagonal"), F.coalesce(both, F.expr("CAST(array() AS array<struct<at:int,item:string,doc:string>>)")).alias("pairs"))
-    diagonals = hits.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(F.collect_set("i_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    hits = hits.select("doc_id", "item_id", "n_windows", "n_typed", "typed", "i_pos", (F.col("pos") - F.col("i_pos")).alias("diagonal"), F.coalesce(both, F.expr("CAST(array() AS array<struct<at:int,item:string,doc:string>>)")).alias("pairs"))
+    diagonals = hits.groupBy("doc_id", "item_id", "n_windows", "n_typed", "diagonal").agg(F.collect_set("i_pos").alias("at"), F.collect_set(F.when(F.col("typed"), F.col("i_pos"))).alias("at_typed"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
     pairs = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item"], p["doc"]))))
     diagonals = diagonals.where((pairs == values("item")) & (pairs == values("doc")))
@@ -84,9 +107,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # longest stretch of adjacent windows: sorted places less their rank are equal within a stretch
     ranked = F.transform(F.array_sort("at"), lambda p, i: p - i)
     stretch = F.array_max(F.transform(F.array_distinct(ranked), lambda r: F.size(F.filter(ranked, lambda q: q == r))))
-    diagonals = diagonals.select("doc_id", "item_id", "n_windows", "at", stretch.alias("stretch"), F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
-    whole = diagonals.groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.max("stretch").alias("longest"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
-    return whole.where((F.col("n_matched") >= share * F.col("n_windows")) | (F.col("longest") >= run)).select("doc_id", "item_id", *[F.col(c).cast("long").alias(c) for c in ("n_windows", "n_matched", "longest", "n_slots", "n_changed")])
+    diagonals = diagonals.select("doc_id", "item_id", "n_windows", "n_typed", "at", "at_typed", stretch.alias("stretch"), F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
+    places = lambda k: F.size(F.array_distinct(F.flatten(F.collect_list(k))))
+    whole = diagonals.groupBy("doc_id", "item_id", "n_windows", "n_typed").agg(places("at").alias("n_matched"), places("at_typed").alias("n_matched_typed"), F.max("stretch").alias("longest"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
+    most = (F.col("n_matched") >= share * F.col("n_windows")) | ((F.col("n_typed") > 0) & (F.col("n_matched_typed") >= share * F.col("n_typed")))
+    return whole.where(most | (F.col("longest") >= run)).select("doc_id", "item_id", *[F.col(c).cast("long").alias(c) for c in ("n_windows", "n_matched", "longest", "n_slots", "n_changed")])
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

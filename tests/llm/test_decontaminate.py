@@ -72,3 +72,12 @@ def test_against_brute_force(spark):
                 want[i, j] = (len(hit), longest)
     got = flagged(spark, docs, list(enumerate(items)))
     assert {k: (r.n_matched, r.longest) for k, r in got.items()} == want
+
+
+def test_copies_in_other_case(spark):
+    names = "the famous painter Anna Berg met Carl Dahl and Eva Falk near Gent before Hugo Ibsen left the small town for good"
+    people = "a Mr Kim, Mr Lee, Mr Moe, Mr Nye, Mr Orr, Mr Poe, Mr Ray"
+    texts = [ITEM.upper(), ITEM.lower(), ITEM.title(), ITEM.upper().replace("12", "77"), names.lower(), names.upper(), people.lower(), "other words " * 20]
+    got = flagged(spark, texts, [(1, ITEM), (2, names), (3, people)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3)}
+    assert all(r.n_matched == r.n_windows for r in got.values())
