@@ -4,13 +4,13 @@ Texts are lower-cased, stripped of punctuation and cut into tokens; numbers, nam
 and units (after a number) become typed placeholders. Windows that hold names are also taken with the names as
 plain words, so that a copy in other letter case matches. Windows of ``WIDTH`` tokens are hash-joined
 with those of the benchmark's items. Matches are gathered by diagonal (place in the text less place in the item), the
-values under matching placeholders are paired, and a diagonal counts only if they form a consistent
-one-to-one replacement, so a question asked with other numbers or names is caught, and a text that
-merely has the same shape is not. A text is contaminated by an item if consistent diagonals hold ``SHARE`` of the item's
-windows, or ``RUN`` windows in all (items that have so many).
+values under matching placeholders are paired, and windows with changed values count only if these form a consistent
+replacement (one new value for each value of the item), so a question asked with other numbers or names is caught, and
+a text that merely has the same shape is not. A text is contaminated by an item if consistent diagonals hold ``SHARE``
+of the item's windows, or any diagonal a stretch of ``RUN`` (where the replacement isn't consistent: of unchanged windows).
 
 The benchmark side is counted: up to ``BROADCAST`` windows it is broadcast; beyond, the windows are joined by shuffle.
-Windows with fewer than two plain tokens say nothing and aren't used.
+Windows with fewer than two plain tokens match by their values only.
 
 Defined cases: null and empty texts and those of fewer than WIDTH tokens match nothing; items of fewer than WIDTH
 tokens are one window, matched as a whole by no text (they can't be told from chance); repeated rows of an id are one
@@ -56,36 +56,43 @@ def _cased(w: Column) -> Column:
 
 
 def template_windows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, h, slots, cased): the hash of each window's template, and the text's slots (place, value), if any.
+    """(key, pos, h, slots, kind): the hash of each window's template, and the text's slots (place, value), if any.
 
-    A window that holds names has a second row (cased), in which they are words and no slots.
+    kind 0: every window; 1: those that hold names, which are words and no slots; 2: those with fewer than two plain
+    tokens beside numbers and units, hashed by their values.
     """
     x = rows.select(F.col(key), tokens(F.col(text)).alias("w")).where(F.size("w") >= WIDTH)
     slots = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("value"))), lambda s: s["value"] < "\x04")
     x = x.select(key, "w", F.transform("w", lambda w: F.xxhash64(_typed(w))).alias("t"), F.when(F.exists("w", lambda w: w < "\x04"), slots).alias("slots"))
     last = F.size("t") - WIDTH  # the place of the last window
+    none = F.expr("CAST(array() AS array<int>)")
     names = F.filter("slots", lambda s: s["value"].startswith(NAME))
     around = F.array_distinct(F.flatten(F.transform(names, lambda s: F.sequence(F.greatest(F.lit(0), s["at"] - (WIDTH - 1)), F.least(s["at"], last)))))
-    x = x.select(key, "w", "t", "slots", F.when(F.exists("slots", lambda s: s["value"].startswith(NAME)), around).alias("around"))
+    bare = F.filter("slots", lambda s: ~s["value"].startswith(NAME))
+    x = x.select(key, "w", "t", "slots", F.when(F.exists("slots", lambda s: s["value"].startswith(NAME)), around).alias("around"), bare.alias("bare"))
+    at = lambda j: F.element_at("bare", j)["at"]
+    most = WIDTH - 1  # so many numbers and units, or more
+    full = F.transform(F.sequence(F.lit(1), F.size("bare") - (most - 1)), lambda j: F.when(at(j + most - 1) - at(j) < WIDTH, F.sequence(F.greatest(F.lit(0), at(j + most - 1) - (WIDTH - 1)), F.least(at(j), last))).otherwise(none))
+    x = x.select(key, "w", "t", "slots", "bare", F.coalesce("around", none).alias("around"), F.when(F.size("bare") >= most, F.array_distinct(F.flatten(full))).otherwise(none).alias("full"))
     window = F.transform(F.sequence(F.lit(1), F.size("t") - (WIDTH - 1)), lambda i: F.xxhash64(*[F.element_at("t", i + k) for k in range(WIDTH)]))
-    cased = F.transform("around", lambda i: F.xxhash64(*[F.xxhash64(_cased(F.element_at("w", i + k + 1))) for k in range(WIDTH)]))
-    every = F.when(F.col("around").isNull(), window).otherwise(F.concat(window, cased))
-    x = x.select(key, "slots", "around", (last + 1).alias("m"), F.posexplode(every).alias("p", "h"))
-    again = F.col("p") >= F.col("m")
-    pos = F.when(again, F.element_at("around", F.col("p") - F.col("m") + 1)).otherwise(F.col("p"))
-    return x.select(key, F.when(again, F.filter("slots", lambda s: ~s["value"].startswith(NAME))).otherwise(F.col("slots")).alias("slots"), pos.alias("pos"), "h", again.alias("cased"))
+    again = lambda c, f: F.transform(c, lambda i: F.xxhash64(*[F.xxhash64(f(F.element_at("w", i + k + 1))) for k in range(WIDTH)]))
+    every = F.when((F.size("around") == 0) & (F.size("full") == 0), window).otherwise(F.concat(window, again("around", _cased), again("full", lambda w: F.translate(w, NAME, ""))))
+    x = x.select(key, "slots", "bare", F.concat("around", "full").alias("places"), (last + 1).alias("m"), F.size("around").alias("m1"), F.posexplode(every).alias("p", "h"))
+    kind = F.when(F.col("p") < F.col("m"), 0).when(F.col("p") < F.col("m") + F.col("m1"), 1).otherwise(2)
+    pos = F.when(F.col("p") >= F.col("m"), F.element_at("places", F.col("p") - F.col("m") + 1)).otherwise(F.col("p"))
+    return x.select(key, F.when(F.col("p") >= F.col("m"), F.col("bare")).otherwise(F.col("slots")).alias("slots"), pos.alias("pos"), "h", kind.alias("kind"))
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, pos, h, slots, typed, n, n_typed: the item's windows that have two plain tokens at least.
+    """item_id, pos, h, slots, typed, n, n_typed: the item's windows; those of fewer than two plain tokens by their values only.
 
-    typed: whether the window has them with names as slots; n: how many places there are; n_typed: of these, typed.
+    typed: whether the window has two plain tokens with names as slots; n: how many places there are; n_typed: of these, typed.
     """
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(F.col("item_id").isNotNull())
     w = template_windows(rows, "item_id", "text")
     in_window = F.filter("slots", lambda s: (s["at"] >= F.col("pos")) & (s["at"] < F.col("pos") + WIDTH))
-    w = w.where(F.coalesce(F.size(in_window), F.lit(0)) <= WIDTH - 2)
-    w = w.withColumn("typed", F.max(~F.col("cased")).over(Window.partitionBy("item_id", "pos"))).drop("cased")
+    w = w.where((F.coalesce(F.size(in_window), F.lit(0)) <= WIDTH - 2) | (F.col("kind") == 2))
+    w = w.withColumn("typed", F.max(F.col("kind") == 0).over(Window.partitionBy("item_id", "pos"))).drop("kind")
     return w.join(w.groupBy("item_id").agg(F.countDistinct("pos").alias("n"), F.countDistinct(F.when(F.col("typed"), F.col("pos"))).alias("n_typed")), "item_id")
 
 
@@ -99,18 +106,30 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     local = lambda slots, pos: F.transform(F.filter(slots, lambda s: (s["at"] >= F.col(pos)) & (s["at"] < F.col(pos) + WIDTH)), lambda s: F.struct((s["at"] - F.col(pos)).alias("at"), s["value"].alias("value")))
     both = F.zip_with(local("i_slots", "i_pos"), local("slots", "pos"), lambda i, d: F.struct((i["at"] + F.col("i_pos")).alias("at"), i["value"].alias("item"), d["value"].alias("doc")))
     hits = hits.select("doc_id", "item_id", "n_windows", "n_typed", "typed", "i_pos", (F.col("pos") - F.col("i_pos")).alias("diagonal"), F.coalesce(both, F.expr("CAST(array() AS array<struct<at:int,item:string,doc:string>>)")).alias("pairs"))
-    diagonals = hits.groupBy("doc_id", "item_id", "n_windows", "n_typed", "diagonal").agg(F.collect_set("i_pos").alias("at"), F.collect_set(F.when(F.col("typed"), F.col("i_pos"))).alias("at_typed"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda p: p[k])))
-    pairs = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["item"], p["doc"]))))
-    diagonals = diagonals.where((pairs == values("item")) & (pairs == values("doc")))
+    hits = hits.withColumn("same", ~F.exists("pairs", lambda p: p["item"] != p["doc"]))
+    same, moved = (lambda c: F.when(F.col("same"), c)), (lambda c: F.when(~F.col("same"), c))
+    distinct = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    diagonals = hits.groupBy("doc_id", "item_id", "n_windows", "n_typed", "diagonal").agg(
+        F.collect_set("i_pos").alias("at"),
+        F.collect_set(F.when(F.col("typed"), F.col("i_pos"))).alias("at_typed"),
+        F.collect_set(same(F.col("i_pos"))).alias("at_same"),
+        distinct(F.col("pairs")).alias("pairs"),
+        distinct(same(F.col("pairs"))).alias("pairs_same"),
+        distinct(moved(F.col("pairs"))).alias("moved"),
+    )
+    # windows with changed values count if each value of the item has one new value; the others hold the item's own words
+    fits = F.size(F.array_distinct(F.transform("moved", lambda p: F.struct(p["item"], p["doc"])))) == F.size(F.array_distinct(F.transform("moved", lambda p: p["item"])))
+    none = F.expr("CAST(array() AS array<int>)")
+    shared = lambda k: F.when(fits, F.col(k)).otherwise(none)
+    diagonals = diagonals.select("doc_id", "item_id", "n_windows", "n_typed", shared("at").alias("at_fit"), shared("at_typed").alias("at_typed"), F.when(fits, F.col("at")).otherwise(F.col("at_same")).alias("at"), F.when(fits, F.col("pairs")).otherwise(F.col("pairs_same")).alias("pairs")).where(F.size("at") > 0)
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
     # longest stretch of adjacent windows: sorted places less their rank are equal within a stretch
     ranked = F.transform(F.array_sort("at"), lambda p, i: p - i)
     stretch = F.array_max(F.transform(F.array_distinct(ranked), lambda r: F.size(F.filter(ranked, lambda q: q == r))))
-    diagonals = diagonals.select("doc_id", "item_id", "n_windows", "n_typed", "at", "at_typed", stretch.alias("stretch"), F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
+    diagonals = diagonals.select("doc_id", "item_id", "n_windows", "n_typed", "at", "at_fit", "at_typed", stretch.alias("stretch"), F.size("pairs").alias("n_slots"), changed.alias("n_changed"))
     places = lambda k: F.size(F.array_distinct(F.flatten(F.collect_list(k))))
-    whole = diagonals.groupBy("doc_id", "item_id", "n_windows", "n_typed").agg(places("at").alias("n_matched"), places("at_typed").alias("n_matched_typed"), F.max("stretch").alias("longest"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
-    most = (F.col("n_matched") >= share * F.col("n_windows")) | ((F.col("n_typed") > 0) & (F.col("n_matched_typed") >= share * F.col("n_typed")))
+    whole = diagonals.groupBy("doc_id", "item_id", "n_windows", "n_typed").agg(places("at").alias("n_matched"), places("at_fit").alias("n_matched_fit"), places("at_typed").alias("n_matched_typed"), F.max("stretch").alias("longest"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
+    most = (F.col("n_matched_fit") >= share * F.col("n_windows")) | ((F.col("n_typed") > 0) & (F.col("n_matched_typed") >= share * F.col("n_typed")))
     return whole.where(most | (F.col("longest") >= run)).select("doc_id", "item_id", *[F.col(c).cast("long").alias(c) for c in ("n_windows", "n_matched", "longest", "n_slots", "n_changed")])
 
 

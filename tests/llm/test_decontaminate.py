@@ -81,3 +81,16 @@ def test_copies_in_other_case(spark):
     got = flagged(spark, texts, [(1, ITEM), (2, names), (3, people)])
     assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3)}
     assert all(r.n_matched == r.n_windows for r in got.values())
+
+
+def test_inconsistent_slots_leave_the_rest(spark):
+    verbatim = "12 apples cost as much as 12 pears if the old farmer who sells them on the market square beside the town hall is in a good mood"
+    table = "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9"
+    merged = ITEM.replace("12", "7").replace("5 stops", "7 stops")
+    odd = verbatim.replace("12 apples", "77 apples").replace("12 pears", "41 pears")
+    shape = ITEM.replace("12 passengers", "77 passengers").replace("12 bags", "41 bags").replace("town", "place")
+    got = flagged(spark, [merged, odd, "so " + table + " they say", table.replace("5", "6"), shape], [(1, ITEM), (2, verbatim), (3, table)])
+    assert set(got) == {(0, 1), (1, 2), (2, 3)}
+    assert got[0, 1].n_changed == 3 and got[0, 1].n_matched == got[0, 1].n_windows
+    assert got[1, 2].n_changed == 0 and got[1, 2].longest >= RUN
+    assert got[2, 3].n_matched == got[2, 3].n_windows == 11
