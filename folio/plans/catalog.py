@@ -423,7 +423,7 @@ def pages_messages(spark, d):
 def emails(spark, d):
     docs = _table(spark, d, "documents").where(F.col("text").contains("@"))
     n = DocFrame(docs, "text", "doc_id").nodes().where("tag = 'a'").select("source_id", F.col("props")[0]["s"].alias("href"))
-    return n.where("href LIKE 'mailto:%'").select("source_id", F.substring("href", 8, 1000).alias("address"))
+    return n.where("href LIKE 'mailto:%'").select("source_id", F.expr("substring(href, 8)").alias("address"))
 
 
 @query("SELECT o_orderkey AS source_id, 'http://x.com/a,' || o_orderkey AS href FROM orders")

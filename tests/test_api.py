@@ -85,3 +85,11 @@ def test_command_line(tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         main(["--nothing"])
     assert e.value.code == 2
+
+
+def test_long_address_is_whole(spark, tmp_path):
+    from folio.plans.catalog import QUERIES
+
+    address = "a" * 1500 + "@example.com"
+    spark.createDataFrame([(1, f"write to {address} today")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.address for r in QUERIES["emails"](spark, str(tmp_path)).collect()] == [address]
