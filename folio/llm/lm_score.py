@@ -3,10 +3,9 @@
 Corpus counts cover every training text. Tokens outside the recurrent model's vocabulary are one symbol of
 the model, and are told apart by their smoothed counts, so that the score is the log-probability of the text as it is.
 
-The recurrent model is trained by rounds of local passes: all training texts are dealt over shards of about
-``SHARD_TOKENS`` tokens, each shard makes one pass of truncated backpropagation from the common weights, and
-the results are averaged by tokens. ``one_in`` above 1 trains on a sample by a hash of the ids; the query doesn't.
-Every text, trained on or not, is scored whole.
+The recurrent model is trained once on every training text: texts are dealt over two rounds and, in a round, over
+shards of about ``SHARD_TOKENS`` tokens; each shard makes one pass of truncated backpropagation from the common
+weights, and the results are averaged by tokens. Every text, trained on or not, is scored whole.
 
 Words of up to ``FREQUENT`` ranks are looked up in a table of bounded size that each task holds; the counts of
 rarer ones, none of which can be a hot key, are joined by shuffle.
@@ -19,49 +18,71 @@ untrained one.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import crc_mod, lower_ascii, staged, words_of
+from .common import crc_mod, staged
 
 END = "\n"  # no word holds a line end
 HELD_OUT_OF, HELD_OUT = 7, 2
 FREQUENT = 100_000
-SHARD_TOKENS = 500_000
-RATES = (0.01, 0.004)  # of the rounds
-PARTIAL = 64
-_FLUSH, _BATCH_TOKENS = 300_000, 500_000
+SHARD_TOKENS = 2_000_000
+RATES = (0.02, 0.01)  # of the rounds
+_FLUSH, _POOL_TOKENS = 1_000_000, 4_000_000
 
 
-def tokens(text) -> list[str]:
-    out = words_of(lower_ascii(text)) if isinstance(text, str) else []
-    return [*out, END]
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased (A-Z) words of a batch of texts, one after the other, and how many each text has. Null texts have none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, cuts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    full = pc.not_equal(words, "")  # blanks at either end leave an empty piece
+    before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    return words.filter(full), np.diff(before[cuts - cuts[0]])
+
+
+def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> list[np.ndarray]:
+    """The ids of each text, the end token last."""
+    out = np.full(len(ids) + len(counts), end, np.int16)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+    return np.split(out, np.cumsum(counts + 1)[:-1])
+
+
+def vocabulary_ids(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """1 + place in the vocabulary, 0 for words outside."""
+    return pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy().astype(np.int64) + 1
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all rows of docs (text)."""
+    """(word, n) over all rows of docs (text); each row has one end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter[str] = Counter()
-        frame = lambda: pd.DataFrame({"word": list(c), "n": list(c.values())})
         for b in batches:
-            for t in b["text"]:
-                c.update(tokens(t))
-                if len(c) > _FLUSH:
-                    yield frame()
-                    c.clear()
-        if c:
-            yield frame()
+            words, counts = split_words(b.column(0))
+            got = words.value_counts()
+            held += [pa.table({"word": got.field(0), "n": got.field(1)}), pa.table({"word": [END], "n": pa.array([len(counts)], pa.int64())})]
+            rows += len(got)
+            if rows > _FLUSH:
+                held, rows = [merged()], 0
+                if held[0].num_rows > _FLUSH // 2:
+                    yield from held[0].to_batches()
+                    held = []
+        if held:
+            yield from merged().to_batches()
 
-    return docs.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[str, int]]:
@@ -79,25 +100,22 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[str, i
     return sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def _ids(lm: dict[str, int], ws: list[str]) -> np.ndarray:
-    return np.fromiter(map(lm.get, ws, repeat(0)), np.int32, len(ws))
-
-
-def train_model(docs: DataFrame, lm: dict[str, int], start: dict, n_tokens: int, rates=RATES, one_in: int = 1) -> dict:
-    """Weights after a round for each rate. docs: (doc_id, text), training rows only."""
+def train_model(docs: DataFrame, lm_words: list[str], start: dict, n_tokens: int, rates=RATES) -> dict:
+    """Weights after a round for each rate; a text is in one round. docs: (doc_id, text), training rows only."""
     sc = docs.sparkSession.sparkContext
-    picked = docs.where(F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(one_in)) == 0)
-    shards = max(1, -(-n_tokens // one_in // SHARD_TOKENS))
-    words = sc.broadcast(lm)
+    shards = max(1, -(-n_tokens // len(rates) // SHARD_TOKENS))
+    parts = max(1, int(np.ceil(np.sqrt(shards))))
+    vocabulary, end = sc.broadcast(lm_words), lm_words.index(END) + 1
+    schema = "block int, part int, n double, w array<float>"
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary.value, pa.string())
         for b in batches:
-            keys = [zlib.crc32(f"{i}:{t}".encode()) for i, t in zip(b["doc_id"], b["text"])]  # the id, so that copies are dealt over shards
-            yield pd.DataFrame({"key": keys, "ids": [_ids(words.value, tokens(t)) for t in b["text"]]})
-
-    encoded = staged(picked.select("doc_id", "text").mapInPandas(encode, "key long, ids array<int>").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))))
-    weights, end = gru.flat(start), lm[END]
-    schema = "block int, part int, n double, w array<float>"
+            words, counts = split_words(b.column("text"))
+            texts = [t.tobytes() for t in with_ends(vocabulary_ids(words, known), counts, end)]
+            # by the id too, so that copies are dealt over shards
+            keys = [zlib.crc32(t, zlib.crc32(str(i).encode())) for i, t in zip(b.column("doc_id").to_pylist(), texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.binary())], ["key", "ids"])
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
         n = rows["n"].to_numpy()
@@ -107,17 +125,21 @@ def train_model(docs: DataFrame, lm: dict[str, int], start: dict, n_tokens: int,
     def one_pass(now, rate: float):
         def fit(rows: pd.DataFrame) -> pd.DataFrame:
             """One shard: about SHARD_TOKENS tokens, whatever the number of partitions."""
-            texts = [np.asarray(i, np.int32) for _, i in sorted(zip(rows["key"], rows["ids"]), key=lambda r: (r[0], len(r[1])))]
+            texts = [np.frombuffer(i, np.int16) for _, i in sorted(zip(rows["key"], rows["ids"]))]
             new = gru.flat(gru.train(gru.unflat(now.value), texts, end, rate))
-            parts = np.array_split(new, range(gru.BLOCK, len(new), gru.BLOCK))
-            return pd.DataFrame({"block": np.arange(len(parts)), "part": int(rows["shard"].iloc[0]) % PARTIAL, "n": float(sum(map(len, texts))), "w": parts})
+            w = np.array_split(new, range(gru.BLOCK, len(new), gru.BLOCK))
+            return pd.DataFrame({"block": np.arange(len(w)), "part": int(rows["shard"].iloc[0]) % parts, "n": float(sum(map(len, texts))), "w": w})
 
         return fit
 
-    for rate in rates:
+    encoded = docs.select("doc_id", "text").mapInArrow(encode, "key long, ids binary")
+    deal = lambda what, n: F.pmod(F.xxhash64(F.lit(what), F.col("key"), F.length("ids")), F.lit(n)).cast("int")
+    encoded = encoded.select("key", "ids", deal("round", len(rates)).alias("round"), deal("shard", shards).alias("shard"))
+    weights = gru.flat(start)
+    for i, rate in enumerate(rates):
         now = sc.broadcast(weights)
-        got = encoded.groupBy("shard").applyInPandas(one_pass(now, rate), schema)
-        # means of up to PARTIAL parts of the shards, then of the parts: no task holds the weights of all shards
+        got = encoded.where(F.col("round") == i).groupBy("shard").applyInPandas(one_pass(now, rate), schema)
+        # means of the shards of a part, then of the parts: no task holds the weights of all shards
         got = got.groupBy("block", "part").applyInPandas(mean, schema).groupBy("block").applyInPandas(mean, schema)
         rows = staged(got.select("block", "w")).collect()  # as many values as the model has weights
         weights = weights.copy()
@@ -126,10 +148,53 @@ def train_model(docs: DataFrame, lm: dict[str, int], start: dict, n_tokens: int,
     return gru.unflat(weights)
 
 
-PARTS = "doc_id long, n_tokens long, n_known long, base double, score double, words array<string>, times array<long>"
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_in: int = 1) -> DataFrame:
+PARTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+
+
+class Scorer:
+    """Scores batches of (doc_id, text). Words that are not among the frequent ones are handed on with their numbers."""
+
+    def __init__(self, p: dict, lm_words: list[str], frequent: list[tuple[str, int]], base_d: float, rest_d: float):
+        self.p, self.base_d, self.rest_d = p, base_d, rest_d
+        self.lm, self.end = pa.array(lm_words, pa.string()), lm_words.index(END) + 1
+        self.frequent = pa.array([w for w, _ in frequent], pa.string())
+        self.logs = np.log10(np.array([0.0, *[c for _, c in frequent]]) + 1)
+        self.end_log = dict(frequent).get(END)
+        self.pending, self.texts, self.size = [], [], 0
+
+    def add(self, b: pa.RecordBatch) -> None:
+        words, counts = split_words(b.column("text"))
+        coded = words.dictionary_encode()
+        code, n = coded.indices.to_numpy().astype(np.int64), len(counts)
+        doc = np.repeat(np.arange(n), counts)
+        lm, place = vocabulary_ids(coded.dictionary, self.lm), vocabulary_ids(coded.dictionary, self.frequent)
+        per_doc = lambda x: np.bincount(doc, x, n).astype(float)
+        known = (place > 0)[code]
+        base, n_known = per_doc(np.where(place > 0, self.logs[place] - self.base_d, 0.0)[code]), per_doc(known)
+        extra = per_doc(np.where((place > 0) & (lm == 0), self.logs[place] - self.rest_d, 0.0)[code])
+        if self.end_log is not None:
+            base += log10(self.end_log + 1) - self.base_d
+            n_known += 1
+        else:  # no training text at all
+            base -= self.base_d
+        pairs, times = np.unique(doc[~known] * max(1, len(place)) + code[~known], return_counts=True)
+        of, rare = np.divmod(pairs, max(1, len(place)))
+        cuts = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, coded.dictionary.take(pa.array(rare))), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64()))]
+        self.pending.append((b.column("doc_id"), counts + 1, n_known.astype(np.int64), base, extra, lists))
+        self.texts += with_ends(lm[code], counts, self.end)
+        self.size += len(words) + n
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        scores, at = gru.score(self.p, self.texts, self.end), 0
+        for ids, n_tokens, n_known, base, extra, lists in self.pending:
+            got = scores[at : at + len(ids)] + extra
+            at += len(ids)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_tokens, pa.int64()), pa.array(n_known), pa.array(base), pa.array(got), *lists], schema=PARTS)
+        self.pending, self.texts, self.size = [], [], 0
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -141,53 +206,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lm_words = [w for w, _ in top[: gru.WORDS]]
     if END not in lm_words:
         lm_words = [*lm_words[: gru.WORDS - 1], END]
-    lm = {w: i + 1 for i, w in enumerate(lm_words)}
     by_word = dict(top)
+    if n_all and END not in by_word:  # fewer ends than any frequent word has
+        by_word[END] = counts.where(F.col("word") == END).first()["n"]
+        top.append((END, by_word[END]))
     lm_counts = np.zeros(gru.WORDS + 1)
     lm_counts[1 : len(lm_words) + 1] = [by_word.get(w, 0) for w in lm_words]
     known = sum(1 for w in lm_words if by_word.get(w))
     rest_n, rest_v = n_all - int(lm_counts.sum()), v_all - known
     lm_counts[0] = max(rest_n, 1)
-    model = train_model(training, lm, gru.initial(lm_counts), n_all, one_in=one_in)
-    held = sc.broadcast((model, lm, by_word))  # bounded: WORDS, FREQUENT and the model's size
+    model = train_model(training, lm_words, gru.initial(lm_counts), n_all)
     base_d, rest_d = log10(n_all + v_all + 1), log10(rest_n + rest_v + 1)
+    held = sc.broadcast((model, lm_words, top, base_d, rest_d))  # bounded: WORDS, FREQUENT and the model's size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, lm, by_word = held.value
-        logs = {w: log10(c + 1) for w, c in by_word.items()}
-        end, done, encoded, size = lm[END], [], [], 0
-
-        def flush():
-            nonlocal done, encoded, size
-            got = gru.score(p, encoded, end)
-            x = pd.DataFrame([(*d[:4], d[4] + s, *d[5:]) for d, s in zip(done, got.tolist())], columns=[c.split()[0] for c in PARTS.split(", ")])
-            done, encoded, size = [], [], 0
-            return x.astype({"doc_id": "Int64"})
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*held.value)
         for b in batches:
-            for i, t in zip(b["doc_id"], b["text"]):
-                ws = tokens(t)
-                base = score = 0.0
-                n_known, rare, times = 0, [], []
-                for w, n in Counter(ws).items():
-                    x = logs.get(w)
-                    if x is None:
-                        rare.append(w)
-                        times.append(n)
-                        continue
-                    n_known += n
-                    base += n * (x - base_d)
-                    if w not in lm:
-                        score += n * (x - rest_d)
-                encoded.append(_ids(lm, ws))
-                done.append((None if i != i or i is None else int(i), len(ws), n_known, base, score, rare, times))
-                size += len(ws)
-                if size > _BATCH_TOKENS:
-                    yield flush()
-        if done:
-            yield flush()
-
-    parts = staged(rows.mapInPandas(run, PARTS).withColumn("uid", F.monotonically_increasing_id()))
+            scorer.add(b)
+            if scorer.size > _POOL_TOKENS:
+                yield from scorer.flush()
+        yield from scorer.flush()
+
+    parts = staged(rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, words array<string>, times array<long>").withColumn("uid", F.monotonically_increasing_id()))
     rare = parts.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     sums = rare.join(counts, "word", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(c + 1)).alias("logs"), F.sum("times").alias("times"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))

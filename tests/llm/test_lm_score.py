@@ -7,8 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folio.llm import gru
-from folio.llm.lm_score import op9_lm_score, score_documents
+from folio.llm import gru, lm_score
+from folio.llm.lm_score import frequent_words, op9_lm_score, score_documents
 
 
 @pytest.fixture(scope="module")
@@ -19,9 +19,9 @@ def weights():
 
 def test_gradients_match_differences(weights):
     rng = np.random.default_rng(1)
-    xs, ys = rng.integers(0, 20, (5, 3)), rng.integers(0, 200, (5, 3))
-    new = np.zeros((5, 3), bool)
-    new[0], new[3, 1] = True, True
+    xs, ys = rng.integers(0, 20, 11), rng.integers(0, 200, 11)
+    new = np.zeros(11, bool)
+    new[:3], new[9] = True, True
     args = (xs, ys, new, [3, 3, 2, 2, 1], rng.standard_normal((3, gru.HIDDEN)))
     _, g, _ = gru.gradients(weights, *args)
     for k in gru.SHAPES:
@@ -42,7 +42,7 @@ def test_score_is_of_the_whole_text(weights):
     assert np.allclose(ways[0], ways[1]) and np.allclose(ways[0], ways[2])
     h, total = np.zeros((1, gru.HIDDEN)), 0.0
     for before, y in zip([5, *texts[2][:-1]], texts[2]):
-        h = gru._step(weights, np.array([before]), h)[0]
+        h = gru.Run(1, float).forward(weights, np.array([before]), np.array([False]), [1], h)
         total += gru.log_probs(weights, h, np.array([y]))[0]
     assert math.isclose(total / math.log(10), ways[0][2], rel_tol=1e-6)
 
@@ -57,8 +57,8 @@ def test_base_and_held_out_gain(spark):
     rng = random.Random(6)
     langs = [["%s%d" % (c, i) for i in range(60)] for c in "ab"]
     rows = [(i, " ".join(rng.choices(langs[i % 2], k=60))) for i in range(600)] + [(900, None), (901, ""), (None, "A0 B0"), (902, "never seen"), (5, "a1")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score long").select("doc_id", "text")
-    got = score_documents(df, one_in=1).collect()
+    df = spark.createDataFrame([(*r, 1, None) for r in rows], "doc_id long, text string, score long, words string")
+    got = score_documents(df).collect()
     assert len(got) == len(rows)
     tok = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()), "\n"]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
@@ -86,3 +86,30 @@ def test_query_trains_on_every_training_text(spark, tmp_path):
     df.where("pmod(xxhash64('train', doc_id), 16) <> 0").write.parquet(f"{tmp_path}/documents.parquet")
     got = op9_lm_score(spark, str(tmp_path)).where("held_out").collect()
     assert len(got) > 50 and sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)
+
+
+def test_scores_are_those_of_a_plain_loop(spark, monkeypatch):
+    """Vocabulary, frequent words, rare words joined by shuffle, and words that were never seen: one token after the other."""
+    monkeypatch.setattr(lm_score, "train_model", lambda docs, words, start, n: start)
+    monkeypatch.setattr(lm_score, "frequent_words", lambda counts: frequent_words(counts, 2300))
+    rng = random.Random(12)
+    words = ["Wörd%d" % i for i in range(3500)]
+    rows = [(i, "  ".join(rng.choices(words, [(k + 1) ** -0.5 for k in range(3500)], k=600)) + " new%d " % i) for i in range(150)]
+    rows += [(None, None), (2**60 + 1, " \n"), (2**60 + 3, "x\x85y\xa0z")]
+    tok = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
+    c = Counter(w for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for w in tok(t))
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    top = frequent_words(spark.createDataFrame(list(c.items()), "word string, n long"), 2300)
+    vocabulary = {w: i + 1 for i, (w, _) in enumerate(top[: gru.WORDS])}
+    assert len(vocabulary) == gru.WORDS < len(top) < len(c) and len(got) == len(rows)
+    counts = np.array([0.0, *[c[w] for w in vocabulary]])
+    counts[0] = sum(c.values()) - counts.sum()
+    p = gru.initial(counts)
+    outside = math.log10(counts[0] + len(c) - len(vocabulary) + 1)
+    for i, t in [*rows[:12], *rows[-3:]]:
+        h, before, total = np.zeros((1, gru.HIDDEN), np.float32), vocabulary["\n"], 0.0
+        for w in tok(t):
+            h = gru.Run(1).forward(p, np.array([before]), np.array([False]), [1], h)
+            before = vocabulary.get(w, 0)
+            total += gru.log_probs(p, h, np.array([before]))[0] / math.log(10) + (0 if before else math.log10(c[w] + 1) - outside)
+        assert math.isclose(got[i].score, total, rel_tol=1e-5)
