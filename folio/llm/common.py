@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
 import uuid
@@ -86,17 +85,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unstage(spark: SparkSession, *dfs: DataFrame) -> None:
-    """Delete staged tables that nothing will read again, and let Spark drop the shuffle files of finished steps.
-
-    Spark removes shuffle files when the driver's garbage collector finds their plans unused; on disks sized for one step at a
-    time that may come too late, so collection is asked for here.
-    """
+def unstage(*dfs: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
     for df in dfs:
         for file in df.inputFiles()[:1]:
-            _drop(spark, file.rpartition("/")[0])
-    gc.collect()
-    spark._jvm.System.gc()
+            _drop(df.sparkSession, file.rpartition("/")[0])
 
 
 def drop_staged(spark: SparkSession) -> None:
@@ -114,17 +107,24 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, broadcast_rows: int = 200_000, salts: int = 64) -> DataFrame:
+def table_bytes(df: DataFrame) -> int:
+    """A bound of what the rows of df take: 16 bytes for a value of fixed size, 16 and its length as text for any other."""
+    loose = [c for c, t in df.dtypes if any(k in t for k in ("string", "binary", "array", "map", "struct"))]
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in loose), F.lit(16 * (len(df.columns) + len(loose))))
+    return int(df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0])
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, broadcast_bytes: int = 24_000_000, salts: int = 64) -> DataFrame:
     """Left join with a table that has at most one row per key; null keys match null keys.
 
-    ``right`` is staged and counted. Up to ``broadcast_rows`` rows it is broadcast, a proven bound;
-    beyond, both sides are dealt out by key and a salt, so that a key with a third of ``left`` is
+    ``right`` is staged and measured. Up to ``broadcast_bytes`` (texts as long as they are, 16 bytes for any other value) it is
+    broadcast; beyond, both sides are dealt out by key and a salt, so that a key with a third of ``left`` is
     spread over ``salts`` tasks. ``spread`` is any deterministic column of ``left`` to salt by.
     """
     right = staged(right)
     names = [f"_r_{k}" for k in keys]
     right = right.select(*[right[k].alias(n) for k, n in zip(keys, names)], *[c for c in right.columns if c not in keys])
-    small = right.count() <= broadcast_rows
+    small = table_bytes(right) <= broadcast_bytes
     if small:
         on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[n]) for k, n in zip(keys, names)])
         return left.join(F.broadcast(right), on, "left").drop(*names)
@@ -134,6 +134,24 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, b
     return left.join(right, on, "left").drop("_salt", "_r_salt", *names)
 
 
+HEAVY = 100_000  # keys that join_counted broadcasts at most, each with at least this share of all rows
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """Inner join with a staged table that has one row per key, and in ``size`` how many rows of ``left`` have that key.
+
+    A small table is broadcast by its measured bytes. Else the keys that hold more than 1 / HEAVY of all rows, HEAVY
+    of them at most, are broadcast, and only the others, none of which is a large part of the rows, are shuffled.
+    """
+    got = right.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total")).first()
+    if got["n"] <= HEAVY:
+        return left.join(F.broadcast(right), key)
+    least = max(1_000, got["total"] // HEAVY)
+    heavy, light = right.where(F.col(size) > least), right.where(F.col(size) <= least)
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return left.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 # --- connected components ---------------------------------------------------
 
 
@@ -146,25 +164,23 @@ def _stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps, each one aggregation and one join on a key; every
-    round is staged, so a lost executor repeats one round at most. A hub's edges are pre-aggregated
-    (min) before the shuffle, so that no task holds the neighbours of a hub.
+    Alternates large-star and small-star steps, each one aggregation and one join on a node. Minima are
+    pre-aggregated before the shuffle, and nodes with a large part of all edges are joined by broadcast (``join_counted``), so
+    that no task holds the neighbours of a hub. Every round is staged: a lost executor repeats one round at most.
     """
-    spark = edges.sparkSession
     edges = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(max_rounds):
         if _stars(edges):
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour of x to the smallest of x and its neighbours
-        low = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(low, both.a == low.x).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("size")).select("a", F.least("a", "m").alias("m"), "size"))
+        large = staged(join_counted(both, low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
         # small star: every smaller neighbour of x, and x, to the smallest one
-        large = large.distinct()
-        least = large.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("m"))
-        small = large.join(least, large.b == least.x).select(F.col("m").alias("lo"), F.explode(F.array("a", "b")).alias("hi")).where("lo <> hi")
+        least = staged(large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("size")))
+        small = join_counted(large, least, "b").select(F.col("m").alias("lo"), F.explode(F.array("a", "b")).alias("hi")).where("lo <> hi")
         new = staged(small.select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct())
-        unstage(spark, edges)
+        unstage(edges, low, large, least)
         edges = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

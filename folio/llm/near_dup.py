@@ -2,22 +2,25 @@
 
 Each text becomes the set of its distinct word shingles, hashed to 64 bits; its sketch is the ``K``
 smallest hashes. Texts with equal sets are folded into one representative first. Inverted lists of
-retained values generate candidates: a pair that is similar enough shares at least ``needed(n)`` retained
-values, so it shares one among the rarest ``len - needed + 1`` of each, and only those are listed (rarity is a
-fixed-size table of hashed counts; any order is right, a good one keeps lists short). The sketch of the
-union estimates the similarity and drops most candidates; the rest is decided on the full sets.
-
-A list never emits all its pairs at once. First every set meets the smallest member of its lists that it shares most
-values with; the links found join sets into components. Then only pairs of different components still meet, those
-that share a long list in a grid of blocks, so a group of thousands of near copies emits a number of pairs
-linear in its size, and no link between components is lost.
+retained values generate candidates: a pair that is similar enough shares at least ``overlap`` retained
+values, so it shares ``SHARED`` among the rarest ``len - overlap + SHARED`` of each (by their exact numbers over all
+representatives), and only those are listed. The sketch of the union estimates the similarity and drops most
+candidates; the rest is decided on the full sets.
+
+Pairs are never rows of a table. First every set meets the smallest member of its lists that it shares most
+values with; the links found join sets into components. Then members of a list meet if they are in different components,
+and a pair meets once, in the list of its first shared value. A list of many members is split by the second value that
+a pair shares, and what is still long is cut into blocks; a task compares the members of one list or of two blocks,
+first by their listed values, and only those with a candidate get their texts. So a group of near copies costs a number
+of rows linear in its size, no task grows with a group, and no link between components is lost.
 
 Chance: for sets within K the needed overlap is certain; beyond, a pair at the threshold has fewer than NEEDED
 of K values in common with probability below 1e-6 (binomial), and falls below the estimate's margin as rarely.
 
 Defined cases: null, empty and blank texts have empty sets and stay alone; a text of fewer words than a shingle
 is one shingle, its whole sequence; rows that repeat an id are one node, linked where
-any of their texts is (each row keeps its own n_shingles); null ids can't be named as a component, so they stay alone with a null component and are kept.
+any of their texts is (each row keeps its own n_shingles); null ids can't be named as a component, so they stay alone with a
+null component and are kept. ``drop_near_duplicates`` takes rows that share an id but not the text for documents of their own.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, staged, unstage, words_of
+from .common import components, join_counted, lower_ascii, staged, table_bytes, unstage, words_of
 
 K = 64
 NEEDED = 35  # of K, where sets are larger than SMALL: P(Bin(64, 0.8) < 35) < 1e-6
@@ -38,10 +41,8 @@ SMALL = 60
 MARGIN = 0.25  # the estimate's slack: five standard deviations at K = 64
 THRESHOLD = 80  # per cent
 PAD = np.uint64(2**64 - 1)  # no shingle hashes to it but by a chance of 2 ** -64
-SHARED = 3  # listed values that a pair must share to be a candidate (fewer where sets are too small for that)
-LONG, BLOCK = 100, 200  # lists longer than LONG are compared in blocks of about BLOCK sets
-BROADCAST = 300_000  # pairs up to which their ids are sent to the texts, instead of the texts to them
-ORDER_BITS = 18  # the table of counts has 2 ** ORDER_BITS cells, whatever the data
+SHARED = 3  # listed values that a pair shares at least
+BLOCK, BLOCK_SHINGLES = 200, 400_000  # members of a block, and elements of their sets together
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _CACHE = 300_000
 
@@ -76,11 +77,6 @@ class Shingler:
         return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def needed(n: int, threshold: int = THRESHOLD) -> int:
-    """Retained values that a set of n elements shares at least with any set that is similar enough."""
-    return -(-n * threshold // 100) if n <= SMALL else NEEDED
-
-
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarities of pairs from the bottom-k sketch of the union of their sketches. a, b: one padded sketch per row."""
     both = np.sort(np.concatenate((a, b), 1), 1)
@@ -101,130 +97,177 @@ def padded(sketches) -> np.ndarray:
     return out
 
 
+def overlap(n: Column, threshold: int) -> Column:
+    """Retained values that a set of n elements shares at least with any set that is similar enough."""
+    return F.when(n <= SMALL, F.ceil(n * threshold / 100)).otherwise(F.lit(NEEDED)).cast("int")
+
+
 SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, sketch array<long>"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
 
 def _sketches(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(size)
         for b in batches:
-            ids, n, s1, s2, sk = [], [], [], [], []
-            for i, t in zip(b["doc_id"], b["text"]):
-                s = sets(t if isinstance(t, str) else "")
+            n, s1, s2, sk = [], [], [], []
+            for t in b.column("text"):
+                s = sets(t.as_py())
                 raw = s.tobytes()
-                ids.append(i)
                 n.append(len(s))
                 s1.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
                 s2.append(xxhash.xxh64_intdigest(raw, 7) - (1 << 63))
                 sk.append(s[:K].view(np.int64))
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_shingles": n, "sig1": s1, "sig2": s2, "sketch": sk})
+            cuts = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sk]))), pa.int32())
+            values = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(sk) if sk else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), values], schema=_SKETCH)
 
     return run
 
 
-def _order_table(reps: DataFrame) -> np.ndarray:
-    """Counts of retained values by hashed cell: a table of fixed size."""
-    cell = F.shiftrightunsigned(F.col("v"), 64 - ORDER_BITS).cast("int")
-    rows = reps.select(F.explode("sketch").alias("v")).groupBy(cell.alias("cell")).count().toArrow()  # 2 ** ORDER_BITS rows at most
-    out = np.zeros(1 << ORDER_BITS, np.int64)
-    out[rows["cell"].to_numpy()] = rows["count"].to_numpy()
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+def listed_values(reps: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, n, v): each set's rarest retained values, so many that similar sets share SHARED of them. Staged.
 
-
-def _listed(order, threshold: int):
-    """doc_id, n, need, v: each set's rarest retained values, so many that similar sets share ``need`` of them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = order.value
+    reps: (doc_id, n_shingles, sketch). Values that one set alone retains are its rarest, and are not listed.
+    """
+    # a set of so few elements is only similar to itself
+    values = reps.where(100 * F.col("n_shingles") >= threshold * (F.col("n_shingles") + 1)).select("doc_id", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
+    counts = staged(values.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    common = join_counted(values, counts, "v").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("size", "v"))).alias("vs"))  # K values at most
+    most = F.size("vs") - overlap(F.col("n"), threshold) + SHARED  # len - overlap + SHARED, less the values of this set alone
+    got = common.select("doc_id", "n", F.slice("vs", 1, F.greatest(F.lit(0), most)).alias("vs")).where(F.size("vs") >= SHARED)
+    lists = staged(got.select("doc_id", "n", F.explode("vs.v").alias("v")))
+    unstage(counts)
+    return lists
+
+
+def _at(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) with the texts of their ids; texts that none asks for are left where they are."""
+    if table_bytes(rows) <= 24_000_000:
+        return texts.join(F.broadcast(rows), "doc_id")
+    ids = rows.select("doc_id").distinct()
+    if ids.count() <= 1_000_000:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return texts.join(rows, "doc_id")
+
+
+def _link(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def star_links(star: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Of pairs (a, b), one for each b, those that are linked. Staged. A head a comes before its members, BLOCK or so at a time."""
+    counts = staged(star.groupBy("a").agg(F.count(F.lit(1)).alias("size")))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    dealt = staged(join_counted(star, counts, "a").select("a", "b", part.alias("part")))
+    asked = dealt.select(F.col("b").alias("doc_id"), "a", "part", F.lit(1).alias("member")).unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "part", F.lit(0).alias("member")).distinct())
+    rows = _at(texts, staged(asked)).repartition("a", "part").sortWithinPartitions("a", "part", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, now, heads = Shingler(size), None, []
         for b in batches:
-            ids, ns, needs, vs = [], [], [], []
-            for i, n, sk in zip(b["doc_id"], b["n_shingles"], b["sketch"]):
-                sk = np.asarray(sk, np.int64)
-                overlap = needed(n, threshold)
-                need = min(SHARED, overlap)
-                cells = table[(sk.view(np.uint64) >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-                v = sk[np.lexsort((sk, cells))[: len(sk) - overlap + need]]
-                ids.append(np.full(len(v), i))
-                ns.append(np.full(len(v), n))
-                needs.append(np.full(len(v), need))
-                vs.append(v)
-            if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "n": np.concatenate(ns), "need": np.concatenate(needs), "v": np.concatenate(vs)})
+            found = []
+            for i, t, a, part, member in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "a", "part", "member"))):
+                s = sets(t)
+                if not member:
+                    heads = [*heads, s] if now == (a, part) else [s]
+                    now = (a, part)
+                    continue
+                mine = s[:K]
+                for h in heads:
+                    if estimates(padded([mine.view(np.int64)]), padded([h[:K].view(np.int64)]))[0] >= threshold / 100 - MARGIN:
+                        inter = len(np.intersect1d(s, h, True))
+                        if 100 * inter >= threshold * (len(s) + len(h) - inter):
+                            found.append((a, i))
+                            break
+            yield _link(found)
+
+    links = staged(rows.mapInArrow(run, "a long, b long").distinct())
+    unstage(counts, dealt)
+    return links
+
+
+# --- lists ------------------------------------------------------------------
+
+GROUP = ["v", "w", "i", "j"]  # a list's value, the second value that its pairs share (or v), and two blocks
+MEMBER = "v long, w long, i int, j int, doc_id long, c long, n long, vs array<long>"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal GROUP columns. Rows come sorted."""
+    held: list[pa.Table] = []
+    last = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if not t.num_rows:
+            continue
+        keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in GROUP], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            key = tuple(keys[x])
+            if held and key != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(t.slice(x, y - x))
+            last = key
+    if held:
+        yield pa.concat_tables(held)
+
+
+def candidate_pairs(rows: pa.Table, threshold: int) -> np.ndarray:
+    """Symmetric matrix: which rows of a group are of different components and of similar size, share SHARED listed values, and have no
+    earlier list (or second value) in common, in which they meet as well; and, between blocks, are of different ones."""
+    v, w, i, j = (rows.column(c)[0].as_py() for c in GROUP)
+    c, n, ids = (rows.column(k).to_numpy() for k in ("c", "n", "doc_id"))
+    ok = (c[:, None] != c[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]))
+    if i != j:
+        side = rows.column("block").to_numpy()
+        ok &= side[:, None] != side[None, :]
+    ok &= ids[:, None] != ids[None, :]
+    if not ok.any():
+        return ok
+    lists = rows.column("vs").combine_chunks()
+    values, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    row = np.repeat(np.arange(len(c)), np.diff(cuts))
+    names, code = np.unique(values, return_inverse=True)
+    has = np.zeros((len(c), len(names)), np.float32)
+    has[row, code] = 1
+    early = has[:, (names < v) | ((names > v) & (names < w))]
+    return ok & (has @ has.T >= SHARED) & (early @ early.T == 0)
+
+
+def _with_candidates(threshold: int):
+    """The rows of each group that are in a candidate pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            keep = candidate_pairs(rows, threshold).any(1)
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
 
-def _estimate() -> Column:
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(estimates(padded(a), padded(b)))
-
-    return run(F.col("_sa"), F.col("_sb"))
-
-
-def _verify(size: int, threshold: int) -> Column:
-    @F.pandas_udf("boolean")
-    def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        sets, last, kept = Shingler(size), None, None
-        for xs, ys in batches:
-            out = []
-            for x, y in zip(xs, ys):
-                if x is not last and x != last:  # pairs come in order of their first text
-                    last, kept = x, sets(x)
-                other = sets(y)
-                inter = len(np.intersect1d(kept, other, True))
-                out.append(100 * inter >= threshold * (len(kept) + len(other) - inter))
-            yield pd.Series(out)
-
-    return linked(F.col("_ta"), F.col("_tb"))
+def _group_links(size: int, threshold: int):
+    """Links (a, b) of each group that join different components; no more links than rows."""
 
-
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those that are linked: by union sketches first, then on full sets. Staged.
-
-    Texts meet by their group, that of a: a text is read once for each pair, and that of a once for the group.
-    """
-    spark = pairs.sparkSession
-    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"_s{s}"))
-    rough = pairs.join(side("a"), "a").join(side("b"), "b").where(_estimate() >= threshold / 100 - MARGIN)
-    rough = staged(rough.select("a", "b").distinct())
-    asked = rough.select(F.col("b").alias("_id"), F.col("a").alias("grp")).unionByName(rough.select(F.col("a").alias("_id"), F.col("a").alias("grp")).distinct())
-    if rough.count() <= BROADCAST:
-        asked = F.broadcast(asked)
-    got = staged(texts.join(asked, F.col("doc_id") == F.col("_id")).select("_id", "grp", "text"))
-    unstage(spark, rough)
-    heads = got.where("_id = grp").select(F.col("grp").alias("a"), F.col("text").alias("_ta"))
-    members = got.where("_id <> grp").select(F.col("grp"), F.col("_id").alias("b"), F.col("text").alias("_tb"))
-    linked = staged(members.join(heads, F.col("grp") == F.col("a")).where(_verify(size, threshold)).select("a", "b").distinct())
-    unstage(spark, got)
-    return linked
-
-
-def _block_links(size: int, threshold: int):
-    """Links (a, b) between texts of two blocks (or within one) that join different components; no more links than texts."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = Shingler(size)
-        rows = rows.drop_duplicates(["doc_id", "text"]).sort_values("doc_id", kind="stable")
-        ids, labels, block = rows["doc_id"].to_numpy(), rows["c"].to_numpy(), rows["block"].to_numpy()
-        one, two = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        elements = [sets(t) for t in rows["text"]]
-        lens = np.fromiter(map(len, elements), np.int64, len(elements))
-        sketches = padded([e[:K].view(np.int64) for e in elements])
-        parent = {c: c for c in labels.tolist()}
+    def links(rows: pa.Table, sets: Shingler) -> list[tuple[int, int]]:
+        ok = np.triu(candidate_pairs(rows, threshold))
+        ids, labels = rows.column("doc_id").to_pylist(), rows.column("c").to_pylist()
+        parent = {c: c for c in labels}
 
         def root(c: int) -> int:
             while parent[c] != c:
                 parent[c] = c = parent[parent[c]]
             return c
 
+        elements = [sets(t) for t in rows.column("text").to_pylist()]
+        sketches = padded([e[:K].view(np.int64) for e in elements])
+        lens = np.fromiter(map(len, elements), np.int64, len(elements))
         found = []
-        for x in np.flatnonzero(block == one).tolist():
-            mine = np.fromiter((root(c) for c in labels.tolist()), np.int64, len(labels))
-            other = (block == two) & (mine != mine[x]) & (100 * np.minimum(lens, lens[x]) >= threshold * np.maximum(lens, lens[x]))
-            if one == two:
-                other[: x + 1] = False
-            y = np.flatnonzero(other)
+        for x in np.flatnonzero(ok.any(1)).tolist():
+            mine = root(labels[x])
+            y = np.array([k for k in np.flatnonzero(ok[x]).tolist() if root(labels[k]) != mine], np.int64)
             if len(y):
                 y = y[estimates(np.broadcast_to(sketches[x], (len(y), K)), sketches[y]) >= threshold / 100 - MARGIN]
             if not len(y):
@@ -233,92 +276,100 @@ def _block_links(size: int, threshold: int):
             at = np.minimum(np.searchsorted(elements[x], every), lens[x] - 1)
             inter = np.add.reduceat((elements[x][at] == every).astype(np.int64), np.concatenate(([0], np.cumsum(lens[y])[:-1])))
             for k in y[100 * inter >= threshold * (lens[x] + lens[y] - inter)].tolist():
-                p, q = root(int(labels[x])), root(int(labels[k]))
+                p, q = root(labels[x]), root(labels[k])
                 if p != q:
                     parent[max(p, q)] = min(p, q)
-                    found.append((int(ids[x]), int(ids[k])))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                    found.append((ids[x], ids[k]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Shingler(size)
+        for rows in _groups(batches):
+            yield _link(links(rows, sets))
 
     return run
 
 
-def _hot_links(members: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Links between different components among the members (v, doc_id, c) of long lists. Staged.
-
-    Sets that long lists connect form groups; a group is cut into blocks of about BLOCK sets, and each pair of blocks is one
-    small task that compares on sketches, then on full sets, and gives a spanning forest of its links. Nothing
-    is left out, no pair is emitted for being compared, and no task grows with the group.
-    """
-    heads = members.groupBy("v").agg(F.min("doc_id").alias("a"))
-    groups = staged(components(members.join(heads, "v").select("a", F.col("doc_id").alias("b"))))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    labels = members.select("doc_id", "c").distinct()
-    docs = labels.join(groups, labels.doc_id == groups.node).join(sizes, "component")
-    docs = staged(docs.select(F.col("doc_id").alias("_id"), "c", F.col("component").alias("g"), "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")))
-    asked = F.broadcast(docs) if docs.count() <= BROADCAST else docs
-    x = texts.join(asked, F.col("doc_id") == F.col("_id")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("doc_id", "text", "c", "g", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    return staged(x.groupBy("g", "i", "j").applyInPandas(_block_links(size, threshold), "a long, b long").distinct())
+def _blocks(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Statistics of the lists: (key, size, blocks)."""
+    size = F.count(F.lit(1))
+    return rows.groupBy(*key).agg(size.alias("size"), F.greatest(F.ceil(size / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("size > 1")
+
+
+def list_links(members: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links between different components among the members (doc_id, n, c, v) of lists. Staged."""
+    rows = members.withColumn("vs", F.collect_list("v").over(Window.partitionBy("doc_id"))).where(F.size("vs") >= SHARED)  # K rows a document at most
+    rows = staged(rows)
+    lists = staged(_blocks(rows, ["v"]))
+    x = join_counted(rows, lists, "v").select("v", F.col("v").alias("w"), "doc_id", "c", "n", "vs", "blocks")
+    # a long list is split by the second value that a pair shares: there are SHARED of them at least
+    long = staged(x.where("blocks > 1").select("v", F.explode(F.filter("vs", lambda y: y > F.col("v"))).alias("w"), "doc_id", "c", "n", "vs"))
+    parts = staged(_blocks(long, ["v", "w"]).withColumn("vw", F.xxhash64("v", "w")))
+    split = join_counted(long.withColumn("vw", F.xxhash64("v", "w")), parts.drop("v", "w"), "vw").select("v", "w", "doc_id", "c", "n", "vs", "blocks")
+    x = x.where("blocks = 1").unionByName(split).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("v", "w", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "doc_id", "c", "n", "vs", "block")
+    in_order = lambda t: t.repartition(*GROUP).sortWithinPartitions(*GROUP, "doc_id")
+    schema = MEMBER + ", block int"
+    met = staged(in_order(x).mapInArrow(_with_candidates(threshold), schema))
+    links = staged(in_order(_at(texts, met)).select("text", *[c.split()[0] for c in schema.split(", ")]).mapInArrow(_group_links(size, threshold), "a long, b long").distinct())
+    unstage(rows, lists, long, parts, met)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = staged(rows.mapInPandas(_sketches(shingle), SKETCH))
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. threshold: per cent, 80 or more (K and NEEDED are made for these)."""
+    if not THRESHOLD <= threshold <= 100:
+        raise ValueError(f"a threshold from {THRESHOLD} to 100, not {threshold}")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sketched = staged(rows.mapInArrow(_sketches(shingle), SKETCH))
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["n_shingles", "sig1", "sig2"]
     folded = staged(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     reps = named.join(folded.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("rep")), [F.col("doc_id") == F.col("rep"), *[F.col(k) == F.col(f"_{k}") for k in key]])
     reps = staged(reps.select("doc_id", *key, "sketch").dropDuplicates(["doc_id", *key]).drop("sig1", "sig2"))
-    order = spark.sparkContext.broadcast(_order_table(reps))
-    lists = staged(reps.mapInPandas(_listed(order, threshold), "doc_id long, n long, need long, v long"))
-    unstage(spark)
+    lists = listed_values(reps, threshold)
+    unstage(reps)
     fits = lambda x, y: (F.lit(100) * F.least(x, y)) >= (F.lit(threshold) * F.greatest(x, y))
-    heads = lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("v", "head")
-    shared = staged(lists.join(heads, "v"))
-    unstage(spark, lists)
+    heads = staged(lists.groupBy("v").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    shared = staged(join_counted(lists, heads, "v"))
+    unstage(lists, heads)
     # first each set meets the one head that it shares most values with; one pair per set, whatever the size of its group
-    met = shared.where((F.col("doc_id") != F.col("head.doc_id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("doc_id").alias("b"), F.col("head.doc_id").alias("a")).count()
-    star = staged(met.groupBy("b").agg(F.max(F.struct(F.col("count"), (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"))
-    stars = _confirmed(star, reps, rows, shingle, threshold)
+    met = shared.where((F.col("doc_id") != F.col("head.doc_id")) & fits(F.col("n"), F.col("head.n"))).groupBy(F.col("doc_id").alias("b"), F.col("head.doc_id").alias("a")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= SHARED)
+    star = staged(met.groupBy("b").agg(F.max(F.struct(F.col("k"), (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"))
+    stars = star_links(star, rows, shingle, threshold)
     first = staged(components(stars))
     # then members of a list meet if they are still in different components
-    labelled = shared.drop("head").join(first, F.col("doc_id") == F.col("node"), "left").select("v", "doc_id", "n", "need", F.coalesce("component", "doc_id").alias("c"))
-    open_lists = labelled.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("v", (F.col("size") > LONG).alias("long"))
-    m = staged(labelled.join(open_lists, "v"))
-    unstage(spark, shared)
-    # pairs that share a long list are compared in blocks; all the values that other pairs share are in short ones
-    hot = _hot_links(m.where("long").select("v", "doc_id", "c"), rows, shingle, threshold)
-    short = m.where("NOT long").drop("long")
-    # a set with fewer values in short lists than a pair must share is in no pair
-    enough = short.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("least")).where("k >= least").select("_id")
-    short = staged(short.join(enough, F.col("doc_id") == F.col("_id"), "left_semi"))
-    x, y = (short.toDF("v", *k) for k in (("a", "na", "xa", "ca"), ("b", "nb", "xb", "cb")))
-    cross = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
-    cross = cross.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("xa", "xb")).alias("need")).where("k >= need").select("a", "b")
-    cross = staged(cross.join(star, ["a", "b"], "left_anti"))
-    stars = stars.unionByName(hot)
-    links = stars.unionByName(_confirmed(cross, reps, rows, shingle, threshold))
+    labelled = staged(shared.join(first, F.col("doc_id") == F.col("node"), "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
+    open_lists = staged(labelled.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("v", "size"))
+    crossed = list_links(join_counted(labelled, open_lists, "v").select("doc_id", "n", "c", "v"), rows, shingle, threshold)
+    unstage(shared, star, first, labelled, open_lists)
     # a document's node is its id; equal sets are linked with their representative
     member = named.join(folded, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    comps = staged(components(links.unionByName(member)))
-    unstage(spark, m, short, star, cross, reps)
+    comps = staged(components(stars.unionByName(crossed).unionByName(member)))
+    unstage(stars, crossed)
     out = sketched.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """docs, all columns, with one document of each group: that with the smallest id. Rows with null ids all stay."""
-    found = staged(near_duplicates(docs, id_col, text_col, shingle, threshold).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__folio_kept_id")))
-    again = found.groupBy("__folio_kept_id").count().where("count > 1").select("__folio_kept_id")
-    single = docs.join(found.distinct(), F.col(id_col) == F.col("__folio_kept_id"), "left_semi")
-    if not again.isEmpty():  # ids that several rows have: one row of each stays, the first by its text
-        order = Window.partitionBy(id_col).orderBy(F.col(text_col), *[c for c in docs.columns if c not in (id_col, text_col)])
-        single = single.withColumn("__folio_rank", F.row_number().over(order)).where("__folio_rank = 1").drop("__folio_rank")
-    nulls = docs.where(F.col(id_col).isNull())
-    return single.unionByName(nulls)
+    """docs, all columns, with one document of each group: that with the smallest id. Rows with null ids all stay.
+
+    A document is a row's id and text; of rows equal in both, one stays.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    named = docs.where(F.col(id_col).isNotNull()).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
+    groups = staged(near_duplicates(named, "key", "text", shingle, threshold).select(F.col("doc_id").alias("key"), F.col("component_id").alias("g")))
+    # the smallest id of each group, and how many rows have its key
+    sized = groups.groupBy("key", "g").agg(F.count(F.lit(1)).alias("rows"))
+    ids = staged(named.select("id", "key").distinct().join(sized, "key"))
+    first = staged(ids.groupBy("g").agg(F.min(F.struct("id", "key", "rows")).alias("first")).select("first.key", "first.rows").withColumnsRenamed({"key": "_key", "rows": "_rows"}))
+    kept = named.join(first, F.col("key") == F.col("_key"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    once = kept.where("_rows = 1").select("row.*")
+    again = kept.where("_rows > 1").withColumn("_k", F.row_number().over(order)).where("_k = 1").select("row.*")
+    return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op5_near_dup(spark, sf_dir: str) -> DataFrame:

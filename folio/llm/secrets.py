@@ -1,31 +1,30 @@
 """Secret scan by a trigram inverted index. Only built-in functions touch the data.
 
 Each rule's regex is compiled, on the driver, into a Boolean query over trigrams that every match must
-contain (lower-cased, so that rules in either case share the index). The index holds postings
-(trigram, document) for the trigrams that the rules ask for; the postings of a conjunction are intersected by
-counting them per document, and only documents left over are searched with the regex. Rules
-without a mandatory trigram are searched in every text.
+contain (lower-cased, so that rules in either case share the index). The index is a written table of postings
+(trigram, document) for the trigrams that the rules ask for; a document is named by its id and the hash of its text. The
+postings of a conjunction are intersected by counting them per document, and only the documents left over are
+searched with the regex: their ids go to the texts, by broadcast where their counted bytes are few, and no text is
+shuffled for being none of them. Rules without a mandatory trigram are searched in every text, where it is read.
 
 Spans come from ``split`` and ``regexp_extract_all`` on the same pattern: the pieces between matches and
-the matches themselves add up to code-point offsets, so no row leaves the JVM.
+the matches themselves add up to code-point offsets, so no row leaves the JVM. They are summed up in blocks of ``FOLD``
+matches, so that the work grows with the number of matches in a text, not with its square.
 
 Defined cases: a null text is empty and has no spans; null ids are matched null-safely; rows that repeat an id
-share its candidate rules, but each row is searched in its own text; other columns are ignored.
+are each searched in their own text; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
+from re import _parser as _parse
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import re._parser as _parse
-except ModuleNotFoundError:  # before Python 3.11
-    import sre_parse as _parse
+from .common import lookup, staged, table_bytes
 
 
 @dataclass(frozen=True)
@@ -129,56 +128,80 @@ def trigram_query(regex: str) -> set[frozenset[str]]:
 # --- the index ---------------------------------------------------------------
 
 
-def build_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (gram, doc_id): every document whose lower-cased text contains one of the trigrams."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """Postings (gram, doc_id, text_hash): every document (doc_id, text_hash, text) whose lower-cased text contains one of the trigrams. Staged."""
+    low = F.lower(F.col("text"))
     grams = F.array(*[F.lit(g) for g in trigrams])
-    rows = docs.select(F.col(id_col).alias("doc_id"), low.alias("low"))
-    return rows.select("doc_id", F.explode(F.filter(grams, lambda g: F.contains(F.col("low"), g))).alias("gram"))
+    rows = docs.select("doc_id", "text_hash", low.alias("low"))
+    return staged(rows.select("doc_id", "text_hash", F.explode(F.filter(grams, lambda g: F.contains(F.col("low"), g))).alias("gram")))
 
 
 def candidates(postings: DataFrame, queries: dict[str, set[frozenset[str]]]) -> DataFrame:
-    """(doc_id, rules): the kinds whose query a document's postings satisfy. One row per document that has any."""
+    """(doc_id, text_hash, rules): the kinds whose query a document's postings satisfy. One row per document that has any."""
     spark = postings.sparkSession
     rows = [(kind, c, g, len(conj)) for kind, q in queries.items() for c, conj in enumerate(sorted(q, key=sorted)) for g in sorted(conj)]
     clauses = spark.createDataFrame(rows, "kind string, clause int, gram string, want int")  # fixed by the rules, whatever the data
-    hit = postings.join(F.broadcast(clauses), "gram").groupBy("doc_id", "kind", "clause").agg(F.countDistinct("gram").alias("got"), F.first("want").alias("want")).where("got = want")
-    return hit.groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
+    doc = ["doc_id", "text_hash"]
+    hit = postings.join(F.broadcast(clauses), "gram").groupBy(*doc, "kind", "clause").agg(F.countDistinct("gram").alias("got"), F.first("want").alias("want")).where("got = want")
+    return hit.groupBy(*doc).agg(F.collect_set("kind").alias("rules"))
 
 
 # --- verification ------------------------------------------------------------
 
 
+FOLD = 256
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """array<struct<start,rank,end,kind>> of a rule's matches, leftmost first, without those whose group is too short."""
     pattern = F.lit(rule.regex)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     part = F.regexp_extract_all(text, pattern, F.lit(rule.of)) if rule.of else found
-    cells = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), found.alias("hit"), part.alias("part"))
-    empty = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string>>)")
+    size = lambda c: F.transform(c, F.length)
+    cells = F.arrays_zip(size(F.split(text, rule.regex, -1)).alias("gap"), size(found).alias("hit"), size(part).alias("part"))
+    empty = F.expr(f"CAST(array() AS {SPANS})")
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        start = acc["at"] + x["gap"]
+        end = start + F.coalesce(x["hit"], F.lit(0))
         one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        take = x["hit"].isNotNull() & (F.length(x["part"]) >= rule.least)
+        take = x["hit"].isNotNull() & (x["part"] >= rule.least)
         return F.struct(end.alias("at"), F.when(take, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    folded = F.aggregate(cells, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, folded).otherwise(empty)
+    def folded(cells: Column) -> Column:
+        block = lambda j: F.slice(cells, j * FOLD + 1, FOLD)
+        sums = lambda j: F.aggregate(block(j), F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(x["hit"], F.lit(0)))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / FOLD).cast("int"))
+        with_sums = F.transform(F.array(F.transform(numbers, sums)), lambda s: F.flatten(F.transform(numbers, lambda j: F.aggregate(block(j), F.struct(F.aggregate(F.slice(s, 1, j), F.lit(0), lambda a, x: a + x).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]))))
+        return F.element_at(with_sums, 1)
+
+    # one-element arrays name what would otherwise be computed again at each use
+    once = F.element_at(F.transform(F.array(cells), folded), 1)
+    return F.when(text.rlike(rule.regex), once).otherwise(empty)
 
 
 def find_secrets(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text, spans (array of start, rank, end, kind; ordered by start, then rule order)."""
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if frozenset() not in q}
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    spans = lambda which: [spans_of(F.col("text"), r, i) for i, r in enumerate(rules) if which(r)]
+    none = F.expr(f"CAST(array() AS {SPANS})")
+    x = rows.withColumn("everywhere", F.concat(none, *spans(lambda r: r.kind not in indexed)))
+    if not indexed:
+        return x.select("doc_id", "text", F.array_sort("everywhere").alias("spans"))
     postings = build_index(rows, sorted(set().union(*[g for q in indexed.values() for g in q])))
-    found = candidates(postings, indexed)
-    joined = rows.join(found, rows.doc_id.eqNullSafe(found.doc_id), "left").select(rows.doc_id, rows.text, found.rules)
-    none = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string>>)")
-    per_rule = [spans_of(F.col("text"), r, i) if r.kind not in indexed else F.when(F.array_contains("rules", r.kind), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*per_rule)).alias("spans"))
+    wanted = staged(candidates(postings, indexed))
+    asked = F.broadcast(wanted) if table_bytes(wanted) <= 24_000_000 else wanted
+    asked = asked.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    searched = rows.join(asked, rows.doc_id.eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    per_rule = [F.when(F.array_contains("rules", r.kind), spans_of(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules) if r.kind in indexed]
+    # equal texts of an id have equal spans
+    found = searched.select("doc_id", "text_hash", F.concat(*per_rule).alias("some")).where(F.size("some") > 0).groupBy("doc_id", "text_hash").agg(F.max("some").alias("some"))
+    x = lookup(x, found, ["doc_id", "text_hash"], F.col("text_hash"))
+    return x.select("doc_id", "text", F.array_sort(F.concat("everywhere", F.coalesce("some", none))).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

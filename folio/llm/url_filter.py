@@ -27,6 +27,8 @@ RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 #: Block where the posterior bad rate exceeds THRESHOLD with about 95 % probability.
 THRESHOLD, Z = 0.5, 1.645
 STRENGTH = (1.0, 1000.0)  # bounds of a prior's strength, in pseudo-labels
+#: Suffixes of two labels under which anyone may register. Others are their last label.
+SUFFIXES = "ac.jp ac.nz ac.uk ac.za blogspot.com co.id co.il co.in co.jp co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn com.hk com.mx com.my com.sg com.tr com.tw com.ua edu.au edu.cn github.io gitlab.io gov.au gov.cn gov.uk ne.jp net.au net.br net.cn net.nz net.uk or.jp or.kr org.au org.br org.cn org.nz org.tw org.uk org.za".split()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,8 +53,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
 
 
 def _levels(host: Column) -> dict[str, Column]:
-    parts = F.split(host, r"\.")
-    return {"suffix": F.element_at(parts, -1), "domain": F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), "."), "host": host}
+    """Suffix (of one label, or two where listed) and registered domain (one label more) of a host without user and port."""
+    parts = F.split(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.")
+    last = lambda n: F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - n + 1), n), ".")
+    two = last(2).isin(*SUFFIXES)
+    return {"suffix": F.when(two, last(2)).otherwise(last(1)), "domain": F.when(two, last(3)).otherwise(last(2)), "host": host}
 
 
 def reputation(outcomes: DataFrame, threshold: float = THRESHOLD, z: float = Z, hosts: DataFrame | None = None) -> DataFrame:
@@ -106,6 +111,11 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), outcomes)
 
 
+_NAME = r"string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.')"
+_TWO = f"array_to_string({_NAME}[-2:], '.') IN ({', '.join(repr(x) for x in SUFFIXES)})"
+_LEVELS_SQL = f"CASE WHEN {_TWO} THEN array_to_string({_NAME}[-2:], '.') ELSE {_NAME}[-1] END AS suffix, array_to_string(CASE WHEN {_TWO} THEN {_NAME}[-3:] ELSE {_NAME}[-2:] END, '.') AS domain"
+
+
 def _sql() -> str:
     fits = "CASE " + " ".join(f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{r}'" for r, _ in sorted(RULES, key=lambda r: (-len(r[0]), r[0]))) + " END"
     verdicts = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES) + " END"
@@ -113,7 +123,7 @@ def _sql() -> str:
     ctes = [
         rf"p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)",
         "o AS (SELECT host, (quality = 0 OR toxic = 1)::INT AS bad FROM p JOIN labels ON page_id = doc_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL)",
-        "c AS (SELECT host, count(*) AS n, sum(bad) AS k, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM o GROUP BY host)",
+        f"c AS (SELECT host, count(*) AS n, sum(bad) AS k, {_LEVELS_SQL} FROM o GROUP BY host)",
         "n0 AS (SELECT '' AS key, sum(k) / sum(n) AS rate FROM c)",
         "k1 AS (SELECT suffix AS key, sum(n) AS n, sum(k) AS k, rate AS m FROM c, n0 GROUP BY suffix, rate)",
         "k2 AS (SELECT domain AS key, sum(n) AS n, sum(k) AS k, rate AS m FROM c JOIN n1 ON n1.key = suffix GROUP BY domain, suffix, rate)",
@@ -125,7 +135,10 @@ def _sql() -> str:
         ctes.append(f"n{i} AS (SELECT key, (k + s * m) / (n + s) AS rate, n + s AS total FROM k{i}, s{i})")
     order = {x.split(" ")[0]: x for x in ctes}
     ctes = [order[k] for k in ("p", "o", "c", "n0", "k1", "v1", "s1", "n1", "k2", "v2", "s2", "n2", "k3", "v3", "s3", "n3")]
-    return f"WITH {', '.join(ctes)}, b AS (SELECT key FROM n3 WHERE rate - {Z} * sqrt(rate * (1 - rate) / (total + 1)) > {THRESHOLD}), r AS (SELECT page_id, host, path, {fits} AS rule FROM p) SELECT page_id, host, path, rule, coalesce({verdicts}, CASE WHEN host IN (SELECT key FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM r"
+    # hosts without labels: the prior of the domain, else of the suffix, else of the whole table
+    ctes.append(f"u AS (SELECT DISTINCT host, {_LEVELS_SQL} FROM p WHERE host NOT IN (SELECT host FROM c))")
+    ctes.append("n4 AS (SELECT key, rate, total FROM n3 UNION ALL SELECT host, coalesce(n2.rate, n1.rate, n0.rate), s FROM u LEFT JOIN n2 ON n2.key = domain LEFT JOIN n1 ON n1.key = suffix, n0, s3)")
+    return f"WITH {', '.join(ctes)}, b AS (SELECT key FROM n4 WHERE rate - {Z} * sqrt(rate * (1 - rate) / (total + 1)) > {THRESHOLD}), r AS (SELECT page_id, host, path, {fits} AS rule FROM p) SELECT page_id, host, path, rule, coalesce({verdicts}, CASE WHEN host IN (SELECT key FROM b) THEN 'block' ELSE 'allow' END) AS verdict FROM r"
 
 
 QUERIES = {"op8_url_filter": op8_url_filter}

@@ -9,8 +9,8 @@ def test_lookup_both_ways(spark):
     left = spark.range(900).selectExpr("id", "if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('k', id))) AS k", "id AS n")
     right = spark.createDataFrame([("hot", 1), (None, 2), ("k1", 3), ("none", 4)], "k string, v int")
     want = None
-    for most in (10, 0):  # broadcast, and dealt out by key and salt
-        got = lookup(left, right, ["k"], F.col("id"), broadcast_rows=most)
+    for most in (10_000, 0):  # broadcast, and dealt out by key and salt
+        got = lookup(left, right, ["k"], F.col("id"), broadcast_bytes=most)
         assert got.columns == ["id", "k", "n", "v"]
         rows = sorted(tuple(r) for r in got.collect())
         assert len(rows) == 900 and want in (None, rows)
@@ -22,5 +22,5 @@ def test_staged_tables(spark):
     df = staged(spark.range(10).withColumn("x", F.lit(None).cast("string")))
     path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
     assert df.count() == 10 and os.path.isdir(path)
-    unstage(spark, df)
+    unstage(df)
     assert not os.path.isdir(path)

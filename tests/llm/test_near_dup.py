@@ -36,10 +36,11 @@ def mutated(rng, ws, n):
     return ws
 
 
-@pytest.mark.parametrize("seed,long", ((0, 100), (1, 5)))
-def test_against_brute_force(spark, seed, long, monkeypatch):
-    monkeypatch.setattr("folio.llm.near_dup.LONG", long)
-    monkeypatch.setattr("folio.llm.near_dup.BLOCK", 7)
+@pytest.mark.parametrize("seed,block,heavy", ((0, 200, 100_000), (1, 7, 50)))
+def test_against_brute_force(spark, seed, block, heavy, monkeypatch):
+    """Also with lists that are split by second values and blocks, and joins of more keys than are broadcast."""
+    monkeypatch.setattr("folio.llm.near_dup.BLOCK", block)
+    monkeypatch.setattr("folio.llm.common.HEAVY", heavy)
     rng = random.Random(seed)
     texts = []
     for size in (3, 6, 12, 40, 90, 200):

@@ -21,7 +21,7 @@ URLS = [
 def test_rules_and_reputation(spark):
     pages = spark.createDataFrame([(u[0], u[1], 1) for u in URLS] + [(100 + i, f"http://bad.org/{i}", 1) for i in range(60)] + [(200 + i, f"http://h{i % 9}.fine.org/{i}", 1) for i in range(90)], "page_id long, url string, host long")
     outcomes = spark.createDataFrame([(100 + i, 1) for i in range(60)] + [(200 + i, int(i % 30 == 0)) for i in range(90)] + [(201, None)], "page_id long, bad int")
-    got = judge_urls(pages.drop("host"), outcomes).collect()
+    got = judge_urls(pages, outcomes).collect()
     assert len(got) == len(URLS) + 150
     by = {r.page_id: r for r in got}
     for i, _, host, path, rule, verdict in URLS:
@@ -51,3 +51,13 @@ def test_hosts_without_labels(spark):
     outcomes = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(seen)], "page_id long, bad int")
     got = judge_urls(spark.createDataFrame(pages, "page_id long, url string"), outcomes).collect()
     assert len(got) == len(pages) and {r.host: r.verdict for r in got if r.page_id >= 10_000} == new
+
+
+def test_ports_users_and_suffixes_of_two_labels(spark):
+    """Owners under a shared suffix don't share a domain; ports and users don't make a suffix of their own."""
+    seen = [(f"h{i % 20}.bad.co.uk", 1) for i in range(200)] + [(f"d{i % 40}.co.uk", 0) for i in range(400)]
+    new = {"u@new.bad.co.uk:8080": "block", "new.bad.co.uk": "block", "good.co.uk:80": "allow", "other.good.co.uk": "allow"}
+    pages = [(i, f"http://{h}/") for i, (h, _) in enumerate(seen)] + [(10_000 + i, f"http://{h}/") for i, h in enumerate(new)]
+    outcomes = spark.createDataFrame([(i, bad) for i, (_, bad) in enumerate(seen)], "page_id long, bad int")
+    got = judge_urls(spark.createDataFrame(pages, "page_id long, url string"), outcomes).collect()
+    assert {r.host: r.verdict for r in got if r.page_id >= 10_000} == new

@@ -13,6 +13,9 @@ PAGES = [
     (None, "http://x/n", "alone"),
     (7, "http://x/7", "twice"),
     (7, "http://x/7", "twice"),
+    (2**60 + 1, "http://x/big", "p"),
+    (2**60 + 3, None, "p"),
+    (8, "http://x/8", "long" * 100_000),
 ]
 
 
@@ -27,6 +30,10 @@ def test_round_trip_and_revisits(spark, tmp_path):
     got = build(spark, tmp_path, PAGES)
     assert len(got) == len(PAGES)
     by = {r.page_id: r for r in got}
+    twice = [r for r in got if r.page_id == 7]
+    assert sorted((r.record_type, r.refers_to) for r in twice) == [("response", None), ("revisit", 7)]
+    assert len({r.row for r in got}) == len(got)  # so record ids differ too
+    assert by[2**60 + 1].record_type == "response" and by[2**60 + 3].refers_to == 2**60 + 1 and by[8].payload == PAGES[-1][2]
     assert by[3].record_type == "response" and by[3].payload == "same"
     assert [(by[k].record_type, by[k].refers_to, by[k].payload) for k in (5, 9)] == [("revisit", 3, None)] * 2
     assert by[1].record_type == "response" and by[2].refers_to == 1 and by[2].payload_bytes == 0
@@ -42,7 +49,7 @@ def test_limit_and_empty(spark, tmp_path):
 
 
 def test_records_are_valid_warc():
-    data = (response_record(1, 2, "http://x", "héllo", digest_of("héllo".encode())) + "\r\n").encode()
+    data = (response_record(1, 2, "http://x", "héllo", digest_of("héllo".encode()), "2020-02-02T00:00:00Z") + "\r\n").encode()
     for raw in (data * 2, gzip.compress(data * 2)):
         (head, block), (again, _) = parse(raw)
         assert head == again and head["warc-type"] == "response" and head["warc-record-id"].startswith("<urn:uuid:")
@@ -51,6 +58,6 @@ def test_records_are_valid_warc():
 
 
 def test_hot_digest(spark):
-    h = spark.range(3000).selectExpr("id AS row", "id AS page_id", "'u' AS url", "if(id % 3 = 0, 'hot', concat('d', id)) AS payload_digest", "5L AS payload_bytes")
+    h = spark.range(3000).selectExpr("id AS row", "id AS page_id", "'u' AS url", "'d' AS date", "if(id % 3 = 0, 'hot', concat('d', id)) AS payload_digest", "5L AS payload_bytes")
     got = {r.page_id: r for r in resolve(h).collect()}
     assert got[0].record_type == "response" and all(got[i].first_id == 0 for i in range(3, 3000, 3)) and got[1].first_id is None
