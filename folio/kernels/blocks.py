@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, replace
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field, replace
 
 from . import vocab
 from .inline import parse_inline, protocol_allowed
@@ -22,6 +22,7 @@ class Options:
     sanitize: bool = True
     max_heading: int = 6
     line_offset: int = 0
+    shortcodes: Mapping[str, str] = field(default_factory=dict)  # more of them, name to picture; they go before the built-in ones
 
 
 @dataclass(slots=True)
@@ -54,7 +55,7 @@ class Note:
 _HR = re.compile(r"([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 _SETEXT = re.compile(r"(?:(=+)|-{4,})[ \t]*$")
 _FENCE = re.compile(r"(`{3,}(?=[^`]*$)|~{3,})(.*)$", re.S)
-_MARKER = re.compile(r"(?:[-*+]|(\d+)[.)])(?:[ \t]|$)")
+_MARKER = re.compile(r"(?:[-*+]|([0-9]+)[.)])(?:[ \t]|$)")
 _TASK = re.compile(r"\[([ xX])\](?:[ \t]+(.*)|)$", re.S)
 _DOCTYPE = re.compile(r"<!doctype(?![A-Za-z0-9_])[^>]*>?[ \t]*$", re.I)
 _DEFINITION = re.compile(r"\[\[[ \t]*\^([^ \t\]]+)[ \t]*\]\]:(.*)$", re.S)
@@ -64,7 +65,8 @@ _ATTRIBUTE = re.compile(r"""([A-Za-z_:][A-Za-z0-9._:-]*)(?:[ \t]*=[ \t]*(?:"([^"
 _COMMENT = re.compile(r"#(?:[ \t]|$)")
 _SEPARATOR = re.compile(r"---[ \t]*$")
 _COLUMN = re.compile(r":?-+:?$")
-CELLS, NAME_BYTES = 64, 63
+CELLS = 64
+MOST = 2**63 - 1  # a list starts at most here
 
 
 def split_lines(text: str, offset: int = 0) -> list[Line]:
@@ -110,6 +112,7 @@ class Document:
         self.footnotes: list[tuple[int, Note]] = []
         self.notes: dict[str, Note] = {}
         self.heading_slugs: dict[str, int] = {}
+        self.in_order: list[Note] = []  # as they are referred to
         self.index = self.numbered = 0
         self._seen: set[tuple[int, str, str]] = set()
         lines = split_lines(text, options.line_offset)
@@ -131,7 +134,7 @@ class Document:
 
     def _document(self, lines: list[Line], parent: Node) -> None:
         """Front matter, then comments, then footnote definitions, then blocks: the order shows."""
-        self.notes, self.numbered = {}, 0
+        self.notes, self.numbered, self.in_order = {}, 0, []
         lines = without_comments(self._front_matter(lines))
         self._collect_definitions(lines)
         self.blocks(parent, lines, 0)
@@ -147,7 +150,7 @@ class Document:
             self.references.append(key)
 
     def warn(self, rule: str, reason: str, line: Line | None = None) -> None:
-        self.messages.append(Message(rule, reason[:511], place(line, line) if line else None))
+        self.messages.append(Message(rule, reason, place(line, line) if line else None))
 
     def _front_matter(self, lines: list[Line]) -> list[Line]:
         fence = re.compile(re.escape(self.options.frontmatter_fence) + r"[ \t]*$")
@@ -195,6 +198,7 @@ class Document:
         if not note.number:
             self.numbered += 1
             note.number = self.numbered
+            self.in_order.append(note)
         note.refs += 1
         again = f"-{note.refs}" if note.refs > 1 else ""
         props = {"href": f"#{self._prefix}fn-{note.id}", "id": f"{self._prefix}fnref-{note.id}{again}", "dataFootnoteRef": True, "ariaDescribedBy": "footnote-label"}
@@ -204,10 +208,7 @@ class Document:
         if not self.numbered:
             return
         items = el("ol", {}, txt("\n"))
-        done = 0
-        while done < self.numbered:  # a note's text may refer to further notes
-            done += 1
-            note = next(n for n in self.notes.values() if n.number == done)
+        for note in self.in_order:  # grows while it is read: a note's text may refer to further notes
             p = el("p", {}, *parse_inline(self, note.content))
             for k in range(1, note.refs + 1):
                 props = {"href": f"#{self._prefix}fnref-{note.id}" + (f"-{k}" if k > 1 else ""), "dataFootnoteBackref": True, "ariaLabel": "Back to content", "className": ["data-footnote-backref"]}
@@ -228,20 +229,33 @@ class Document:
     # --- blocks ----------------------------------------------------------------------
 
     def blocks(self, parent: Node, lines: list[Line], base: int) -> None:
-        """Parse a run of lines into parent. Children of an element, not of the root, have newlines around them."""
+        """Parse a run of lines into parent. A stack holds the runs that are open, so depth is no matter."""
+        stack = [self._run(parent, lines, base)]
+        while stack:
+            inner = next(stack[-1], None)
+            if inner is None:
+                stack.pop()
+            else:
+                stack.append(self._run(*inner))
+
+    def _run(self, parent: Node, lines: list[Line], base: int) -> Iterator[tuple[Node, list[Line], int]]:
+        """Yields each run (parent, lines, base) inside, to be parsed before this one goes on.
+
+        Children of an element, not of the root, have newlines around them.
+        """
         apart = parent.type == "element"
-        rules: tuple[Callable, ...] = (self._indented, self._rule, self._heading, self._fenced, self._element, self._table, self._list, self._paragraph)
+        # rules that may hold further runs are generators
+        rules = ((self._indented, True), (self._rule, False), (self._heading, False), (self._fenced, False), (self._element, True), (self._table, False), (self._list, True), (self._paragraph, False))
         i, produced = 0, False
         while i < len(lines):
             if lines[i].blank:
                 i += 1
                 continue
-            for rule in rules:
-                taken = rule(lines, i, base)
+            for rule, deep in rules:
+                taken = (yield from rule(lines, i, base)) if deep else rule(lines, i, base)
                 if taken is not None:
                     nodes, i = taken
-                    produced |= rule is not self._paragraph or bool(nodes)
-                    produced |= rule == self._element
+                    produced |= rule != self._paragraph or bool(nodes)
                     for n in nodes:
                         parent.add(*([txt("\n")] if apart else []), n)
                     break
@@ -262,7 +276,7 @@ class Document:
             outer.add(txt("\n"), inner, txt("\n"))
         for d in divs:
             d.pos = place(lines[i], lines[end - 1])
-        self.blocks(divs[-1], lines[i:end], base + 2 * levels)
+        yield divs[-1], lines[i:end], base + 2 * levels
         return [divs[0]], end
 
     def _rule(self, lines, i, base):
@@ -288,7 +302,7 @@ class Document:
             return
         before = self.heading_slugs.get(base, 0)
         self.heading_slugs[base] = before + 1
-        h.props["id"] = (f"{base}-{before}" if before else base).encode()[:255].decode(errors="ignore")
+        h.props["id"] = f"{base}-{before}" if before else base
 
     def _fenced(self, lines, i, base):
         opener = fence_of(lines[i])
@@ -300,7 +314,7 @@ class Document:
         code = el("code")
         language = re.split(r"[ \t]", info)[0]
         if language:
-            code.add_class("language-" + language.encode()[:54].decode(errors="ignore"))
+            code.add_class("language-" + language)
         if body:
             code.add(txt(body))
         pre = el("pre", {}, code)
@@ -316,7 +330,7 @@ class Document:
         if _DOCTYPE.match(line.text):
             return [] if self.options.sanitize else [Node("doctype")], i + 1
         m = _TAG.match(line.text)
-        written = (m[1] or "div").lower()[:NAME_BYTES]
+        written = (m[1] or "div").lower()
         tag, end = written, self._children_end(lines, i)
         if self.options.sanitize and written in vocab.STRIPPED_TAGS:
             self.warn("sanitize", f"`<{written}>` is not allowed, dropping it and its content", line)
@@ -341,7 +355,7 @@ class Document:
         if content:
             node.children = parse_inline(self, content)
         if under:
-            self.blocks(node, lines[i + 1 : end], min(x.indent for x in under))
+            yield node, lines[i + 1 : end], min(x.indent for x in under)
         return [node], end
 
     @staticmethod
@@ -460,13 +474,15 @@ class Document:
                 at += 1
             if at >= len(lines) or not mine(lines[at]):
                 break
-            item, i, task = self._item(lines, at, indent, loose)
+            item, i, task = yield from self._item(lines, at, indent, loose)
             tasks |= task
             node.add(item, txt("\n"))
         if tasks:
             node.add_class("contains-task-list")
-        if ordered and int(m[1]) != 1:
-            node.props["start"] = float(m[1])
+        digits = (m[1] or "1").lstrip("0") or "0"
+        number = min(int(digits), MOST) if len(digits) < 20 else MOST
+        if number != 1:
+            node.props["start"] = float(number)
         return [placed(node, lines[start], lines[i - 1])], i
 
     @staticmethod
@@ -517,7 +533,7 @@ class Document:
             item.add(txt("\n"), placed(holder, lines[i], lines[end - 1]), txt("\n"))
         if end > plain:
             inner = min(x.indent for x in lines[plain:end] if not x.blank)
-            self.blocks(item, lines[plain:end], min(inner, lines[plain].indent))
+            yield item, lines[plain:end], min(inner, lines[plain].indent)
         return placed(item, lines[i], lines[end - 1]), end, bool(task)
 
     # --- paragraphs ----------------------------------------------------------------

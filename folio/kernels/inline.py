@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 from typing import TYPE_CHECKING
 
 from . import vocab
@@ -42,17 +44,21 @@ class _Run:
         self.boundary = True  # whether a word may start here: what came before decides, not the text
         self.links = find_links(text) if doc.options.autolink else []
         self.starts = {k.start: k for k in self.links}
+        self.firsts = sorted(self.starts)
+        self.ends = list(accumulate((k.end for k in sorted(self.links, key=lambda k: k.start)), max))
 
     def nodes(self) -> list[Node]:
+        if not self.links and not _NEXT.search(self.text) and not _FACE_AT.match(self.text):
+            return [txt(self.text)]
         text, size = self.text, len(self.text)
         steps = (self.escape, self.wiki, self.marker, self.picture, self.drawn, self.name, self.url)
-        firsts = sorted(self.starts)
         while self.at < size:
             if not any(step() for step in steps):
                 # all that can't start markup is taken at once, up to the next link
                 stop = _NEXT.search(text, self.at + 1)
                 end = stop.start() if stop else size
-                end = next((s for s in firsts if self.at < s < end), end)
+                k = bisect_right(self.firsts, self.at)
+                end = min(end, self.firsts[k]) if k < len(self.firsts) else end
                 self.say(text[self.at : end], text[end - 1] in " \t\n\r")
                 self.at = end
         self.flush()
@@ -73,8 +79,9 @@ class _Run:
         self.boundary = boundary
 
     def in_link(self, i: int) -> int:
-        """The end of the link that covers i, or 0."""
-        return next((k.end for k in self.links if k.start <= i < k.end), 0)
+        """The end of the links that cover i, or 0."""
+        k = bisect_right(self.firsts, i) - 1
+        return self.ends[k] if k >= 0 and i < self.ends[k] else 0
 
     # each returns whether it took something
 
@@ -151,9 +158,12 @@ class _Run:
                 return i
         return -1
 
+    def shortcode(self, name: str) -> str | None:
+        return self.doc.options.shortcodes.get(name) or vocab.shortcode(name)
+
     def picture(self) -> bool:
         text, at = self.text, self.at
-        if (m := _SHORTCODE.match(text, at)) and (found := vocab.shortcode(m[1].lower())):
+        if (m := _SHORTCODE.match(text, at)) and (found := self.shortcode(m[1].lower())):
             self.say(found, True)
             self.at = m.end()
             return True

@@ -14,7 +14,7 @@ _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _HR = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 _FENCE = re.compile(r"( {0,3})(`{3,}(?=[^`]*$)|~{3,})[ \t]*(.*?)[ \t]*$")
 _QUOTE = re.compile(r" {0,3}> ?")
-_ITEM = re.compile(r"( {0,3})([-+*]|(\d{1,9})[.)])(?=[ \t]|$)")
+_ITEM = re.compile(r"( {0,3})([-+*]|([0-9]{1,9})[.)])(?=[ \t]|$)")
 _TASK = re.compile(r"\[([ xX])\](?=[ \t])[ \t]")
 _TABLE = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _DEFINITION = re.compile(r""" {0,3}\[((?:\\.|[^\[\]\\])+)\]:[ \t]*\n?[ \t]*(?:<([^<>\n]*)>|(\S+))(?:(?:[ \t]+|[ \t]*\n[ \t]*)("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\)))?[ \t]*(?:\n|$)""")
@@ -30,7 +30,7 @@ _HTML = [
     (re.compile(rf" {{0,3}}</?(?:{'|'.join(_BLOCK_TAGS)})(?:\s|/?>|$)", re.I), None),
     (re.compile(rf" {{0,3}}{_TAG}\s*$"), None),
 ]
-_ENTITY = re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#\d{1,7}|[A-Za-z][A-Za-z0-9]{1,47});")
+_ENTITY = re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,47});")
 _ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _SPECIAL = re.compile(r"[\\`*_~\[\]!<&\n]|https?://|www\.|(?<=\S)@")
 _ANGLE = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*)>|<([\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+)>")

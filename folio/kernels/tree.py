@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,18 +33,27 @@ class Node:
 
     def text(self) -> str:
         """All text below, joined."""
-        if self.type == "text":
-            return self.value
-        return "".join(c.text() for c in self.children)
+        return "".join(n.value for n, _ in self.walk() if n.type == "text")
 
     def copy(self) -> Node:
-        props = {k: list(v) if isinstance(v, list) else v for k, v in self.props.items()}
-        return Node(self.type, self.tag, self.value, props, [c.copy() for c in self.children], self.pos)
-
-    def walk(self, depth: int = 0) -> Iterator[tuple[Node, int]]:
-        yield self, depth
-        for c in self.children:
-            yield from c.walk(depth + 1)
+        def alone(n: Node) -> Node:
+            return Node(n.type, n.tag, n.value, {k: list(v) if isinstance(v, list) else v for k, v in n.props.items()}, [], n.pos)
+
+        top = alone(self)
+        stack = [(self, top)]
+        while stack:
+            old, new = stack.pop()
+            new.children = [alone(c) for c in old.children]
+            stack += zip(old.children, new.children)
+        return top
+
+    def walk(self) -> Iterator[tuple[Node, int]]:
+        """Every node with its depth, parents first. Trees may be deeper than Python's stack."""
+        stack = [(self, 0)]
+        while stack:
+            n, depth = stack.pop()
+            yield n, depth
+            stack += [(c, depth + 1) for c in reversed(n.children)]
 
 
 def el(tag: str, props: dict | None = None, *children: Node) -> Node:
@@ -65,6 +75,8 @@ def json_string(s: str) -> str:
 
 
 def json_number(v: float) -> str:
+    if not math.isfinite(v):
+        return "null"
     return str(int(v)) if v == int(v) else f"{v:.17g}"
 
 
@@ -78,20 +90,34 @@ def json_value(v) -> str:
 
 def to_json(node: Node, positions: bool = True) -> str:
     """Canonical JSON: fixed key order, properties in order, position last."""
-    if node.type == "doctype":
-        return '{"type":"doctype"}'
-    if node.type in ("text", "comment", "raw"):
-        return f'{{"type":"{node.type}","value":{json_string(node.value)}}}'
-    inner = ",".join(to_json(c, positions) for c in node.children)
-    head = '"type":"root"'
-    if node.type == "element":
-        props = ",".join(f"{json_string(k)}:{json_value(v)}" for k, v in node.props.items())
-        head = f'"type":"element","tagName":{json_string(node.tag)},"properties":{{{props}}}'
-    place = ""
-    if positions and node.pos:
-        a, b, c, d = node.pos
-        place = f',"position":{{"start":{{"line":{a},"column":{b}}},"end":{{"line":{c},"column":{d}}}}}'
-    return f'{{{head},"children":[{inner}]{place}}}'
+    out: list[str] = []
+    stack: list[Node | str] = [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        if n.type == "doctype":
+            out.append('{"type":"doctype"}')
+            continue
+        if n.type in ("text", "comment", "raw"):
+            out.append(f'{{"type":"{n.type}","value":{json_string(n.value)}}}')
+            continue
+        head = '"type":"root"'
+        if n.type == "element":
+            props = ",".join(f"{json_string(k)}:{json_value(v)}" for k, v in n.props.items())
+            head = f'"type":"element","tagName":{json_string(n.tag)},"properties":{{{props}}}'
+        place = ""
+        if positions and n.pos:
+            a, b, c, d = n.pos
+            place = f',"position":{{"start":{{"line":{a},"column":{b}}},"end":{{"line":{c},"column":{d}}}}}'
+        out.append(f'{{{head},"children":[')
+        stack.append(f"]{place}}}")
+        for k in range(len(n.children) - 1, -1, -1):
+            stack.append(n.children[k])
+            if k:
+                stack.append(",")
+    return "".join(out)
 
 
 # --- HTML ---------------------------------------------------------------------
@@ -126,18 +152,25 @@ def _attribute(name: str, value) -> str:
 
 def to_html(node: Node, dangerous: bool = True, parent: str = "") -> str:
     """HTML of a tree; raw nodes as they are, or escaped unless ``dangerous``."""
-    match node.type:
-        case "text":
-            return node.value if parent in ("script", "style") else escape_text(node.value)
-        case "raw":
-            return node.value if dangerous else escape_text(node.value)
-        case "comment":
-            return f"<!--{node.value}-->"
-        case "doctype":
-            return "<!doctype html>"
-    inner = "".join(to_html(c, dangerous, node.tag) for c in node.children)
-    if node.type == "root":
-        return inner
-    attrs = "".join(f" {a}" for a in (_attribute(k, v) for k, v in node.props.items()) if a)
-    close = "" if node.tag in vocab.VOID and not node.children else f"</{node.tag}>"
-    return f"<{node.tag}{attrs}>{inner}{close}"
+    out: list[str] = []
+    stack: list[tuple[Node | str, str]] = [(node, parent)]
+    while stack:
+        n, parent = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.type == "text":
+            out.append(n.value if parent in ("script", "style") else escape_text(n.value))
+        elif n.type == "raw":
+            out.append(n.value if dangerous else escape_text(n.value))
+        elif n.type == "comment":
+            out.append(f"<!--{n.value}-->")
+        elif n.type == "doctype":
+            out.append("<!doctype html>")
+        else:
+            if n.type == "element":
+                attrs = "".join(f" {a}" for a in (_attribute(k, v) for k, v in n.props.items()) if a)
+                out.append(f"<{n.tag}{attrs}>")
+                if n.tag not in vocab.VOID or n.children:
+                    stack.append((f"</{n.tag}>", ""))
+            stack += [(c, n.tag) for c in reversed(n.children)]
+    return "".join(out)

@@ -59,12 +59,18 @@ def scalar(s: str) -> Value:
     if _INT.match(s):
         sign, digits = (-1, s[1:]) if s[0] == "-" else (1, s.lstrip("+"))
         base = {"0o": 8, "0x": 16}.get(digits[:2], 10)
-        return sign * float(int(digits[2:] if base != 10 else digits, base))
+        return sign * (float(digits) if base == 10 else _power(digits[2:], base))
     if s.lstrip("+-") in _INF and len(s) <= 5:
         return -math.inf if s[0] == "-" else math.inf
     return float(s) if _FLOAT.match(s) else s
 
 
+def _power(digits: str, base: int) -> float:
+    """The number, infinite where a double can't hold it. Only the decimal base has a limit of digits in Python's int."""
+    digits = digits.lstrip("0") or "0"
+    return math.inf if len(digits) > 400 else float(int(digits, base)) if int(digits, base) < 2**1023 else math.inf
+
+
 def _until_comment(s: str) -> str:
     m = _COMMENT.search(s)
     return s[: m.start()] if m else s
@@ -381,7 +387,7 @@ def parse_yaml(text: str | None) -> Value:
 def _number(v: float) -> str:
     if math.isnan(v) or math.isinf(v):
         return "null"
-    if v == int(v) and abs(v) < 9.2e18:
+    if abs(v) < 9.2e18 and v == int(v):
         return str(int(v))
     return next((s for s in (f"{v:.{d}g}" for d in (15, 16)) if float(s) == v), f"{v:.17g}")
 
