@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import crc_mod, staged
+from .common import crc_mod, split_words, staged
 
 END = "\n"  # no word holds a line end
 HELD_OUT_OF, HELD_OUT = 7, 2
@@ -39,15 +39,6 @@ RATES = (0.02, 0.01)  # of the rounds
 _FLUSH, _POOL_TOKENS = 1_000_000, 4_000_000
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-cased (A-Z) words of a batch of texts, one after the other, and how many each text has. Null texts have none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    words, cuts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    full = pc.not_equal(words, "")  # blanks at either end leave an empty piece
-    before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
-    return words.filter(full), np.diff(before[cuts - cuts[0]])
-
-
 def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> list[np.ndarray]:
     """The ids of each text, the end token last."""
     out = np.full(len(ids) + len(counts), end, np.int16)

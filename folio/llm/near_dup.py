@@ -9,10 +9,10 @@ candidates; the rest is decided on the full sets.
 
 Pairs are never rows of a table. First every set meets the smallest member of its lists that it shares most
 values with; the links found join sets into components. Then members of a list meet if they are in different components,
-and a pair meets once, in the list of its first shared value. A list of many members is split by the second value that
-a pair shares, and what is still long is cut into blocks; a task compares the members of one list or of two blocks,
-first by their listed values, and only those with a candidate get their texts. So a group of near copies costs a number
-of rows linear in its size, no task grows with a group, and no link between components is lost.
+and a pair meets once, in the list of its first shared value. A long list is cut into blocks; a task compares the
+members of one list or of two blocks, first by their listed values, and only those with a candidate get their texts. So a
+group of near copies costs a number of rows linear in its size, no task grows with a group, and no link between components
+is lost. What remains quadratic is the comparing, inside tasks, of many texts that share a list and are alike, but not enough.
 
 Chance: for sets within K the needed overlap is certain; beyond, a pair at the threshold has fewer than NEEDED
 of K values in common with probability below 1e-6 (binomial), and falls below the estimate's margin as rarely.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, lower_ascii, staged, table_bytes, unstage, words_of
+from .common import components, join_counted, split_words, staged, table_bytes, unstage
 
 K = 64
 NEEDED = 35  # of K, where sets are larger than SMALL: P(Bin(64, 0.8) < 35) < 1e-6
@@ -42,9 +42,8 @@ MARGIN = 0.25  # the estimate's slack: five standard deviations at K = 64
 THRESHOLD = 80  # per cent
 PAD = np.uint64(2**64 - 1)  # no shingle hashes to it but by a chance of 2 ** -64
 SHARED = 3  # listed values that a pair shares at least
-BLOCK, BLOCK_SHINGLES = 200, 400_000  # members of a block, and elements of their sets together
+BLOCK, BLOCK_SHINGLES = 500, 1_000_000  # members of a block, and elements of their sets together
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_CACHE = 300_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,28 +52,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles of ``size`` words."""
-
-    def __init__(self, size: int):
-        self.size, self.cache = size, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = words_of(lower_ascii(text)) if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        cache = self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        n = min(self.size, len(words))
-        out = np.full(len(words) - n + 1, n, np.uint64)
+def word_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of ``size`` words; a shorter text is one shingle."""
+    words, counts = split_words(texts)
+    coded = words.dictionary_encode()
+    names = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    h = names[coded.indices.to_numpy()] if len(words) else np.empty(0, np.uint64)
+
+    def shingles(h: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
         for i in range(n):
-            out = _mix(out * _M1 + h[i : len(words) - n + 1 + i])
-        out.sort()
-        return out[np.concatenate(([True], out[1:] != out[:-1]))]
+            out = _mix(out * _M1 + h[i : len(h) - n + 1 + i])
+        return out
+
+    every = shingles(h, size)  # also across texts, where no text starts
+    sets, at = [], 0
+    for k in counts.tolist():
+        out = np.sort(every[at : at + k - size + 1]) if k >= size else shingles(h[at : at + k], k) if k else h[:0]
+        sets.append(out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) else out)
+        at += k
+    return sets
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,11 +105,9 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig1"
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Shingler(size)
         for b in batches:
             n, s1, s2, sk = [], [], [], []
-            for t in b.column("text"):
-                s = sets(t.as_py())
+            for s in word_sets(b.column("text"), size):
                 raw = s.tobytes()
                 n.append(len(s))
                 s1.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
@@ -164,11 +159,10 @@ def star_links(star: DataFrame, texts: DataFrame, size: int, threshold: int) ->
     rows = _at(texts, staged(asked)).repartition("a", "part").sortWithinPartitions("a", "part", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, now, heads = Shingler(size), None, []
+        now, heads = None, []
         for b in batches:
             found = []
-            for i, t, a, part, member in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "a", "part", "member"))):
-                s = sets(t)
+            for i, s, a, part, member in zip(b.column("doc_id").to_pylist(), word_sets(b.column("text"), size), *(b.column(c).to_pylist() for c in ("a", "part", "member"))):
                 if not member:
                     heads = [*heads, s] if now == (a, part) else [s]
                     now = (a, part)
@@ -189,8 +183,8 @@ def star_links(star: DataFrame, texts: DataFrame, size: int, threshold: int) ->
 
 # --- lists ------------------------------------------------------------------
 
-GROUP = ["v", "w", "i", "j"]  # a list's value, the second value that its pairs share (or v), and two blocks
-MEMBER = "v long, w long, i int, j int, doc_id long, c long, n long, vs array<long>"
+GROUP = ["v", "i", "j"]  # a list's value, and two of its blocks
+MEMBER = "v long, i int, j int, doc_id long, c long, n long, vs array<long>, block int"
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -216,8 +210,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def candidate_pairs(rows: pa.Table, threshold: int) -> np.ndarray:
     """Symmetric matrix: which rows of a group are of different components and of similar size, share SHARED listed values, and have no
-    earlier list (or second value) in common, in which they meet as well; and, between blocks, are of different ones."""
-    v, w, i, j = (rows.column(c)[0].as_py() for c in GROUP)
+    earlier list in common, in which they meet as well; and, between blocks, are of different ones."""
+    v, i, j = (rows.column(c)[0].as_py() for c in GROUP)
     c, n, ids = (rows.column(k).to_numpy() for k in ("c", "n", "doc_id"))
     ok = (c[:, None] != c[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]))
     if i != j:
@@ -232,7 +226,7 @@ def candidate_pairs(rows: pa.Table, threshold: int) -> np.ndarray:
     names, code = np.unique(values, return_inverse=True)
     has = np.zeros((len(c), len(names)), np.float32)
     has[row, code] = 1
-    early = has[:, (names < v) | ((names > v) & (names < w))]
+    early = has[:, names < v]
     return ok & (has @ has.T >= SHARED) & (early @ early.T == 0)
 
 
@@ -251,7 +245,7 @@ def _with_candidates(threshold: int):
 def _group_links(size: int, threshold: int):
     """Links (a, b) of each group that join different components; no more links than rows."""
 
-    def links(rows: pa.Table, sets: Shingler) -> list[tuple[int, int]]:
+    def links(rows: pa.Table) -> list[tuple[int, int]]:
         ok = np.triu(candidate_pairs(rows, threshold))
         ids, labels = rows.column("doc_id").to_pylist(), rows.column("c").to_pylist()
         parent = {c: c for c in labels}
@@ -261,7 +255,7 @@ def _group_links(size: int, threshold: int):
                 parent[c] = c = parent[parent[c]]
             return c
 
-        elements = [sets(t) for t in rows.column("text").to_pylist()]
+        elements = word_sets(rows.column("text").combine_chunks(), size)
         sketches = padded([e[:K].view(np.int64) for e in elements])
         lens = np.fromiter(map(len, elements), np.int64, len(elements))
         found = []
@@ -283,37 +277,27 @@ def _group_links(size: int, threshold: int):
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Shingler(size)
         for rows in _groups(batches):
-            yield _link(links(rows, sets))
+            yield _link(links(rows))
 
     return run
 
 
-def _blocks(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Statistics of the lists: (key, size, blocks)."""
-    size = F.count(F.lit(1))
-    return rows.groupBy(*key).agg(size.alias("size"), F.greatest(F.ceil(size / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("size > 1")
-
-
 def list_links(members: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """Links between different components among the members (doc_id, n, c, v) of lists. Staged."""
     rows = members.withColumn("vs", F.collect_list("v").over(Window.partitionBy("doc_id"))).where(F.size("vs") >= SHARED)  # K rows a document at most
     rows = staged(rows)
-    lists = staged(_blocks(rows, ["v"]))
-    x = join_counted(rows, lists, "v").select("v", F.col("v").alias("w"), "doc_id", "c", "n", "vs", "blocks")
-    # a long list is split by the second value that a pair shares: there are SHARED of them at least
-    long = staged(x.where("blocks > 1").select("v", F.explode(F.filter("vs", lambda y: y > F.col("v"))).alias("w"), "doc_id", "c", "n", "vs"))
-    parts = staged(_blocks(long, ["v", "w"]).withColumn("vw", F.xxhash64("v", "w")))
-    split = join_counted(long.withColumn("vw", F.xxhash64("v", "w")), parts.drop("v", "w"), "vw").select("v", "w", "doc_id", "c", "n", "vs", "blocks")
-    x = x.where("blocks = 1").unionByName(split).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    count = F.count(F.lit(1))
+    lists = rows.groupBy("v").agg(count.alias("size"), F.greatest(F.ceil(count / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("size > 1")
+    lists = staged(lists)
+    x = join_counted(rows, lists, "v").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("v", "w", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "doc_id", "c", "n", "vs", "block")
+    x = x.select("v", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "doc_id", "c", "n", "vs", "block")
     in_order = lambda t: t.repartition(*GROUP).sortWithinPartitions(*GROUP, "doc_id")
-    schema = MEMBER + ", block int"
-    met = staged(in_order(x).mapInArrow(_with_candidates(threshold), schema))
-    links = staged(in_order(_at(texts, met)).select("text", *[c.split()[0] for c in schema.split(", ")]).mapInArrow(_group_links(size, threshold), "a long, b long").distinct())
-    unstage(rows, lists, long, parts, met)
+    met = staged(in_order(x).mapInArrow(_with_candidates(threshold), MEMBER))
+    unstage(rows, lists)
+    links = staged(in_order(_at(texts, met)).select("text", *[c.split()[0] for c in MEMBER.split(", ")]).mapInArrow(_group_links(size, threshold), "a long, b long").distinct())
+    unstage(met)
     return links
 
 
