@@ -6,43 +6,47 @@ asked for are made. Filters on other columns belong before it. All outputs also
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..kernels import blocks, fences, markdown, script, yaml12
 from ..kernels.tree import Node, to_html, to_json
+from ..kernels.urls import find_links
 
 PROPS = "array<struct<name:string,kind:string,s:string,n:double,b:boolean,list:array<string>>>"
 NODES = f"node_id int, parent_id int, ordinal int, depth int, document int, type string, tag string, value string, props {PROPS}, line int, column int, end_line int, end_column int"
 PLACE = "line int, column int, end_line int, end_column int"
 
 
-def _prop(name: str, v) -> dict:
-    out = {"name": name, "kind": "string", "s": None, "n": None, "b": None, "list": None}
+def _prop(name: str, v) -> tuple:
     if isinstance(v, bool):
-        return out | {"kind": "bool", "b": v}
+        return name, "bool", None, None, v, None
     if isinstance(v, list):
-        return out | {"kind": "list", "list": v}
-    return out | ({"s": v} if isinstance(v, str) else {"kind": "number", "n": float(v)})
+        return name, "list", None, None, None, v
+    return (name, "string", v, None, None, None) if isinstance(v, str) else (name, "number", None, float(v), None, None)
 
 
-def _node_rows(root: Node, documents: bool) -> Iterator[tuple]:
-    """Pre-order rows; a stack instead of recursion, so depth is no matter."""
+def _node_rows(root: Node, documents: bool, tags: frozenset | None = None, types: frozenset | None = None, content: bool = False) -> Iterator[tuple]:
+    """Pre-order rows; a stack instead of recursion, so depth is no matter. Only rows that are wanted are made; ids count every node."""
     stack, next_id, document = [(root, None, 0, 0)], 0, 0
     while stack:
         n, parent, ordinal, depth = stack.pop()
         me, next_id = next_id, next_id + 1
         if documents and depth == 1:
             document = ordinal
-        props = [_prop(k, v) for k, v in n.props.items()]
-        yield (me, parent, ordinal, depth, document, n.type, n.tag or None, n.value if n.type in ("text", "raw", "comment") else None, props, *(n.pos or (None,) * 4))
-        stack += [(c, me, k, depth + 1) for k, c in reversed(list(enumerate(n.children)))]
+        if (tags is None or n.tag in tags) and (types is None or n.type in types):
+            props = [_prop(k, v) for k, v in n.props.items()]
+            yield (me, parent, ordinal, depth, document, n.type, n.tag or None, n.value if n.type in ("text", "raw", "comment") else None, props, *(n.pos or (None,) * 4), *([n.text()] if content else []))
+        if n.children:
+            stack += [(c, me, k, depth + 1) for k, c in zip(range(len(n.children) - 1, -1, -1), reversed(n.children))]
 
 
 class DocFrame:
@@ -52,18 +56,38 @@ class DocFrame:
         self.df = df.select(F.col(id_col).alias("source_id"), F.col(text_col).cast("string").alias("text"))
         self.options = replace(blocks.Options(), **options)
 
-    def _rows(self, schema: str, kernel: Callable[[str | None], Iterator[tuple]]) -> DataFrame:
+    def _rows(self, schema: str, kernel: Callable[[str | None], Iterable[tuple]]) -> DataFrame:
+        """A row for each that the kernel gives for a text. Ids pass as they are: they are picked, never converted."""
         id_type = self.df.schema["source_id"].dataType
         out = T.StructType([T.StructField("source_id", id_type), *T.StructType.fromDDL(schema).fields])
-        names = out.names
-        ints = {f.name: {"int": "Int32", "bigint": "Int64"}[f.dataType.simpleString()] for f in out.fields if f.dataType.simpleString() in ("int", "bigint")}
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fields = list(to_arrow_schema(out))
+
+        def made(ids: pa.Array, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = [ids.take(pa.array(of, pa.int64()))]
+            for f, values in zip(fields[1:], zip(*rows) if rows else [()] * (len(fields) - 1)):
+                if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type):
+                    flat = [x for v in values for x in v]
+                    kind = f.type.value_type
+                    parts = [pa.array(c, t.type) for c, t in zip(zip(*flat) if flat else [()] * kind.num_fields, kind)]
+                    cuts = pa.array([0, *accumulate(map(len, values))], pa.int32())
+                    columns.append(pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(parts, fields=list(kind))).cast(f.type))
+                else:
+                    columns.append(pa.array(values, f.type))
+            return pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(i, *r) for i, t in zip(b["source_id"], b["text"]) for r in kernel(t if isinstance(t, str) else None)]
-                yield pd.DataFrame(rows, columns=names).astype(ints)
-
-        return self.df.mapInPandas(run, out)
+                of, rows = [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    for r in kernel(t):
+                        of.append(i)
+                        rows.append(r)
+                    if len(rows) > 50_000:
+                        yield made(b.column(0), of, rows)
+                        of, rows = [], []
+                yield made(b.column(0), of, rows)
+
+        return self.df.mapInArrow(run, out)
 
     def documents(self) -> DataFrame:
         """(document, text, matter, body) of each document of each source: columns only."""
@@ -73,9 +97,26 @@ class DocFrame:
     def lines(self) -> DataFrame:
         return self.df.select("source_id", F.explode(X.lines(F.col("text"))).alias("l")).select("source_id", "l.*")
 
-    def nodes(self) -> DataFrame:
+    def nodes(self, tags: Iterable[str] | None = None, types: Iterable[str] | None = None, content: bool = False) -> DataFrame:
+        """The trees' nodes: all, or only elements of some tags or nodes of some types. A filter on tag or type after it can't reach the kernel.
+
+        content: a further column with all the text below a node, so that it needs no join with its children.
+        """
+        o = self.options
+        return self._nodes(lambda t: blocks.parse(t, o).root, o.documents, tags, types, content)
+
+    def _nodes(self, tree: Callable[[str | None], Node], documents: bool, tags, types, content: bool) -> DataFrame:
+        tags, types = (None if x is None else frozenset(x) for x in (tags, types))
+        return self._rows(NODES + (", content string" if content else ""), lambda t: _node_rows(tree(t), documents, tags, types, content))
+
+    def links(self) -> DataFrame:
+        """Links in the text as plain text: start, end (code points, end exclusive), mailto."""
+        return self._rows("ord int, start int, end int, mailto boolean, url string", lambda t: ((i, k.start, k.end, k.mailto, t[k.start : k.end]) for i, k in enumerate(find_links(t or ""))))
+
+    def apply(self, function: Callable[[Node], Iterable[tuple]], schema: str) -> DataFrame:
+        """Rows that a function of the user's own makes of each tree."""
         o = self.options
-        return self._rows(NODES, lambda t: _node_rows(blocks.parse(t, o).root, o.documents))
+        return self._rows(schema, lambda t: function(blocks.parse(t, o).root))
 
     def references(self) -> DataFrame:
         """Tags, mentions and page links, once per document, in order of appearance."""
@@ -98,7 +139,7 @@ class DocFrame:
         """Level, id and text of each heading, in order."""
         o = self.options
 
-        def rows(t):
+        def rows(t: str | None) -> Iterable[tuple]:
             hs = (n for n, _ in blocks.parse(t, o).root.walk() if len(n.tag) == 2 and n.tag[0] == "h" and n.tag[1].isdigit() and n.pos)
             return ((i, int(n.tag[1]), n.props.get("id"), n.text(), n.pos[0]) for i, n in enumerate(hs))
 
@@ -150,8 +191,9 @@ class DocFrame:
 
     # the same sources read as Markdown
 
-    def markdown_nodes(self) -> DataFrame:
-        return self._rows(NODES, lambda t: _node_rows(markdown.parse_markdown(t), False))
+    def markdown_nodes(self, tags: Iterable[str] | None = None, types: Iterable[str] | None = None, content: bool = False) -> DataFrame:
+        """As ``nodes``."""
+        return self._nodes(markdown.parse_markdown, False, tags, types, content)
 
     def markdown_json(self) -> DataFrame:
         return self._rows("json string", lambda t: [(to_json(markdown.parse_markdown(t), False),)])
@@ -161,8 +203,16 @@ class DocFrame:
 
     def report(self) -> DataFrame:
         """Front matter, references and messages as lines of text, one row each."""
-        m = self.front_matter().select("source_id", F.lit(0).alias("part"), F.col("document").alias("ord"), F.format_string("front matter %d-%d: %s", F.coalesce("open_line", F.lit(0)), F.coalesce("close_line", F.lit(0)), F.coalesce("source", F.lit("(none)"))).alias("said"))
-        r = self.references().select("source_id", F.lit(1).alias("part"), "ord", F.format_string("reference %d:%s:%s", "document", "kind", "name").alias("said"))
-        where = F.when(F.col("line").isNotNull(), F.format_string("%d:%d-%d:%d: ", "line", "column", "end_line", "end_column")).otherwise("")
-        g = self.messages().select("source_id", F.lit(2).alias("part"), "ord", F.concat(F.lit("message "), where, F.col("reason")).alias("said"))
-        return m.unionByName(r).unionByName(g)
+        o = self.options
+
+        def rows(t: str | None) -> Iterable[tuple]:
+            d = blocks.parse(t, o)
+            for i, (source, first, last) in enumerate(d.matters):
+                yield 0, i, f"front matter {first}-{last}: {'(none)' if source is None else source}"
+            for i, (document, kind, name) in enumerate(d.references):
+                yield 1, i, f"reference {document}:{kind}:{name}"
+            for i, m in enumerate(d.messages):
+                place = "{}:{}-{}:{}: ".format(*m.pos) if m.pos else ""
+                yield 2, i, f"message {place}{m.reason}"
+
+        return self._rows("part int, ord int, said string", rows)

@@ -82,3 +82,52 @@ def judge_elements(elements: DataFrame, spark) -> DataFrame:
     allowed = F.broadcast(vocabulary(spark, "tags").withColumn("ok", F.lit(True)))
     stripped = F.broadcast(vocabulary(spark, "stripped"))
     return elements.join(stripped, "tag", "left_anti").join(allowed, "tag", "left").withColumn("built", F.when(F.col("ok"), F.col("tag")).otherwise("div")).drop("ok")
+
+
+def names_or_pages(references: DataFrame, pages: DataFrame, page_col: str = "slug") -> DataFrame:
+    """(name, tagged, page): names that are referred to and pages that exist, in one table."""
+    left = references.select("name").distinct().withColumn("tagged", F.lit(True))
+    right = pages.select(F.col(page_col).alias("name")).distinct().withColumn("page", F.lit(True))
+    return left.join(right, "name", "full").select("name", F.coalesce("tagged", F.lit(False)).alias("tagged"), F.coalesce("page", F.lit(False)).alias("page"))
+
+
+def inside(marks: DataFrame, links: DataFrame) -> DataFrame:
+    """Marks (source_id, at) that lie inside a link (start, end) of their source, with the link's url. Equality on the source first, so no task pairs all."""
+    spans = links.select("source_id", "start", "end", "url")
+    m = marks.alias("m")
+    return m.join(spans.alias("s"), (F.col("m.source_id") == F.col("s.source_id")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("m.source_id", "at", "url")
+
+
+def setext_headings(lines: DataFrame) -> DataFrame:
+    """(source_id, title, number): lines that the next line underlines, with === or four dashes or more."""
+    under = F.lead("text").over(Window.partitionBy("source_id").orderBy("number"))
+    return lines.withColumn("under", under).where(F.col("under").rlike(r"^(=+|-{4,})[ \t]*$") & (F.col("text") != "")).select("source_id", F.col("text").alias("title"), "number")
+
+
+def descendants(nodes: DataFrame, levels: int = 1_000) -> DataFrame:
+    """(source_id, node_id, below): how many nodes are below each node, by a recursive query along parent_id.
+
+    Trees of more than ``levels`` levels raise an error, and so does a recursion of more rows than ``spark.sql.cteRecursionRowLimit``.
+    """
+    nodes.select("source_id", "node_id", "parent_id").createOrReplaceTempView("folio_nodes")
+    return nodes.sparkSession.sql(f"""
+        WITH RECURSIVE up(source_id, node_id, parent_id) MAX RECURSION LEVEL {levels} AS (
+            SELECT source_id, node_id, parent_id FROM folio_nodes
+            UNION ALL
+            SELECT u.source_id, n.node_id, n.parent_id FROM up u JOIN folio_nodes n ON u.source_id = n.source_id AND u.parent_id = n.node_id)
+        SELECT source_id, node_id, count(*) - 1 AS below FROM up GROUP BY source_id, node_id""")
+
+
+@F.udtf(returnType="word string, place int")
+class _Words:
+    def eval(self, text: str):
+        for i, w in enumerate((text or "").split(" ")):
+            yield w.upper(), i
+
+
+def words(texts: DataFrame, col: str) -> DataFrame:
+    """(source_id, word, place) by a table function joined laterally."""
+    spark = texts.sparkSession
+    spark.udtf.register("folio_words", _Words)
+    texts.createOrReplaceTempView("folio_texts")
+    return spark.sql(f"SELECT source_id, word, place FROM folio_texts, LATERAL folio_words({col})")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..kernels import vocab
 from ..operators import relational as R
 from ..operators.documents import DocFrame
 
@@ -140,19 +141,19 @@ def _lists(spark, d, **kw):
 
 @query("SELECT n_regionkey AS source_id, count(*)::BIGINT AS items FROM nation GROUP BY n_regionkey")
 def list_items(spark, d):
-    return DocFrame(_lists(spark, d)).nodes().where("tag = 'li'").groupBy("source_id").agg(F.count(F.lit(1)).alias("items"))
+    return DocFrame(_lists(spark, d)).nodes(tags=["li"]).groupBy("source_id").agg(F.count(F.lit(1)).alias("items"))
 
 
 @query("SELECT p_partkey AS source_id, CASE WHEN p_size <> 1 THEN p_size END::BIGINT AS start FROM part")
 def ordered_start(spark, d):
-    got = DocFrame(_one(_parts(spark, d), "p_partkey", _s("@p_size", ". ", "@p_name"))).nodes().where("tag = 'ol'")
+    got = DocFrame(_one(_parts(spark, d), "p_partkey", _s("@p_size", ". ", "@p_name"))).nodes(tags=["ol"])
     return got.select("source_id", F.get(F.filter("props", lambda p: p["name"] == "start"), F.lit(0))["n"].cast("long").alias("start"))
 
 
 @query("SELECT o_custkey AS source_id, sum((o_orderstatus = 'F')::INT)::BIGINT AS done, count(*)::BIGINT AS items FROM orders GROUP BY o_custkey")
 def task_progress(spark, d):
     line = _s("- [", F.when(F.col("o_orderstatus") == "F", "x").otherwise(" "), "] order ", "@o_orderkey")
-    boxes = DocFrame(_written(_table(spark, d, "orders"), "o_custkey", "o_orderkey", line)).nodes().where("tag = 'input'")
+    boxes = DocFrame(_written(_table(spark, d, "orders"), "o_custkey", "o_orderkey", line)).nodes(tags=["input"])
     done = F.exists("props", lambda p: (p["name"] == "checked") & p["b"])
     return boxes.groupBy("source_id").agg(F.sum(done.cast("long")).alias("done"), F.count(F.lit(1)).alias("items"))
 
@@ -172,10 +173,8 @@ def _pipe_table(spark, d):
 
 @query("SELECT n_regionkey AS source_id, n_name AS name, n_nationkey::VARCHAR AS key FROM nation")
 def tables_cells(spark, d):
-    n = DocFrame(_pipe_table(spark, d)).nodes()
-    cell = n.where("tag = 'td'").select("source_id", "node_id", F.col("parent_id").alias("row"), "ordinal")
-    text = n.where("type = 'text'").select("source_id", F.col("parent_id").alias("node_id"), "value")
-    return cell.join(text, ["source_id", "node_id"]).groupBy("source_id", "row").agg(F.min_by("value", "ordinal").alias("name"), F.max_by("value", "ordinal").alias("key")).drop("row")
+    cell = DocFrame(_pipe_table(spark, d)).nodes(tags=["td"], content=True)
+    return cell.groupBy("source_id", F.col("parent_id").alias("row")).agg(F.min_by("content", "ordinal").alias("name"), F.max_by("content", "ordinal").alias("key")).drop("row")
 
 
 @query("SELECT n_regionkey AS source_id, n_name AS name, n_nationkey::VARCHAR AS key FROM nation")
@@ -186,7 +185,7 @@ def tables_cells_by_columns(spark, d):
 
 @query("SELECT n_regionkey AS source_id, 'text-align: center' AS style, count(*) + 1 AS cells FROM nation GROUP BY n_regionkey UNION ALL SELECT n_regionkey, 'text-align: right', count(*) + 1 FROM nation GROUP BY n_regionkey")
 def table_alignment(spark, d):
-    n = DocFrame(_pipe_table(spark, d)).nodes().where("tag IN ('td', 'th')")
+    n = DocFrame(_pipe_table(spark, d)).nodes(tags=["td", "th"])
     return n.groupBy("source_id", F.col("props")[0]["s"].alias("style")).agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -194,29 +193,25 @@ def table_alignment(spark, d):
 def table_padding(spark, d):
     x = _table(spark, d, "nation")
     text = _written(x, "n_regionkey", "n_nationkey", F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name")).otherwise(_s("| ", "@n_name", " | y |")), F.lit("| a | b |\n| - | - |"))
-    n = DocFrame(text).nodes()
-    kids = n.where("type = 'text'").select("source_id", F.col("parent_id").alias("node_id"))
-    return n.where("tag = 'td'").join(kids, ["source_id", "node_id"], "left_anti").groupBy("source_id").agg(F.count(F.lit(1)).alias("padded"))
+    return DocFrame(text).nodes(tags=["td"], content=True).where("content = ''").groupBy("source_id").agg(F.count(F.lit(1)).alias("padded"))
 
 
 @query("SELECT n_regionkey AS source_id, 'All' AS caption FROM nation GROUP BY n_regionkey")
 def table_caption(spark, d):
-    n = DocFrame(_pipe_table(spark, d)).nodes()
-    return n.where("tag = 'caption'").select("source_id", "node_id").join(n.select("source_id", F.col("parent_id").alias("node_id"), F.col("value").alias("caption")), ["source_id", "node_id"]).drop("node_id")
+    return DocFrame(_pipe_table(spark, d)).nodes(tags=["caption"], content=True).select("source_id", F.col("content").alias("caption"))
 
 
 @query("SELECT r_regionkey AS source_id, 'language-' || lower(split_part(r_name, ' ', 1)) AS class, '# ' || r_name || chr(10) || '  **x**' || chr(10) AS code FROM region")
 def code_blocks(spark, d):
     r = _table(spark, d, "region")
-    n = DocFrame(_one(r, "r_regionkey", _s("```", F.lower("r_name"), "\n# ", "@r_name", "\n  **x**\n```\n"))).nodes()
-    code = n.where("tag = 'code'").select("source_id", "node_id", F.col("props")[0]["list"][0].alias("class"))
-    return code.join(n.select("source_id", F.col("parent_id").alias("node_id"), F.col("value").alias("code")), ["source_id", "node_id"]).drop("node_id")
+    n = DocFrame(_one(r, "r_regionkey", _s("```", F.lower("r_name"), "\n# ", "@r_name", "\n  **x**\n```\n"))).nodes(tags=["code"], content=True)
+    return n.select("source_id", F.col("props")[0]["list"][0].alias("class"), F.col("content").alias("code"))
 
 
 @query("SELECT n_regionkey AS source_id, string_agg(n_name, ' ' ORDER BY n_nationkey) AS text FROM nation WHERE n_nationkey % 2 = 0 GROUP BY n_regionkey")
 def comments_dropped(spark, d):
     line = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(_s("# ", "@n_name"))
-    return DocFrame(_written(_table(spark, d, "nation"), "n_regionkey", "n_nationkey", line)).nodes().where("type = 'text'").select("source_id", F.col("value").alias("text"))
+    return DocFrame(_written(_table(spark, d, "nation"), "n_regionkey", "n_nationkey", line)).nodes(types=["text"]).select("source_id", F.col("value").alias("text"))
 
 
 @query("SELECT r_regionkey AS source_id, r_regionkey::BIGINT AS divs FROM region WHERE r_regionkey > 0")
@@ -252,7 +247,7 @@ def split_documents(spark, d):
 
 @query("SELECT n_regionkey AS source_id, count(*)::BIGINT AS articles FROM nation GROUP BY n_regionkey")
 def document_stream(spark, d):
-    return DocFrame(_stream(spark, d), documents=True).nodes().where("tag = 'article'").groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"))
+    return DocFrame(_stream(spark, d), documents=True).nodes(tags=["article"]).groupBy("source_id").agg(F.count(F.lit(1)).alias("articles"))
 
 
 def _matter(spark, d):
@@ -401,7 +396,7 @@ _SCHEMES = "CASE p_partkey % 5 WHEN 0 THEN 'javascript:x' WHEN 1 THEN 'https://x
 
 @query("SELECT p_partkey AS source_id, CASE p_partkey % 5 WHEN 1 THEN 'https://x.com/A b' WHEN 2 THEN 'page-one' WHEN 4 THEN '#Frag' END AS href FROM part")
 def sanitize_protocols(spark, d):
-    n = DocFrame(_one(_parts(spark, d), "p_partkey", F.concat(F.lit('<a href="'), F.expr(_SCHEMES), F.lit('">x')))).nodes().where("tag = 'a'")
+    n = DocFrame(_one(_parts(spark, d), "p_partkey", F.concat(F.lit('<a href="'), F.expr(_SCHEMES), F.lit('">x')))).nodes(tags=["a"])
     return n.select("source_id", F.when(F.size("props") > 0, F.col("props")[0]["s"]).alias("href"))
 
 
@@ -422,22 +417,20 @@ def pages_messages(spark, d):
 @query(r"SELECT doc_id AS source_id, unnest(regexp_extract_all(text, '[A-Za-z0-9.]+@[a-z0-9]+(?:\.[a-z$]+)+')) AS address FROM documents")
 def emails(spark, d):
     docs = _table(spark, d, "documents").where(F.col("text").contains("@"))
-    n = DocFrame(docs, "text", "doc_id").nodes().where("tag = 'a'").select("source_id", F.col("props")[0]["s"].alias("href"))
+    n = DocFrame(docs, "text", "doc_id").nodes(tags=["a"]).select("source_id", F.col("props")[0]["s"].alias("href"))
     return n.where("href LIKE 'mailto:%'").select("source_id", F.expr("substring(href, 8)").alias("address"))
 
 
 @query("SELECT o_orderkey AS source_id, 'http://x.com/a,' || o_orderkey AS href FROM orders")
 def urls(spark, d):
-    n = DocFrame(_one(_table(spark, d, "orders"), "o_orderkey", _s("see http://x.com/a,", "@o_orderkey", "."))).nodes().where("tag = 'a'")
-    return n.select("source_id", F.col("props")[0]["s"].alias("href"))
+    return DocFrame(_one(_table(spark, d, "orders"), "o_orderkey", _s("see http://x.com/a,", "@o_orderkey", "."))).links().select("source_id", F.col("url").alias("href"))
 
 
 @query("SELECT p_partkey AS source_id, CASE p_partkey % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'em' ELSE 'code' END AS tag, p_name AS text FROM part")
 def markers(spark, d):
     m = F.expr("CASE p_partkey % 3 WHEN 0 THEN '**' WHEN 1 THEN '//' ELSE '``' END")
-    n = DocFrame(_one(_parts(spark, d), "p_partkey", F.concat(F.lit("a "), m, F.col("p_name"), m, F.lit(" b")))).nodes()
-    spans = n.where("depth = 2 AND type = 'element'").select("source_id", "node_id", "tag")
-    return spans.join(n.select("source_id", F.col("parent_id").alias("node_id"), F.col("value").alias("text")), ["source_id", "node_id"]).drop("node_id")
+    n = DocFrame(_one(_parts(spark, d), "p_partkey", F.concat(F.lit("a "), m, F.col("p_name"), m, F.lit(" b")))).nodes(types=["element"], content=True)
+    return n.where("depth = 2").select("source_id", "tag", F.col("content").alias("text"))
 
 
 @query("SELECT p_partkey AS source_id, '<p>a <strong>' || p_name || '</strong></p>' AS html FROM part")
@@ -451,24 +444,26 @@ _TYPED = "CASE p_size % 4 WHEN 0 THEN ' --> ' WHEN 1 THEN '...' WHEN 2 THEN ' --
 @query("SELECT p_partkey AS source_id, p_name || CASE p_size % 4 WHEN 0 THEN ' → ' WHEN 1 THEN '…' WHEN 2 THEN ' — ' ELSE ' <--- ' END || p_brand AS text FROM part")
 def typography(spark, d):
     x = _one(_parts(spark, d), "p_partkey", F.concat(F.col("p_name"), F.expr(_TYPED), F.col("p_brand")))
-    kernel = DocFrame(x).nodes().where("type = 'text'").select("source_id", F.col("value").alias("text"))
+    kernel = DocFrame(x).nodes(types=["text"]).select("source_id", F.col("value").alias("text"))
     return kernel.intersectAll(x.select("source_id", X.typography(F.col("text")).alias("text")))
 
 
 @query("SELECT n_nationkey AS source_id, n_name || ' 🚀 😃 x:) end' AS text FROM nation")
 def emoji(spark, d):
-    return DocFrame(_one(_table(spark, d, "nation"), "n_nationkey", _s("@n_name", " :rocket: :) x:) end"))).nodes().where("type = 'text'").select("source_id", F.col("value").alias("text"))
+    return DocFrame(_one(_table(spark, d, "nation"), "n_nationkey", _s("@n_name", " :rocket: :) x:) end"))).nodes(types=["text"]).select("source_id", F.col("value").alias("text"))
 
 
-@query("SELECT doc_id AS source_id, sum((tag_count > 0)::INT)::BIGINT AS n FROM (SELECT doc_id, 0 AS tag_count FROM documents) GROUP BY doc_id")
+@query(r"SELECT doc_id AS source_id, len(regexp_extract_all(coalesce(text, '') || ' #' || coalesce(source, 'none') || ' (#two) mid#no #9 ##three', '(?:^|[^\p{L}\p{N}_])#(?:[\p{L}_]|[^\P{N}0-9])'))::BIGINT AS n FROM documents")
 def document_tags_by_columns(spark, d):
+    """Whole texts, each with further tags (and what is none) at its end."""
     docs = _table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("source_id"), F.size(X.names(F.col("text"), "#")).cast("long").alias("n"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" #"), F.coalesce("source", F.lit("none")), F.lit(" (#two) mid#no #9 ##three"))
+    return docs.select(F.col("doc_id").alias("source_id"), F.size(X.names(text, "#")).cast("long").alias("n"))
 
 
 @query()
 def doc_toggle_stats(spark, d):
-    n = DocFrame(_table(spark, d, "documents"), "text", "doc_id").nodes().where("type = 'element'")
+    n = DocFrame(_table(spark, d, "documents"), "text", "doc_id").nodes(types=["element"])
     return n.groupBy("source_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -498,7 +493,7 @@ def json_bare(spark, d):
 
 @query("SELECT n_nationkey AS source_id, 1 AS line, 1 AS \"column\", (length(n_name) + 6)::INT AS end_column FROM nation")
 def positions(spark, d):
-    n = DocFrame(_one(_table(spark, d, "nation"), "n_nationkey", _s("@n_name", " 𒀀 a"))).nodes().where("tag = 'p'")
+    n = DocFrame(_one(_table(spark, d, "nation"), "n_nationkey", _s("@n_name", " 𒀀 a"))).nodes(tags=["p"])
     return n.select("source_id", "line", "column", "end_column")
 
 
@@ -551,7 +546,7 @@ def script_lines_by_columns(spark, d):
 
 @query("SELECT p_brand AS source_id, lower(p_type) AS id, count(*)::BIGINT AS n FROM part GROUP BY p_brand, p_type")
 def markdown_headings(spark, d):
-    n = DocFrame(_written(_parts(spark, d), "p_brand", "p_partkey", _s("# ", "@p_type"))).markdown_nodes().where("tag = 'h1'")
+    n = DocFrame(_written(_parts(spark, d), "p_brand", "p_partkey", _s("# ", "@p_type"))).markdown_nodes(tags=["h1"])
     return n.groupBy("source_id", F.col("props")[0]["s"].alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -563,9 +558,7 @@ def markdown_html(spark, d):
 @query("SELECT n_regionkey AS source_id, n_name AS name FROM nation")
 def markdown_table(spark, d):
     x = _written(_table(spark, d, "nation"), "n_regionkey", "n_nationkey", _s("| ", "@n_name", " | 1 |"), F.lit("| a | b |\n| - | :-: |"))
-    n = DocFrame(x).markdown_nodes()
-    cells = n.where("tag = 'td' AND size(props) = 0").select("source_id", "node_id")
-    return cells.join(n.select("source_id", F.col("parent_id").alias("node_id"), F.col("value").alias("name")), ["source_id", "node_id"]).drop("node_id")
+    return DocFrame(x).markdown_nodes(tags=["td"], content=True).where("size(props) = 0").select("source_id", F.col("content").alias("name"))
 
 
 # --- string functions ------------------------------------------------------------------------------------------
@@ -603,7 +596,158 @@ def line_predicates(spark, d):
 
 @query("SELECT n_regionkey AS source_id, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS rank FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) <= 3")
 def top_items(spark, d):
-    n = DocFrame(_lists(spark, d)).nodes()
-    items = n.where("tag = 'li'").select("source_id", "node_id").join(n.where("type = 'text'").select("source_id", F.col("parent_id").alias("node_id"), F.col("value").alias("name")), ["source_id", "node_id"])
+    items = DocFrame(_lists(spark, d)).nodes(tags=["li"], content=True).select("source_id", "node_id", F.regexp_replace("content", "^\n|\n$", "").alias("name"))
     w = Window.partitionBy("source_id").orderBy("node_id")
     return items.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("source_id", "name", "rank")
+
+
+# --- vocabularies: one source for each entry, against the plain lists --------------------------------------
+
+
+def _names(rows: list[tuple[str, str]]) -> str:
+    quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in rows)
+    return f"(VALUES {quoted}) t(name, want)"
+
+
+_FACES = sorted(vocab.EMOTICONS.items())
+_ATTRIBUTES = sorted((a, p) for p, a in vocab.ATTRIBUTES.items())
+
+
+@query(f"SELECT name AS source_id, 'say ' || want || ' now' AS text FROM {_names(_FACES)}")
+def emoticons(spark, d):
+    """Every emoticon between words; the texts come from the list's keys, the answer from its values."""
+    keys = spark.createDataFrame([(k,) for k, _ in _FACES], "name string")
+    return DocFrame(_one(keys, "name", _s("say ", "@name", " now"))).nodes(tags=["p"], content=True).select("source_id", F.col("content").alias("text"))
+
+
+@query(f"SELECT name AS source_id, want AS property, name AS attribute FROM {_names(_ATTRIBUTES)}")
+def attribute_properties(spark, d):
+    """Every attribute to its property and back to HTML."""
+    x = _one(spark.createDataFrame([(a,) for a, _ in _ATTRIBUTES], "name string"), "name", _s("<x ", F.upper("name"), '="v">'))
+    docs = DocFrame(x, sanitize=False)
+    n = docs.nodes(tags=["x"]).select("source_id", F.col("props")[0]["name"].alias("property"))
+    return n.join(docs.html().select("source_id", F.regexp_extract("html", '^<x ([^ =>]+)', 1).alias("attribute")), "source_id")
+
+
+# --- further relational work on what documents hold ------------------------------------------------------------
+
+
+@query("SELECT coalesce(a.n_name, b.r_name) AS name, a.n_name IS NOT NULL AS tagged, b.r_name IS NOT NULL AS page FROM (SELECT n_name FROM nation WHERE n_regionkey < 2 UNION SELECT r_name FROM region WHERE r_regionkey = 1) a FULL JOIN region b ON a.n_name = b.r_name")
+def names_or_pages(spark, d):
+    """Full outer join: names that are referred to, pages that exist, or both."""
+    n, r = _table(spark, d, "nation").where("n_regionkey < 2"), _table(spark, d, "region")
+    x = n.select("n_nationkey", "n_name").unionByName(r.where("r_regionkey = 1").select(F.lit(-1).alias("n_nationkey"), F.col("r_name").alias("n_name")))
+    refs = DocFrame(_one(x, "n_nationkey", _s("[[ x | /", "@n_name", " ]]"))).references()
+    return R.names_or_pages(refs.withColumn("name", F.upper(F.expr("substring(name, 2)"))).withColumn("name", F.translate("name", "-", " ")), r.select(F.col("r_name").alias("slug")))
+
+
+@query("SELECT o_orderkey AS source_id, 'x' || o_orderkey || '.example' AS url_host, i::INT AS mark FROM orders, range(0, 3) t(i) WHERE i < 2")
+def marks_inside_links(spark, d):
+    """Interval join: the slashes of a text that lie inside one of its links."""
+    x = _one(_table(spark, d, "orders"), "o_orderkey", _s("a / b http://x", "@o_orderkey", ".example, c"))
+    marks = x.select("source_id", F.expr("filter(sequence(1, length(text)), i -> substring(text, i, 1) = '/')").alias("at")).select("source_id", F.posexplode("at").alias("k", "at")).select("source_id", (F.col("at") - 1).alias("at"))
+    got = R.inside(marks, DocFrame(x).links())
+    rank = F.row_number().over(Window.partitionBy("source_id").orderBy("at")) - 1
+    return got.select("source_id", F.expr("substring(url, 8)").alias("url_host"), rank.alias("mark"))
+
+
+@query("SELECT n_regionkey AS source_id, n_name AS title, 2 * (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::INT - 1 AS number FROM nation")
+def setext_by_neighbour(spark, d):
+    """lead: a line is a heading if the next one underlines it."""
+    x = _written(_table(spark, d, "nation"), "n_regionkey", "n_nationkey", _s("@n_name", "\n==="))
+    return R.setext_headings(DocFrame(x).lines())
+
+
+@query("SELECT count(*)::BIGINT AS n, count(DISTINCT c_mktsegment)::BIGINT AS names, avg(length(c_mktsegment)) AS mean_length, count(*) * 1.0 / count(DISTINCT c_nationkey) AS per_source FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)")
+def reference_totals(spark, d):
+    """Global aggregates and ratios over all references."""
+    refs = DocFrame(_by_nation(spark, d)).references().where("kind = 'tag'")
+    return refs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"), F.avg(F.length("name")).alias("mean_length"), (F.count(F.lit(1)) / F.countDistinct("source_id")).alias("per_source"))
+
+
+@query("SELECT c_mktsegment AS name, count(DISTINCT c_nationkey)::BIGINT AS sources FROM customer GROUP BY c_mktsegment ORDER BY sources DESC, name LIMIT 3")
+def most_used_tags(spark, d):
+    """Sort and limit: the three tags that most sources use."""
+    refs = DocFrame(_by_nation(spark, d)).references().where("kind = 'tag'")
+    return R.reference_counts(refs).orderBy(F.desc("sources"), "name").limit(3).select("name", "sources")
+
+
+@query("SELECT n_nationkey AS source_id, n_name AS name, n_regionkey::VARCHAR AS region, NULL::VARCHAR AS missing, 3 AS keys FROM nation")
+def front_matter_map(spark, d):
+    """Map access: the front matter's mapping, by key."""
+    x = _one(_table(spark, d, "nation"), "n_nationkey", _s("name: ", "@n_name", "\nregion: ", "@n_regionkey", "\nkind: nation"))
+    m = F.from_json("json", "map<string,string>")
+    return DocFrame(x).yaml().select("source_id", m.alias("m")).select("source_id", F.col("m")["name"].alias("name"), F.col("m")["region"].alias("region"), F.col("m")["none"].alias("missing"), F.size("m").alias("keys"))
+
+
+@query("SELECT r_regionkey AS source_id, i::INT AS depth, (3 * (r_regionkey + 1 - i) - 1)::BIGINT AS below FROM region, range(0, 6) t(i) WHERE i <= r_regionkey")
+def nested_descendants(spark, d):
+    """Recursion over parent_id: how many list nodes and texts are below each list of a nest."""
+    r = _table(spark, d, "region")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.col("r_regionkey").cast("int")), lambda i: F.concat(F.repeat(F.lit("  "), i), F.lit("- x"))), "\n")
+    n = DocFrame(_one(r, "r_regionkey", text)).nodes()
+    n = n.where("type = 'element' OR value <> '\n'")
+    got = R.descendants(n).join(n.where("tag = 'ul'").select("source_id", "node_id", "depth"), ["source_id", "node_id"])
+    return got.select("source_id", ((F.col("depth") - 1) / 2).cast("int").alias("depth"), "below")
+
+
+@query("SELECT n_nationkey AS source_id, upper(w) AS word, (i - 1)::INT AS place FROM (SELECT n_nationkey, unnest(string_split(n_name || ' and more', ' ')) AS w, generate_subscripts(string_split(n_name || ' and more', ' '), 1) AS i FROM nation)")
+def words_by_udtf(spark, d):
+    """A table function of the user's own, joined laterally to the parsed texts."""
+    text = DocFrame(_one(_table(spark, d, "nation"), "n_nationkey", _s("@n_name", " **and** more"))).nodes(tags=["p"], content=True).select("source_id", "content")
+    return R.words(text, "content")
+
+
+@query("SELECT n_regionkey AS source_id, count(*)::BIGINT AS items, max(length(n_name))::BIGINT AS longest FROM nation GROUP BY n_regionkey")
+def nodes_by_function(spark, d):
+    """A function of the user's own over each tree."""
+
+    def measure(root):
+        texts = [n.text().strip("\n") for n, _ in root.walk() if n.tag == "li"]
+        yield len(texts), max(map(len, texts), default=0)
+
+    return DocFrame(_lists(spark, d)).apply(measure, "items long, longest long")
+
+
+@query("SELECT n_nationkey AS source_id, 'two ' || n_name AS content, 1 AS number FROM nation")
+def footnote_last_wins(spark, d):
+    """Of several definitions of a note the last one holds, at the first one's place."""
+    x = _one(_table(spark, d, "nation"), "n_nationkey", _s("a[[^k]]\n\n[[^k]]: one\n[[^k]]: two ", "@n_name"))
+    return DocFrame(x).footnotes().select("source_id", "content", "number")
+
+
+_START = "CASE p_partkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '007' WHEN 2 THEN repeat('9', 400) ELSE '٣' END"
+
+
+@query("SELECT p_partkey AS source_id, p_partkey % 4 <> 3 AS is_list, CASE p_partkey % 4 WHEN 1 THEN 7.0 WHEN 2 THEN 9223372036854775808.0 END::DOUBLE AS start FROM part")
+def list_numbers(spark, d):
+    """Leading noughts, numbers of 400 digits, and digits of other scripts, which number nothing."""
+    n = DocFrame(_one(_parts(spark, d), "p_partkey", F.concat(F.expr(_START), F.lit(". x")))).nodes().where("depth = 1")
+    return n.select("source_id", (F.col("tag") == "ol").alias("is_list"), F.when(F.size("props") > 0, F.col("props")[0]["n"]).alias("start"))
+
+
+@query("SELECT p_partkey AS source_id, (p_size * 20)::BIGINT AS divs FROM part")
+def deep_indentation(spark, d):
+    """Steps of indentation beyond any stack: as many divs as half the columns."""
+    n = DocFrame(_one(_parts(spark, d), "p_partkey", F.concat(F.repeat(F.lit(" "), F.col("p_size") * 40), F.lit("x")))).nodes(tags=["div"])
+    return n.groupBy("source_id").agg(F.count(F.lit(1)).alias("divs"))
+
+
+@query("SELECT p_partkey AS source_id, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS links FROM part")
+def link_ports(spark, d):
+    """Ports up to 65535 and hosts with dots belong to a link, others end it."""
+    url = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'http://x.example:65535/' WHEN 1 THEN 'http://x.example:65536/' WHEN 2 THEN '//x.example/' ELSE '//example/' END")
+    x = _one(_parts(spark, d), "p_partkey", F.concat(F.lit("see "), url, F.lit(" now")))
+    return x.join(DocFrame(x).links().groupBy("source_id").agg(F.count(F.lit(1)).alias("links")), "source_id", "left").select("source_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query("SELECT p_partkey AS source_id, '<pre>' || p_name || chr(10) || '  two</pre>' AS html FROM part")
+def raw_text_elements(spark, d):
+    """What an element of text only holds is not markup."""
+    return DocFrame(_one(_parts(spark, d), "p_partkey", _s("<pre> ", "@p_name", "\n    two"))).html()
+
+
+@query("SELECT p_partkey AS source_id, '<img alt=\"' || p_name || '\">' AS html, 'void-element' AS rule FROM part")
+def void_elements(spark, d):
+    docs = DocFrame(_one(_parts(spark, d), "p_partkey", _s('<img alt="', "@p_name", '"> text')))
+    return docs.html().join(docs.messages().select("source_id", "rule"), "source_id")
