@@ -68,13 +68,15 @@ _roots: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application below the session's checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a
-    temporary one is made. It is removed when the driver ends.
+    The folder comes from ``spark.checkpoint.dir`` or ``setCheckpointDir``; only where neither is set and everything runs in one
+    process (tests, notebooks) a temporary one is made. It is removed when the driver ends.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
         if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("executors need a shared folder: set spark.checkpoint.dir")
             base = "file://" + tempfile.mkdtemp(prefix="folio-")
             sc.setCheckpointDir(base)
         root = _roots[sc.applicationId] = f"{base.rstrip('/')}/folio-{sc.applicationId}-{uuid.uuid4().hex[:8]}"

@@ -9,11 +9,11 @@ replacement (one new value for each value of the item), so a question asked with
 a text that merely has the same shape is not. A text is contaminated by an item if consistent diagonals hold ``SHARE``
 of the item's windows, or any diagonal a stretch of ``RUN`` (where the replacement isn't consistent: of unchanged windows).
 
-The benchmark side is counted: up to ``BROADCAST`` windows it is broadcast; beyond, the windows are joined by shuffle.
-Windows with fewer than two plain tokens match by their values only.
+The benchmark side is measured: up to ``BROADCAST`` bytes it is broadcast; beyond, both sides are dealt out by hash and a
+salt, so that a window that many texts share is no task of its own. Windows with fewer than two plain tokens match by their values only.
 
-Defined cases: null and empty texts and those of fewer than WIDTH tokens match nothing; items of fewer than WIDTH
-tokens are one window, matched as a whole by no text (they can't be told from chance); repeated rows of an id are one
+Defined cases: null and empty texts match nothing; items of fewer than WIDTH tokens are found in texts that are the item and
+nothing else (within other texts they can't be told from chance); repeated rows of an id are one
 document; null ids never appear; extra columns are ignored.
 """
 
@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, table_bytes
 
 WIDTH = 5
 SHARE, RUN = 0.5, 9  # 9 windows: 13 tokens
-BROADCAST = 500_000
+BROADCAST, SALTS = 64_000_000, 16
 #: Units that follow a number.
 UNITS = "mm cm m km g kg mg l ml s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year percent kb mb gb tb miles mile feet foot inches inch yards pounds pound lbs lb dollars dollar euros euro cents cent eur usd"
 NUM, NAME, UNIT = "\x02", "\x01", "\x03"
@@ -56,12 +56,13 @@ def _cased(w: Column) -> Column:
 
 
 def template_windows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, h, slots, kind): the hash of each window's template, and the text's slots (place, value), if any.
+    """(key, pos, h, kind, w): the hash of each window's template; w: the text's tokens, null if none of them is a slot (see window_slots).
 
     kind 0: every window; 1: those that hold names, which are words and no slots; 2: those with fewer than two plain
-    tokens beside numbers and units, hashed by their values.
+    tokens beside numbers and units, and texts of fewer than WIDTH tokens, hashed by their values.
     """
-    x = rows.select(F.col(key), tokens(F.col(text)).alias("w")).where(F.size("w") >= WIDTH)
+    x = rows.select(F.col(key), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+    enough = F.size("w") >= WIDTH
     slots = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("value"))), lambda s: s["value"] < "\x04")
     x = x.select(key, "w", F.transform("w", lambda w: F.xxhash64(_typed(w))).alias("t"), F.when(F.exists("w", lambda w: w < "\x04"), slots).alias("slots"))
     last = F.size("t") - WIDTH  # the place of the last window
@@ -69,29 +70,35 @@ def template_windows(rows: DataFrame, key: str, text: str) -> DataFrame:
     names = F.filter("slots", lambda s: s["value"].startswith(NAME))
     around = F.array_distinct(F.flatten(F.transform(names, lambda s: F.sequence(F.greatest(F.lit(0), s["at"] - (WIDTH - 1)), F.least(s["at"], last)))))
     bare = F.filter("slots", lambda s: ~s["value"].startswith(NAME))
-    x = x.select(key, "w", "t", "slots", F.when(F.exists("slots", lambda s: s["value"].startswith(NAME)), around).alias("around"), bare.alias("bare"))
+    x = x.select(key, "w", "t", "slots", F.when(enough & F.exists("slots", lambda s: s["value"].startswith(NAME)), around).alias("around"), bare.alias("bare"))
     at = lambda j: F.element_at("bare", j)["at"]
     most = WIDTH - 1  # so many numbers and units, or more
     full = F.transform(F.sequence(F.lit(1), F.size("bare") - (most - 1)), lambda j: F.when(at(j + most - 1) - at(j) < WIDTH, F.sequence(F.greatest(F.lit(0), at(j + most - 1) - (WIDTH - 1)), F.least(at(j), last))).otherwise(none))
-    x = x.select(key, "w", "t", "slots", "bare", F.coalesce("around", none).alias("around"), F.when(F.size("bare") >= most, F.array_distinct(F.flatten(full))).otherwise(none).alias("full"))
+    x = x.select(key, "w", "t", "slots", "bare", F.coalesce("around", none).alias("around"), F.when(enough & (F.size("bare") >= most), F.array_distinct(F.flatten(full))).otherwise(none).alias("full"))
     window = F.transform(F.sequence(F.lit(1), F.size("t") - (WIDTH - 1)), lambda i: F.xxhash64(*[F.element_at("t", i + k) for k in range(WIDTH)]))
     again = lambda c, f: F.transform(c, lambda i: F.xxhash64(*[F.xxhash64(f(F.element_at("w", i + k + 1))) for k in range(WIDTH)]))
-    every = F.when((F.size("around") == 0) & (F.size("full") == 0), window).otherwise(F.concat(window, again("around", _cased), again("full", lambda w: F.translate(w, NAME, ""))))
-    x = x.select(key, "slots", "bare", F.concat("around", "full").alias("places"), (last + 1).alias("m"), F.size("around").alias("m1"), F.posexplode(every).alias("p", "h"))
-    kind = F.when(F.col("p") < F.col("m"), 0).when(F.col("p") < F.col("m") + F.col("m1"), 1).otherwise(2)
-    pos = F.when(F.col("p") >= F.col("m"), F.element_at("places", F.col("p") - F.col("m") + 1)).otherwise(F.col("p"))
-    return x.select(key, F.when(F.col("p") >= F.col("m"), F.col("bare")).otherwise(F.col("slots")).alias("slots"), pos.alias("pos"), "h", kind.alias("kind"))
+    whole = F.array(F.xxhash64(F.lit("whole"), F.translate(F.array_join("w", " "), NAME, "")))
+    every = F.when(~enough, whole).when((F.size("around") == 0) & (F.size("full") == 0), window).otherwise(F.concat(window, again("around", _cased), again("full", lambda w: F.translate(w, NAME, ""))))
+    x = x.select(key, F.when(F.col("slots").isNotNull(), F.col("w")).alias("tokens"), F.concat("around", "full").alias("places"), F.greatest(F.lit(0), last + 1).alias("m"), F.size("around").alias("m1"), F.posexplode(every).alias("p", "h"))
+    kind = F.when(F.col("m") == 0, 2).when(F.col("p") < F.col("m"), 0).when(F.col("p") < F.col("m") + F.col("m1"), 1).otherwise(2)
+    pos = F.when((F.col("m") > 0) & (F.col("p") >= F.col("m")), F.element_at("places", F.col("p") - F.col("m") + 1)).otherwise(F.col("p"))
+    return x.select(key, F.col("tokens").alias("w"), pos.alias("pos"), "h", kind.alias("kind"))
+
+
+def window_slots() -> Column:
+    """array<struct<at,value>> of the slots inside a window (w, pos, kind), places from its start; null if the text has none."""
+    inside = F.transform(F.slice("w", F.col("pos") + 1, WIDTH), lambda w, i: F.struct(i.alias("at"), w.alias("value")))
+    return F.when(F.col("w").isNotNull(), F.filter(inside, lambda s: F.when(F.col("kind") == 0, s["value"] < "\x04").otherwise(F.substring(s["value"], 1, 1).isin(NUM, UNIT))))
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item_id, pos, h, slots, typed, n, n_typed: the item's windows; those of fewer than two plain tokens by their values only.
+    """item_id, pos, h, slots (of the window), typed, n, n_typed: the item's windows; those of fewer than two plain tokens by their values only.
 
     typed: whether the window has two plain tokens with names as slots; n: how many places there are; n_typed: of these, typed.
     """
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(F.col("item_id").isNotNull())
-    w = template_windows(rows, "item_id", "text")
-    in_window = F.filter("slots", lambda s: (s["at"] >= F.col("pos")) & (s["at"] < F.col("pos") + WIDTH))
-    w = w.where((F.coalesce(F.size(in_window), F.lit(0)) <= WIDTH - 2) | (F.col("kind") == 2))
+    w = template_windows(rows, "item_id", "text").select("item_id", "pos", "h", "kind", window_slots().alias("slots"))
+    w = w.where(F.col("slots").isNull() | (F.size("slots") <= WIDTH - 2) | (F.col("kind") == 2))
     w = w.withColumn("typed", F.max(F.col("kind") == 0).over(Window.partitionBy("item_id", "pos"))).drop("kind")
     return w.join(w.groupBy("item_id").agg(F.countDistinct("pos").alias("n"), F.countDistinct(F.when(F.col("typed"), F.col("pos"))).alias("n_typed")), "item_id")
 
@@ -99,12 +106,15 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, longest, n_slots, n_changed) of each contaminated pair."""
     bench = staged(benchmark_windows(items, item_id, item_text).select("item_id", F.col("pos").alias("i_pos"), F.col("h").alias("i_h"), F.col("slots").alias("i_slots"), "typed", F.col("n").alias("n_windows"), "n_typed"))
-    if bench.count() <= BROADCAST:
-        bench = F.broadcast(bench)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    hits = template_windows(rows, "doc_id", "text").join(bench, F.col("h") == F.col("i_h"))
-    local = lambda slots, pos: F.transform(F.filter(slots, lambda s: (s["at"] >= F.col(pos)) & (s["at"] < F.col(pos) + WIDTH)), lambda s: F.struct((s["at"] - F.col(pos)).alias("at"), s["value"].alias("value")))
-    both = F.zip_with(local("i_slots", "i_pos"), local("slots", "pos"), lambda i, d: F.struct((i["at"] + F.col("i_pos")).alias("at"), i["value"].alias("item"), d["value"].alias("doc")))
+    windows = template_windows(rows, "doc_id", "text")
+    if table_bytes(bench) <= BROADCAST:
+        hits = windows.join(F.broadcast(bench), F.col("h") == F.col("i_h")).withColumn("slots", window_slots())
+    else:
+        windows = windows.select("doc_id", "pos", "h", window_slots().alias("slots"), F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).alias("salt"))
+        salted = bench.withColumn("i_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        hits = windows.join(salted, (F.col("h") == F.col("i_h")) & (F.col("salt") == F.col("i_salt")))
+    both = F.zip_with("i_slots", "slots", lambda i, d: F.struct((i["at"] + F.col("i_pos")).alias("at"), i["value"].alias("item"), d["value"].alias("doc")))
     hits = hits.select("doc_id", "item_id", "n_windows", "n_typed", "typed", "i_pos", (F.col("pos") - F.col("i_pos")).alias("diagonal"), F.coalesce(both, F.expr("CAST(array() AS array<struct<at:int,item:string,doc:string>>)")).alias("pairs"))
     hits = hits.withColumn("same", ~F.exists("pairs", lambda p: p["item"] != p["doc"]))
     same, moved = (lambda c: F.when(F.col("same"), c)), (lambda c: F.when(~F.col("same"), c))

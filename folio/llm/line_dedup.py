@@ -52,8 +52,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lines.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with shortened texts, and two more columns: _n_lines and _n_removed."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = ("_n_lines", "_n_removed"), length_col: str | None = None) -> DataFrame:
+    """docs with shortened texts, and two more columns, the lines before and those removed, named by counts (None: none).
+
+    length_col: a column of docs that takes the new text's length where lines were removed. A name in counts that docs has raises an error.
+    """
+    if clash := set(counts or ()) & set(docs.columns):
+        raise ValueError(f"docs has columns {sorted(clash)}: give other names, or counts=None")
     bad = repeated_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_b_id"), F.col("text_hash").alias("_b_hash"), F.col("lines").alias("_b_lines"))
     # the row travels as one struct, so that its columns' names can't clash with those used here
     x = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
@@ -61,8 +66,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = F.filter(F.transform(_lines(F.col("t")), lambda l, i: F.when(~F.array_contains("_b_lines", i), l)), lambda l: l.isNotNull())
     n = F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(_lines(F.col("t"))))
     new = F.when(F.col("_b_lines").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n"))
-    cols = [new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    return x.select(*cols, n.cast("long").alias("_n_lines"), F.coalesce(F.size("_b_lines"), F.lit(0)).cast("long").alias("_n_removed"))
+    length = F.when(F.col("_b_lines").isNotNull(), F.length(new).cast("long"))
+    own = lambda c: F.col("row").getField(c)
+    cols = [new.alias(c) if c == text_col else F.coalesce(length, own(c)).alias(c) if c == length_col else own(c).alias(c) for c in docs.columns]
+    more = [n.cast("long").alias(counts[0]), F.coalesce(F.size("_b_lines"), F.lit(0)).cast("long").alias(counts[1])] if counts else []
+    return x.select(*cols, *more)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -107,10 +107,13 @@ def _key(cols: list[Column]) -> list[Column]:
 
 
 def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **plan) -> DataFrame:
-    """docs with each row as often as the mix takes it, and a column copy (1, 2, ...). Rows not taken are left out.
+    """docs with each row as often as the mix takes it, and a column copy (1, 2, ...; with underscores after it where docs has one). Rows not taken are left out.
 
     Rows equal in id, source and text share their copies out among themselves. One shuffle carries the texts.
     """
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
     per_key = mix(docs, source_col, text_col, id_col, **plan).groupBy("k1", "k2").agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows"))
     k1, k2 = _key([F.col(id_col), F.col(source_col), F.col(text_col)])
     # the row travels as one struct, so that its columns' names can't clash with those used here
@@ -119,7 +122,7 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", i
     x = keyed.join(taken, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")))
     x = x.withColumn("place", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("_total")))
     x = x.withColumn("times", F.floor(F.col("_total") / F.col("_rows")) + (F.col("place") <= F.col("_total") % F.col("_rows")).cast("int"))
-    return x.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*", "copy")
+    return x.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select("row.*", F.col("copy").alias(name))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

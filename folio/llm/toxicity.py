@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,19 +141,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_sentences int, spans array<struct<start:int,end:int,p:double>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("n_sentences", pa.int32()), ("spans", _SPAN)])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """SCORED for each row of docs (doc_id, text). spans: sentences with p >= 0.5, by code points."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the data
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = held.value
         cache: dict[str, float] = {}
         for batch in batches:
             out = []
-            for i, t in zip(batch["doc_id"], batch["text"]):
-                t = t if isinstance(t, str) else ""
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                t = t or ""
                 spans = sentences(t)
                 z = []
                 for s, e in spans:
@@ -168,12 +171,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 z = np.array(z)
                 p = 1 / (1 + np.exp(-z))
                 doc = float(noisy_or(z, np.zeros(len(z), np.int64), 1)[0])
-                i = None if i is None or i != i else int(i)
-                out.append((i, crc_bucket(i, 5) == 0, doc, int(doc >= 0.5), len(spans), [(s, e, float(q)) for (s, e), q in zip(spans, p) if q >= 0.5]))
-            x = pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
-            yield x.astype({"doc_id": "Int64"})
+                out.append((crc_bucket(i, 5) == 0, doc, int(doc >= 0.5), len(spans), [{"start": s, "end": e, "p": float(q)} for (s, e), q in zip(spans, p) if q >= 0.5]))
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(columns, list(_SCORED)[1:])]], schema=_SCORED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

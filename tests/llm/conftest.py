@@ -13,12 +13,7 @@ EDGES = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, {extra}"
 #: Names that operators use for columns of their own.
-CLASHES = ["size", "n_words", "score", "_k1", "kept", "h1", "spans", "line", "_text_hash", "rate", "words", "doc", "n", "_q"]
-
-
-@pytest.fixture(params=CLASHES[:3])
-def edges(spark, request):
-    return spark.createDataFrame(EDGES, SCHEMA.format(extra=f"`{request.param}` long"))
+CLASHES = ["size", "n_words", "score", "_k1", "kept", "h1", "spans", "line", "_text_hash", "rate", "words", "doc", "n", "_q", "_n_removed", "_bad", "bad", "copy", "row", "key", "kind", "slots", "length"]
 
 
 @pytest.fixture

@@ -16,9 +16,9 @@ def test_templates_and_slots(spark):
     filler = "quite different words come before and after the passage in this text "
     other = ITEM.replace("12", "77").replace("5 stops", "9 stops").replace("30 kg", "8 lb").replace("Oslo", "Rome")
     odd = ITEM.replace("12 passengers", "77 passengers").replace("12 bags", "41 bags")  # 12 stands for two values
-    got = flagged(spark, [filler + ITEM, filler + other + " " + filler, filler * 4, ITEM.upper() and None, "", odd, ITEM[:60]])
+    got = flagged(spark, [filler + ITEM, filler + other + " " + filler, filler * 4, None, "", odd, ITEM[:60]])
     assert set(got) == {(0, 1), (1, 1)}
-    assert got[1, 1].n_changed == 4 or got[1, 1].n_changed >= 4
+    assert got[1, 1].n_changed == 6  # 12 twice, 5, 30, kg and Oslo
     assert got[0, 1].n_changed == 0
 
 

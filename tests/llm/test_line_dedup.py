@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from folio.llm.line_dedup import dedup_lines
 
 
@@ -27,6 +29,11 @@ def test_against_brute_force(spark):
 
 
 def test_edges(edge_docs, no_docs):
+    with pytest.raises(ValueError, match="_n_removed"):
+        dedup_lines(edge_docs)
+    plain = dedup_lines(edge_docs, counts=None, length_col="n_chars")
+    assert plain.columns == edge_docs.columns and {r.doc_id: r.n_chars for r in plain.collect()}[7] == 7
+    edge_docs, no_docs = edge_docs.drop("_n_removed"), no_docs.drop("_n_removed")
     got = dedup_lines(edge_docs).collect()
     assert len(got) == 9
     by = {r.doc_id: r for r in got}

@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from math import log
 
 from folio.llm.mixing import mix, mixed
 
@@ -39,8 +40,14 @@ def test_targets_and_rates(spark):
     again = {(r.doc_id, r.taken) for r in mix(df.repartition(7)).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
     # of one source, rates are an exponential tilt by size: larger texts move further from 1
-    a = {r.size: r.rate for r in got if r.source == "a"}
-    assert sorted(a.values()) in (sorted(a.values(), reverse=False), sorted(a.values(), reverse=True))
+    for s in sizes:
+        tilt = {r.size: r.rate for r in got if r.source == s}
+        rates = [tilt[k] for k in sorted(tilt)]
+        assert rates in (sorted(rates), sorted(rates, reverse=True)) and len(tilt) == 4
+        free = {k: v for k, v in tilt.items() if v < 3}
+        slopes = [log(v) / k for k, v in free.items()]  # one multiplier per source
+        assert all(abs(x - slopes[0]) < 1e-9 for x in slopes)
+        assert free or want[s] == 3 * sizes[s]
 
 
 def test_edges(spark, edge_docs, no_docs):
@@ -48,7 +55,7 @@ def test_edges(spark, edge_docs, no_docs):
     assert len(got) == 9 and all(r.taken == 0 for r in got if r.size == 0)
     assert mix(no_docs).count() == mixed(no_docs).count() == 0
     out = mixed(edge_docs)
-    assert out.columns == [*edge_docs.columns, "copy"]
+    assert out.columns == [*edge_docs.columns, "copy_"]
     by = defaultdict(int)
     for r in got:
         by[r.doc_id, r.source, r.k1] += r.copies
