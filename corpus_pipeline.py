@@ -8,7 +8,6 @@ Parquet and read again as the next one's docs. All but the last return the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folio.llm.common import staged
 from folio.llm.decontaminate import contaminated
@@ -19,30 +18,37 @@ from folio.llm.repetition import drop_repetitive
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the repetition rule rejects."""
+    """Without the documents that the repetition rule rejects: null, empty and short texts among them. Rows are judged each."""
     return drop_repetitive(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With the later occurrences of repeated three-line windows removed; n_chars follows the text."""
-    x = dedup_lines(docs)
-    changed = F.col("_n_removed") > 0
-    return x.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """With the later occurrences of repeated three-line windows removed; n_chars follows the text. No row goes: a text may become empty.
+
+    Null texts stay null; rows equal in id and text get the same text; null ids come first.
+    """
+    return dedup_lines(docs, counts=None, length_col="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near duplicates, that with the smallest id: shingles of five words, similarity of 0.8 or more.
+
+    Texts without words, and rows with null ids, stay. Rows that share an id but not the text are documents of their own; of rows equal in both one stays.
+    """
     return drop_near_duplicates(docs, shingle=5, threshold=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold an item of the benchmark."""
-    bad = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """Without the documents that hold an item of the benchmark. Null ids and null texts stay; of rows that share an id all go."""
+    bad = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, numbered by a column ``copy`` (``copy_`` where docs has one already).
+
+    Null sources are a source; texts without words are taken once, as rows of size 0, which no target counts.
+    """
     return mixed(docs)
 
 
