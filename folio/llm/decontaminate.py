@@ -33,26 +33,33 @@ NUM, NAME, UNIT = "\x02", "\x01", "\x03"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens; numbers, names and units start with a control character."""
+    """Lower-cased tokens; numbers, names and units start with a control character.
+
+    Patterns begin with the rarest character they need, and look behind from there.
+    """
     t = F.coalesce(text, F.lit(""))
     t = F.translate(t, NUM + NAME + UNIT, "   ")
-    digits = F.regexp_replace(F.regexp_replace(t, r"(?<=[0-9])[.,:](?=[0-9])", "·"), r"(?<![\p{L}\p{N}·])([0-9][0-9·]*)", NUM + "$1")
+    digits = F.regexp_replace(t, r"[.,:](?<=[0-9][.,:])(?=[0-9])", "·")
+    digits = F.regexp_replace(digits, r"([0-9])(?<![\p{L}\p{N}·][0-9])([0-9·]*)", NUM + "$1$2")
     digits = F.regexp_replace(digits, rf"(?i)({NUM}[0-9·]+\s*)({'|'.join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     t = F.when(t.rlike("[0-9]"), digits).otherwise(t)
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu})", NAME)
-    words = F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}·{NUM}{NAME}{UNIT}]+")
+    t = F.regexp_replace(t, r" (?=\p{Lu})(?<=[\p{Ll}\p{N},;] )", " " + NAME)
+    words = F.split(F.lower(t), rf"[^a-z0-9\p{{L}}\p{{N}}·{NUM}{NAME}{UNIT}]+")
     return F.filter(words, lambda w: w != "")
 
 
 def _typed(w: Column) -> Column:
-    first = F.substring(w, 1, 1)
-    return F.when(first.isin(NUM, NAME, UNIT), first).otherwise(w)
+    return F.when(w < "\x04", F.substring(w, 1, 1)).otherwise(w)
 
 
 def _cased(w: Column) -> Column:
     """As _typed, but names are words, so that a text matches in any case."""
-    first = F.substring(w, 1, 1)
-    return F.when(first.isin(NUM, UNIT), first).otherwise(F.translate(w, NAME, ""))
+    return F.when(w >= "\x04", w).when(w.startswith(NAME), F.substring(w, 2, 1_000_000)).otherwise(F.substring(w, 1, 1))
+
+
+def _bare(w: Column) -> Column:
+    """As a value: names are words, numbers and units keep theirs."""
+    return F.when(w.startswith(NAME), F.translate(w, NAME, "")).otherwise(w)
 
 
 def template_windows(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -61,25 +68,26 @@ def template_windows(rows: DataFrame, key: str, text: str) -> DataFrame:
     kind 0: every window; 1: those that hold names, which are words and no slots; 2: those with fewer than two plain
     tokens beside numbers and units, and texts of fewer than WIDTH tokens, hashed by their values.
     """
-    x = rows.select(F.col(key), tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+    # no filter here: it would be moved below, and take the tokens a second time
+    x = rows.select(F.col(key), tokens(F.col(text)).alias("w"))
     enough = F.size("w") >= WIDTH
-    slots = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("at"), w.alias("value"))), lambda s: s["value"] < "\x04")
-    x = x.select(key, "w", F.transform("w", lambda w: F.xxhash64(_typed(w))).alias("t"), F.when(F.exists("w", lambda w: w < "\x04"), slots).alias("slots"))
-    last = F.size("t") - WIDTH  # the place of the last window
     none = F.expr("CAST(array() AS array<int>)")
-    names = F.filter("slots", lambda s: s["value"].startswith(NAME))
-    around = F.array_distinct(F.flatten(F.transform(names, lambda s: F.sequence(F.greatest(F.lit(0), s["at"] - (WIDTH - 1)), F.least(s["at"], last)))))
-    bare = F.filter("slots", lambda s: ~s["value"].startswith(NAME))
-    x = x.select(key, "w", "t", "slots", F.when(enough & F.exists("slots", lambda s: s["value"].startswith(NAME)), around).alias("around"), bare.alias("bare"))
-    at = lambda j: F.element_at("bare", j)["at"]
+    slots = F.filter(F.transform("w", lambda w, i: F.when(w < "\x04", i)), lambda i: i.isNotNull())
+    x = x.select(key, "w", F.transform("w", lambda w: F.xxhash64(_typed(w))).alias("t"), slots.alias("slots"))
+    last = F.size("t") - WIDTH  # the place of the last window
+    token = lambda i: F.element_at("w", i + 1)
+    names, bare = F.filter("slots", lambda i: token(i).startswith(NAME)), F.filter("slots", lambda i: ~token(i).startswith(NAME))
+    x = x.select(key, "w", "t", F.size("slots").alias("slots"), names.alias("names"), bare.alias("bare"))
+    around = F.array_distinct(F.flatten(F.transform("names", lambda i: F.sequence(F.greatest(F.lit(0), i - (WIDTH - 1)), F.least(i, last)))))
+    at = lambda j: F.element_at("bare", j)
     most = WIDTH - 1  # so many numbers and units, or more
     full = F.transform(F.sequence(F.lit(1), F.size("bare") - (most - 1)), lambda j: F.when(at(j + most - 1) - at(j) < WIDTH, F.sequence(F.greatest(F.lit(0), at(j + most - 1) - (WIDTH - 1)), F.least(at(j), last))).otherwise(none))
-    x = x.select(key, "w", "t", "slots", "bare", F.coalesce("around", none).alias("around"), F.when(enough & (F.size("bare") >= most), F.array_distinct(F.flatten(full))).otherwise(none).alias("full"))
+    x = x.select(key, "w", "t", "slots", F.when(enough & (F.size("names") > 0), around).otherwise(none).alias("around"), F.when(enough & (F.size("bare") >= most), F.array_distinct(F.flatten(full))).otherwise(none).alias("full"))
     window = F.transform(F.sequence(F.lit(1), F.size("t") - (WIDTH - 1)), lambda i: F.xxhash64(*[F.element_at("t", i + k) for k in range(WIDTH)]))
-    again = lambda c, f: F.transform(c, lambda i: F.xxhash64(*[F.xxhash64(f(F.element_at("w", i + k + 1))) for k in range(WIDTH)]))
+    again = lambda c, f: F.transform(c, lambda i: F.xxhash64(*[F.xxhash64(f(token(i + k))) for k in range(WIDTH)]))
     whole = F.array(F.xxhash64(F.lit("whole"), F.translate(F.array_join("w", " "), NAME, "")))
-    every = F.when(~enough, whole).when((F.size("around") == 0) & (F.size("full") == 0), window).otherwise(F.concat(window, again("around", _cased), again("full", lambda w: F.translate(w, NAME, ""))))
-    x = x.select(key, F.when(F.col("slots").isNotNull(), F.col("w")).alias("tokens"), F.concat("around", "full").alias("places"), F.greatest(F.lit(0), last + 1).alias("m"), F.size("around").alias("m1"), F.posexplode(every).alias("p", "h"))
+    every = F.when(F.size("w") == 0, F.expr("CAST(array() AS array<bigint>)")).when(~enough, whole).when((F.size("around") == 0) & (F.size("full") == 0), window).otherwise(F.concat(window, again("around", _cased), again("full", _bare)))
+    x = x.select(key, F.when(F.col("slots") > 0, F.col("w")).alias("tokens"), F.concat("around", "full").alias("places"), F.greatest(F.lit(0), last + 1).alias("m"), F.size("around").alias("m1"), F.posexplode(every).alias("p", "h"))
     kind = F.when(F.col("m") == 0, 2).when(F.col("p") < F.col("m"), 0).when(F.col("p") < F.col("m") + F.col("m1"), 1).otherwise(2)
     pos = F.when((F.col("m") > 0) & (F.col("p") >= F.col("m")), F.element_at("places", F.col("p") - F.col("m") + 1)).otherwise(F.col("p"))
     return x.select(key, F.col("tokens").alias("w"), pos.alias("pos"), "h", kind.alias("kind"))
