@@ -110,18 +110,20 @@ def payload_of(head: dict[str, str], block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else block
 
 
-def write(records: DataFrame, size: str, path: str) -> None:
-    """records: a column record, and the payload's size, by which files are kept small enough to be read whole."""
+def write(records: DataFrame, size: str, path: str, largest: int) -> None:
+    """records: a column record, and the payload's size, by which files are kept small enough to be read whole. largest: of the sizes."""
     for name, rows, most in (("small", records.where(F.col(size) <= SMALL), RECORDS_PER_FILE), ("large", records.where(F.col(size) > SMALL), LARGE_PER_FILE)):
-        rows.select("record").write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{name}")
+        if name == "small" or largest > SMALL:
+            out = rows.select("record").write.option("lineSep", CRLF).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+            out.option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
 READ_SCHEMA = "row long, page_id long, url string, date string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload string"
 _READ = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (c.split() for c in READ_SCHEMA.split(", "))])
 
 
-def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives below a folder. payload is null unless asked for, and for revisits."""
+def read(spark: SparkSession, path: str, payloads: bool = True, verify: bool = True) -> DataFrame:
+    """The records of all archives below a folder. payload is null unless asked for, and for revisits. verify: compute the digests again."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda h, k: int(h[k]) if k in h else None
@@ -132,7 +134,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 for h, block in parse(data.as_py()):
                     body = payload_of(h, block)
                     kind = h["warc-type"]
-                    if kind == "response" and h["warc-payload-digest"] != f"sha1:{digest_of(body)}":
+                    if verify and kind == "response" and h["warc-payload-digest"] != f"sha1:{digest_of(body)}":
                         raise ValueError(f"payload digest of {h['warc-record-id']} doesn't fit")
                     rows.append((number(h, "x-row"), number(h, "x-page-id"), h.get("warc-target-uri"), h["warc-date"], kind, h["warc-payload-digest"].removeprefix("sha1:"), number(h, "x-payload-length"), number(h, "x-refers-to-page"), body.decode() if payloads and kind == "response" else None))
                     size += len(body) if payloads else 100
@@ -158,7 +160,8 @@ def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: s
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     cols = [F.monotonically_increasing_id().cast("string"), F.col(id_col).cast("long").cast("string"), F.col(url_col).cast("string"), html]
     x = pages.select(*[c.alias(n) for c, n in zip(cols, ("row", "id", "url", "html"))])
-    write(x.select(record("row", "id", "url", "html").alias("record"), F.octet_length("html").alias("size")), "size", path)
+    largest = pages.agg(F.coalesce(F.max(F.octet_length(html)), F.lit(0))).first()[0]
+    write(x.select(record("row", "id", "url", "html").alias("record"), F.octet_length("html").alias("size")), "size", path, largest)
 
 
 def resolve(headers: DataFrame) -> DataFrame:
@@ -179,7 +182,8 @@ def dedup_archives(spark: SparkSession, source: str, target: str, limit: int = 0
     date = date or now()
     headers = staged(read(spark, source, payloads=False).select("row", "page_id", "url", "date", "payload_digest", "payload_bytes"))
     found = resolve(headers.where(F.col("payload_bytes") >= limit)).where("record_type = 'revisit'").select("row", "first_id", "first_row", "first_url", "first_date")
-    x = lookup(read(spark, source), found, ["row"], F.col("row"))
+    largest = headers.agg(F.coalesce(F.max("payload_bytes"), F.lit(0))).first()[0]
+    x = lookup(read(spark, source, verify=False), found, ["row"], F.col("row"))  # the headers' pass has verified it
 
     @F.pandas_udf("string")
     def record(row: pd.Series, pid: pd.Series, url: pd.Series, digest: pd.Series, size: pd.Series, payload: pd.Series, frow: pd.Series, fid: pd.Series, furl: pd.Series, fdate: pd.Series) -> pd.Series:
@@ -188,7 +192,7 @@ def dedup_archives(spark: SparkSession, source: str, target: str, limit: int = 0
     again = F.col("first_row").isNotNull()
     texts = [F.col(c).cast("string") for c in ("row", "page_id", "url", "payload_digest", "payload_bytes")]
     x = x.select(record(*texts, F.when(~again, F.col("payload")), *[F.col(c).cast("string") for c in ("first_row", "first_id", "first_url", "first_date")]).alias("record"), F.when(again, 0).otherwise(F.col("payload_bytes")).alias("size"))
-    write(x, "size", target)
+    write(x, "size", target, largest)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
