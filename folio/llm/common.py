@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,6 +38,17 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
+def in_small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with texts of about ``most`` bytes, or of one longer text: what is made of a batch stays small beside it."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(size):
+            to = max(at + 1, int(np.searchsorted(size, most + (size[at - 1] if at else 0), "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The lower-cased (A-Z) words of a batch of texts, one after the other, and how many each text has. Null texts have none."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))

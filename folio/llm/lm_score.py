@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import crc_mod, split_words, staged
+from .common import crc_mod, in_small_batches, split_words, staged
 
 END = "\n"  # no word holds a line end
 HELD_OUT_OF, HELD_OUT = 7, 2
@@ -60,7 +60,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         def merged() -> pa.Table:
             return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        for b in batches:
+        for b in in_small_batches(batches):
             words, counts = split_words(b.column(0))
             got = words.value_counts()
             held += [pa.table({"word": got.field(0), "n": got.field(1)}), pa.table({"word": [END], "n": pa.array([len(counts)], pa.int64())})]
@@ -73,7 +73,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield from merged().to_batches()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[str, int]]:
@@ -101,7 +101,7 @@ def train_model(docs: DataFrame, lm_words: list[str], start: dict, n_tokens: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(vocabulary.value, pa.string())
-        for b in batches:
+        for b in in_small_batches(batches):
             words, counts = split_words(b.column("text"))
             texts = [t.tobytes() for t in with_ends(vocabulary_ids(words, known), counts, end)]
             # by the id too, so that copies are dealt over shards
@@ -212,7 +212,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*held.value)
-        for b in batches:
+        for b in in_small_batches(batches):
             scorer.add(b)
             if scorer.size > _POOL_TOKENS:
                 yield from scorer.flush()

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, join_counted, split_words, staged, table_bytes, unstage
+from .common import components, in_small_batches, join_counted, split_words, staged, table_bytes, unstage
 
 K = 64
 NEEDED = 35  # of K, where sets are larger than SMALL: P(Bin(64, 0.8) < 35) < 1e-6
@@ -105,7 +105,7 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig1"
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_small_batches(batches):
             n, s1, s2, sk = [], [], [], []
             for s in word_sets(b.column("text"), size):
                 raw = s.tobytes()
@@ -160,7 +160,7 @@ def star_links(star: DataFrame, texts: DataFrame, size: int, threshold: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heads = None, []
-        for b in batches:
+        for b in in_small_batches(batches):
             found = []
             for i, s, a, part, member in zip(b.column("doc_id").to_pylist(), word_sets(b.column("text"), size), *(b.column(c).to_pylist() for c in ("a", "part", "member"))):
                 if not member:

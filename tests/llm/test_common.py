@@ -1,8 +1,9 @@
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from folio.llm.common import lookup, staged, unstage
+from folio.llm.common import in_small_batches, lookup, lower_ascii, split_words, staged, unstage, words_of
 
 
 def test_lookup_both_ways(spark):
@@ -24,3 +25,18 @@ def test_staged_tables(spark):
     assert df.count() == 10 and os.path.isdir(path)
     unstage(df)
     assert not os.path.isdir(path)
+
+
+def test_small_batches_hold_all_rows():
+    texts = ["a" * k for k in (5, 0, 30, 7, 3, 9, 9, 1)] + [None, "b" * 100, None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    got = list(in_small_batches(iter([b, b.slice(0, 0), b.slice(2)]), most=20))
+    assert [t for x in got for t in x.column("text").to_pylist()] == texts + texts[2:]
+    assert all(x.num_rows == 1 or sum(len(t or "") for t in x.column("text").to_pylist()) <= 20 for x in got)
+
+
+def test_words_of_arrow_batches_are_those_of_python():
+    texts = [" \t Ab\x0bc\x1cd\x85e\xa0É  ", None, "", "\n", "x  Y\fz"]
+    words, counts = split_words(pa.array(texts))
+    want = [[lower_ascii(w) for w in words_of(t)] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and words.to_pylist() == [w for ws in want for w in ws]
