@@ -25,8 +25,12 @@ _ARROW = re.compile("|".join(map(re.escape, sorted(ARROWS, key=len, reverse=True
 _FACE = "|".join(map(re.escape, sorted(vocab.EMOTICONS, key=len, reverse=True)))
 _FACE_AT = re.compile(_FACE)
 _SHORTCODE = re.compile(r":([A-Za-z0-9_+-]{1,64}):")
-#: Where something other than plain text may start; a face only after a blank.
-_NEXT = re.compile(rf"[\\\[!*/_~?^,`:\-<=.#@]|(?<=[ \t\n\r])(?:{_FACE})")
+_FACES_START = frozenset(f[0] for f in vocab.EMOTICONS)
+_A_FACE = f"(?=[{''.join(map(re.escape, sorted(_FACES_START)))}])(?={_FACE})"
+#: Where something other than plain text may start; a face only after a blank, which is taken with it. Every part begins with a
+#: plain character, so that a search skips what can't begin any.
+_NEXT = re.compile("|".join([*map(re.escape, ("\\", "[[", "--", "==", "<-", "<=", "..", "#", "@", *MARKERS)), r":(?=[A-Za-z0-9_+-]{1,64}:)", *(b + _A_FACE for b in (" ", "\\t", "\\n", "\\r"))]))
+_BLANKS = " \t\n\r"
 _DRAWN = "-<=>"
 
 
@@ -48,18 +52,15 @@ class _Run:
         self.ends = list(accumulate((k.end for k in sorted(self.links, key=lambda k: k.start)), max))
 
     def nodes(self) -> list[Node]:
-        if not self.links and not _NEXT.search(self.text) and not _FACE_AT.match(self.text):
-            return [txt(self.text)]
         text, size = self.text, len(self.text)
-        steps = (self.escape, self.wiki, self.marker, self.picture, self.drawn, self.name, self.url)
         while self.at < size:
-            if not any(step() for step in steps):
+            if not any(getattr(self, step)() for step in _STEPS.get(text[self.at], ())) and not self.url():
                 # all that can't start markup is taken at once, up to the next link
-                stop = _NEXT.search(text, self.at + 1)
-                end = stop.start() if stop else size
+                stop = _NEXT.search(text, self.at + (text[self.at] not in _BLANKS))
+                end = size if not stop else stop.start() + (text[stop.start()] in _BLANKS)
                 k = bisect_right(self.firsts, self.at)
                 end = min(end, self.firsts[k]) if k < len(self.firsts) else end
-                self.say(text[self.at : end], text[end - 1] in " \t\n\r")
+                self.say(text[self.at : end], text[end - 1] in _BLANKS)
                 self.at = end
         self.flush()
         return self.out
@@ -221,6 +222,13 @@ class _Run:
         return True
 
 
+#: What may start with a character, in the order in which it is tried. Links come last, wherever they are.
+_STEPS: dict[str, list[str]] = {}
+for _step, _chars in (("escape", "\\"), ("wiki", "["), ("marker", {m[0] for m in MARKERS}), ("picture", {":", *_FACES_START}), ("drawn", "-<=."), ("name", "#@")):
+    for _c in _chars:
+        _STEPS.setdefault(_c, []).append(_step)
+
+
 def _unlinked(nodes: list[Node]) -> list[Node]:
     """Links replaced by what they hold, at any depth: a link can't hold another."""
     out: list[Node] = []

@@ -7,7 +7,6 @@ translated text (one class letter per character would lose the text, so classes
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,8 +25,8 @@ class Link:
 def _class(test) -> str:
     """A regex class body of all characters that pass, as ranges."""
     out, start = [], None
-    for cp in range(sys.maxunicode + 2):
-        hit = cp <= sys.maxunicode and not 0xD800 <= cp <= 0xDFFF and test(unicodedata.category(chr(cp)))
+    for cp in range(0x20001):  # beyond, no plane has blanks or punctuation
+        hit = cp <= 0x1FFFF and not 0xD800 <= cp <= 0xDFFF and test(unicodedata.category(chr(cp)))
         if hit and start is None:
             start = cp
         elif not hit and start is not None:
