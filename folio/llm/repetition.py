@@ -3,7 +3,9 @@
 The suffixes of all texts of an Arrow batch are sorted together by prefix doubling (only suffixes
 that still share a rank are sorted again), the longest common prefix of neighbours is read off the
 stored ranks, and LCP intervals give the maximal repeated word sequences. Their spans are united;
-a text is rejected when they cover too large a fraction of its words or when one is too long.
+a text is rejected when they cover too large a fraction of its words or when one is too long. Of the intervals that hold
+a suffix the innermost is the longest, and its length is the larger of the suffix's two neighbouring LCPs: so spans are taken
+from these, and the intervals themselves are listed only to count the maximal repeats.
 
 Defined cases: null and empty texts have no words and fail the base rule; repeated rows are judged
 each on its own; nothing is read but the text, so other columns and null ids don't matter. The work is
