@@ -33,9 +33,9 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _written(df: DataFrame, key: str, order: str, line: Column, head: Column | None = None, sep: str = "\n") -> DataFrame:
+def _written(df: DataFrame, key: str | Column, order: str, line: Column, head: Column | None = None, sep: str = "\n") -> DataFrame:
     """One source per key: the rows' lines in order, below an optional first line."""
-    got = df.groupBy(F.col(key).alias("source_id"), *([head.alias("_head")] if head is not None else [])).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("x"))
+    got = df.groupBy((F.col(key) if isinstance(key, str) else key).alias("source_id"), *([head.alias("_head")] if head is not None else [])).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: r["l"]), sep)
     return got.select("source_id", (F.concat_ws("\n", "_head", body) if head is not None else body).alias("text"))
 
@@ -49,28 +49,41 @@ def _s(*parts) -> Column:
     return F.concat(*[(F.col(p[1:]).cast("string") if p.startswith("@") else F.lit(p)) if isinstance(p, str) else p for p in parts])
 
 
+#: Sources of the tables that grow: those of one nation or brand, a thousand keys at a time, so that no source grows with the table.
+_NATION_SQL = "(c_nationkey * 1000000 + c_custkey // 1000)"
+_BRAND_SQL = "(p_brand || '-' || (p_partkey // 1000))"
+
+
+def _nation_key() -> Column:
+    return F.expr("CAST(c_nationkey * 1000000 + c_custkey DIV 1000 AS BIGINT)")
+
+
+def _brand_key() -> Column:
+    return F.expr("concat(p_brand, '-', p_partkey DIV 1000)")
+
+
 def _by_nation(spark, d) -> DataFrame:
     c, n = _table(spark, d, "customer"), _table(spark, d, "nation")
     x = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-    return _written(x, "n_nationkey", "c_custkey", _s("- @user", "@c_custkey", " #", "@c_mktsegment"), _s("= ", "@n_name"))
+    return _written(x, _nation_key(), "c_custkey", _s("- @user", "@c_custkey", " #", "@c_mktsegment"), _s("= ", "@n_name"))
 
 
 # --- references and links -----------------------------------------------------------
 
 
-@query("SELECT 'tag' AS kind, c_mktsegment AS name, count(DISTINCT c_nationkey)::BIGINT AS sources FROM customer GROUP BY c_mktsegment")
+@query(f"SELECT 'tag' AS kind, c_mktsegment AS name, count(DISTINCT {_NATION_SQL})::BIGINT AS sources FROM customer GROUP BY c_mktsegment")
 def refs_by_tag(spark, d):
     return R.reference_counts(DocFrame(_by_nation(spark, d)).references().where("kind = 'tag'"))
 
 
-@query("SELECT c_nationkey AS source_id, 'user' || c_custkey AS name FROM customer")
+@query(f"SELECT {_NATION_SQL}::BIGINT AS source_id, 'user' || c_custkey AS name FROM customer")
 def mentions(spark, d):
     return DocFrame(_by_nation(spark, d)).references().where("kind = 'mention'").select("source_id", "name")
 
 
-@query("SELECT DISTINCT p_brand AS source_id, replace(lower(p_name), ' ', '-') AS name FROM part")
+@query(f"SELECT DISTINCT {_BRAND_SQL} AS source_id, replace(lower(p_name), ' ', '-') AS name FROM part")
 def page_links(spark, d):
-    return DocFrame(_written(_table(spark, d, "part"), "p_brand", "p_partkey", _s("[[ ", "@p_name", " ]]"))).references().select("source_id", "name")
+    return DocFrame(_written(_table(spark, d, "part"), _brand_key(), "p_partkey", _s("[[ ", "@p_name", " ]]"))).references().select("source_id", "name")
 
 
 @query("SELECT replace(lower(r_name), ' ', '-') AS name, count(*)::BIGINT AS in_degree FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -101,17 +114,17 @@ def _parts(spark, d):
     return _table(spark, d, "part")
 
 
-_IDS = "SELECT p_brand AS source_id, (row_number() OVER b - 1)::INT AS ord, lower(p_type) || CASE WHEN row_number() OVER t > 1 THEN '-' || (row_number() OVER t - 1) ELSE '' END AS id FROM part WINDOW b AS (PARTITION BY p_brand ORDER BY p_partkey), t AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)"
+_IDS = f"SELECT {_BRAND_SQL} AS source_id, (row_number() OVER b - 1)::INT AS ord, lower(p_type) || CASE WHEN row_number() OVER t > 1 THEN '-' || (row_number() OVER t - 1) ELSE '' END AS id FROM part WINDOW b AS (PARTITION BY {_BRAND_SQL} ORDER BY p_partkey), t AS (PARTITION BY {_BRAND_SQL}, p_type ORDER BY p_partkey)"
 
 
 @query(_IDS)
 def heading_ids(spark, d):
-    return DocFrame(_written(_parts(spark, d), "p_brand", "p_partkey", _s("= ", "@p_type"), sep="\n\n")).headings().select("source_id", "ord", "id")
+    return DocFrame(_written(_parts(spark, d), _brand_key(), "p_partkey", _s("= ", "@p_type"), sep="\n\n")).headings().select("source_id", "ord", "id")
 
 
 @query(_IDS)
 def heading_ids_by_window(spark, d):
-    h = DocFrame(_written(_parts(spark, d), "p_brand", "p_partkey", _s("= ", "@p_type"), sep="\n\n")).headings().withColumn("slug", X.slug(F.col("title")))
+    h = DocFrame(_written(_parts(spark, d), _brand_key(), "p_partkey", _s("= ", "@p_type"), sep="\n\n")).headings().withColumn("slug", X.slug(F.col("title")))
     return R.heading_suffixes(h).select("source_id", "ord", F.when(F.col("before") > 0, F.concat_ws("-", "slug", "before")).otherwise(F.col("slug")).alias("id"))
 
 
@@ -406,8 +419,9 @@ def link_schemes(spark, d):
     return x.select("source_id", X.link_scheme(F.col("u")).alias("scheme"), X.is_page_link(F.col("u")).alias("page"))
 
 
-@query("SELECT page_id AS source_id, 2::BIGINT AS n FROM pages")
+@query(r"SELECT page_id AS source_id, len(regexp_extract_all(regexp_extract(html, '^<!([^>]*)>.', 1), '[A-Za-z_:][A-Za-z0-9._:-]*'))::BIGINT AS n FROM pages WHERE regexp_matches(html, '^<![^>]*>.')")
 def pages_messages(spark, d):
+    """A doctype with more after it on its line is an element of that line; each word of it is an attribute that is dropped."""
     return DocFrame(_table(spark, d, "pages"), "html", "page_id").messages().groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -544,9 +558,9 @@ def script_lines_by_columns(spark, d):
 # --- Markdown --------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_brand AS source_id, lower(p_type) AS id, count(*)::BIGINT AS n FROM part GROUP BY p_brand, p_type")
+@query(f"SELECT {_BRAND_SQL} AS source_id, lower(p_type) AS id, count(*)::BIGINT AS n FROM part GROUP BY {_BRAND_SQL}, p_type")
 def markdown_headings(spark, d):
-    n = DocFrame(_written(_parts(spark, d), "p_brand", "p_partkey", _s("# ", "@p_type"))).markdown_nodes(tags=["h1"])
+    n = DocFrame(_written(_parts(spark, d), _brand_key(), "p_partkey", _s("# ", "@p_type"))).markdown_nodes(tags=["h1"])
     return n.groupBy("source_id", F.col("props")[0]["s"].alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -658,14 +672,14 @@ def setext_by_neighbour(spark, d):
     return R.setext_headings(DocFrame(x).lines())
 
 
-@query("SELECT count(*)::BIGINT AS n, count(DISTINCT c_mktsegment)::BIGINT AS names, avg(length(c_mktsegment)) AS mean_length, count(*) * 1.0 / count(DISTINCT c_nationkey) AS per_source FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)")
+@query(f"SELECT count(*)::BIGINT AS n, count(DISTINCT c_mktsegment)::BIGINT AS names, avg(length(c_mktsegment)) AS mean_length, count(*) * 1.0 / count(DISTINCT s) AS per_source FROM (SELECT DISTINCT {_NATION_SQL} AS s, c_mktsegment FROM customer)")
 def reference_totals(spark, d):
     """Global aggregates and ratios over all references."""
     refs = DocFrame(_by_nation(spark, d)).references().where("kind = 'tag'")
     return refs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("names"), F.avg(F.length("name")).alias("mean_length"), (F.count(F.lit(1)) / F.countDistinct("source_id")).alias("per_source"))
 
 
-@query("SELECT c_mktsegment AS name, count(DISTINCT c_nationkey)::BIGINT AS sources FROM customer GROUP BY c_mktsegment ORDER BY sources DESC, name LIMIT 3")
+@query(f"SELECT c_mktsegment AS name, count(DISTINCT {_NATION_SQL})::BIGINT AS sources FROM customer GROUP BY c_mktsegment ORDER BY sources DESC, name LIMIT 3")
 def most_used_tags(spark, d):
     """Sort and limit: the three tags that most sources use."""
     refs = DocFrame(_by_nation(spark, d)).references().where("kind = 'tag'")
