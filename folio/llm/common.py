@@ -38,7 +38,7 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
-def in_small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def in_small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with texts of about ``most`` bytes, or of one longer text: what is made of a batch stays small beside it."""
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy().astype(np.int64))

@@ -119,8 +119,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if table_bytes(bench) <= BROADCAST:
         hits = windows.join(F.broadcast(bench), F.col("h") == F.col("i_h")).withColumn("slots", window_slots())
     else:
-        windows = windows.select("doc_id", "pos", "h", window_slots().alias("slots"), F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).alias("salt"))
-        salted = bench.withColumn("i_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        windows = windows.select("doc_id", "pos", "h", window_slots().alias("slots"), F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int").alias("salt"))
+        salted = bench.withColumn("i_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = windows.join(salted, (F.col("h") == F.col("i_h")) & (F.col("salt") == F.col("i_salt")))
     both = F.zip_with("i_slots", "slots", lambda i, d: F.struct((i["at"] + F.col("i_pos")).alias("at"), i["value"].alias("item"), d["value"].alias("doc")))
     hits = hits.select("doc_id", "item_id", "n_windows", "n_typed", "typed", "i_pos", (F.col("pos") - F.col("i_pos")).alias("diagonal"), F.coalesce(both, F.expr("CAST(array() AS array<struct<at:int,item:string,doc:string>>)")).alias("pairs"))

@@ -42,6 +42,7 @@ MARGIN = 0.25  # the estimate's slack: five standard deviations at K = 64
 THRESHOLD = 80  # per cent
 PAD = np.uint64(2**64 - 1)  # no shingle hashes to it but by a chance of 2 ** -64
 SHARED = 3  # listed values that a pair shares at least
+COLUMNS = 1024  # values that a comparison of blocks takes at once
 BLOCK, BLOCK_SHINGLES = 500, 1_000_000  # members of a block, and elements of their sets together
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -223,11 +224,19 @@ def candidate_pairs(rows: pa.Table, threshold: int) -> np.ndarray:
     lists = rows.column("vs").combine_chunks()
     values, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     row = np.repeat(np.arange(len(c)), np.diff(cuts))
-    names, code = np.unique(values, return_inverse=True)
-    has = np.zeros((len(c), len(names)), np.float32)
-    has[row, code] = 1
-    early = has[:, names < v]
-    return ok & (has @ has.T >= SHARED) & (early @ early.T == 0)
+    names, code, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = times[code] > 1  # others are shared by none
+    row, code = row[often], code[often]
+    shared, early = (np.zeros(ok.shape, np.float32) for _ in range(2))
+    for lo in range(0, len(names), COLUMNS):
+        here = (code >= lo) & (code < lo + COLUMNS)
+        has = np.zeros((len(c), min(COLUMNS, len(names) - lo)), np.float32)
+        has[row[here], code[here] - lo] = 1
+        shared += has @ has.T
+        if names[lo] < v:
+            has = has[:, names[lo : lo + COLUMNS] < v]
+            early += has @ has.T
+    return ok & (shared >= SHARED) & (early == 0)
 
 
 def _with_candidates(threshold: int):
