@@ -93,3 +93,28 @@ def test_long_address_is_whole(spark, tmp_path):
     address = "a" * 1500 + "@example.com"
     spark.createDataFrame([(1, f"write to {address} today")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.address for r in QUERIES["emails"](spark, str(tmp_path)).collect()] == [address]
+
+
+def test_ids_and_narrow_outputs(spark):
+    """Ids beyond 2 ** 53 beside null keep their digits; narrow outputs agree with filters on the whole."""
+    rows = [(2**60 + 1, "= Bed\n\n- hoe **now**\n- http://a.example/x"), (None, "see mail@b.example"), (2**60 + 3, None), (5, "")]
+    docs = DocFrame(spark.createDataFrame(rows, "source_id long, text string").coalesce(1))
+    assert sorted(str(r.source_id) for r in docs.html().collect()) == sorted(str(i) for i, _ in rows)
+    assert {(r.source_id, r.url, r.start, r.end, r.mailto) for r in docs.links().collect()} == {(2**60 + 1, "http://a.example/x", 23, 41, False), (None, "mail@b.example", 4, 18, True)}
+    every = [r.asDict() for r in docs.nodes().collect()]
+    assert sorted(map(str, every)) == sorted(map(str, [r for t in ("root", "element", "text") for r in (x.asDict() for x in docs.nodes(types=[t]).collect())]))
+    items = docs.nodes(tags=["li", "strong"], content=True).collect()
+    assert [(r.tag, r.content) for r in items] == [("li", "hoe now"), ("strong", "now"), ("li", "http://a.example/x")]
+    assert [r.n for r in docs.apply(lambda root: [(sum(1 for _ in root.walk()),)], "n long").collect()] == [sum(1 for r in every if r["source_id"] == i) for i, _ in rows]
+
+
+def test_shortcodes_reach_the_workers(spark):
+    docs = DocFrame(spark.createDataFrame([(1, ":spade: :dog:")], "source_id long, text string"), shortcodes={"spade": "S"})
+    assert docs.nodes(types=["text"]).first().value == "S 🐶"
+
+
+def test_deep_and_long_sources_end_no_job(spark):
+    texts = [" " * 3000 + "x", "\n".join(" " * (2 * i) + "- x" for i in range(500)), "9" * 5000 + ". x", "a: " + "9" * 5000]
+    docs = DocFrame(spark.createDataFrame(list(enumerate(texts)), "source_id long, text string"))
+    assert docs.html().count() == docs.json().count() == docs.stats().count() == docs.yaml().count() == 4
+    assert docs.references().count() == 0 and docs.nodes().where("tag = 'ul'").count() == 500
