@@ -104,11 +104,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+ARROW_ROWS = 500  # whole texts to an Arrow batch: its buffers lie beside the heap, for each task
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written once to shared storage and read back: lineage is cut, and lost executors lose nothing."""
-    path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unstage(*dfs: DataFrame) -> None:

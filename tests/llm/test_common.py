@@ -20,6 +20,10 @@ def test_lookup_both_ways(spark):
 
 
 def test_staged_tables(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    seen = staged(spark.range(1600).coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["id"]) for b in bs), "id long"))
+    assert sorted(r.id for r in seen.collect()) == [100, 500, 500, 500] and spark.conf.get(rows) == before
     df = staged(spark.range(10).withColumn("x", F.lit(None).cast("string")))
     path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
     assert df.count() == 10 and os.path.isdir(path)
