@@ -31,6 +31,8 @@ _A_FACE = f"(?=[{''.join(map(re.escape, sorted(_FACES_START)))}])(?={_FACE})"
 #: plain character, so that a search skips what can't begin any.
 _NEXT = re.compile("|".join([*map(re.escape, ("\\", "[[", "--", "==", "<-", "<=", "..", "#", "@", *MARKERS)), r":(?=[A-Za-z0-9_+-]{1,64}:)", *(b + _A_FACE for b in (" ", "\\t", "\\n", "\\r"))]))
 _BLANKS = " \t\n\r"
+#: Fixed value: links found in one run of text, at most.
+RUN_LINKS = 512
 _DRAWN = "-<=>"
 
 
@@ -45,8 +47,9 @@ class _Run:
         self.doc, self.text, self.at = doc, text, 0
         self.out: list[Node] = []
         self.plain: list[str] = []
+        self.close = self.line_end = -1  # the next end of a wiki link, and of a line
         self.boundary = True  # whether a word may start here: what came before decides, not the text
-        self.links = find_links(text) if doc.options.autolink else []
+        self.links = find_links(text, RUN_LINKS) if doc.options.autolink else []
         self.starts = {k.start: k for k in self.links}
         self.firsts = sorted(self.starts)
         self.ends = list(accumulate((k.end for k in sorted(self.links, key=lambda k: k.start)), max))
@@ -97,8 +100,16 @@ class _Run:
         text, at = self.text, self.at
         if not text.startswith("[[", at):
             return False
-        close = text.find("]]", at + 2)
-        if close < 0 or "\n" in text[at:close]:
+        if self.close < at + 2:  # looked up again only when passed, so that unclosed openers cost nothing more
+            self.close = text.find("]]", at + 2)
+            if self.close < 0:
+                self.close = len(text) + 1
+        if self.line_end < at:
+            self.line_end = text.find("\n", at)
+            if self.line_end < 0:
+                self.line_end = len(text) + 1
+        close = self.close
+        if close > len(text) or self.line_end < close:
             return False
         body = text[at + 2 : close].strip(JS_SPACE)
         if body.startswith("^"):

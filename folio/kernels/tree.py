@@ -88,6 +88,28 @@ def json_value(v) -> str:
     return json_string(v) if isinstance(v, str) else json_number(v)
 
 
+def open_json(n: Node) -> str:
+    """A node's JSON up to its first child."""
+    if n.type == "doctype":
+        return '{"type":"doctype"'
+    if n.type in ("text", "comment", "raw"):
+        return f'{{"type":"{n.type}","value":{json_string(n.value)}'
+    if n.type == "root":
+        return '{"type":"root","children":['
+    props = ",".join(f"{json_string(k)}:{json_value(v)}" for k, v in n.props.items())
+    return f'{{"type":"element","tagName":{json_string(n.tag)},"properties":{{{props}}},"children":['
+
+
+def close_json(n: Node, positions: bool = True) -> str:
+    """The rest of it, after its last child."""
+    if n.type not in ("root", "element"):
+        return "}"
+    if not positions or not n.pos:
+        return "]}"
+    a, b, c, d = n.pos
+    return f'],"position":{{"start":{{"line":{a},"column":{b}}},"end":{{"line":{c},"column":{d}}}}}}}'
+
+
 def to_json(node: Node, positions: bool = True) -> str:
     """Canonical JSON: fixed key order, properties in order, position last."""
     out: list[str] = []
@@ -97,22 +119,10 @@ def to_json(node: Node, positions: bool = True) -> str:
         if isinstance(n, str):
             out.append(n)
             continue
-        if n.type == "doctype":
-            out.append('{"type":"doctype"}')
+        out.append(open_json(n))
+        stack.append(close_json(n, positions))
+        if n.type not in ("root", "element"):
             continue
-        if n.type in ("text", "comment", "raw"):
-            out.append(f'{{"type":"{n.type}","value":{json_string(n.value)}}}')
-            continue
-        head = '"type":"root"'
-        if n.type == "element":
-            props = ",".join(f"{json_string(k)}:{json_value(v)}" for k, v in n.props.items())
-            head = f'"type":"element","tagName":{json_string(n.tag)},"properties":{{{props}}}'
-        place = ""
-        if positions and n.pos:
-            a, b, c, d = n.pos
-            place = f',"position":{{"start":{{"line":{a},"column":{b}}},"end":{{"line":{c},"column":{d}}}}}'
-        out.append(f'{{{head},"children":[')
-        stack.append(f"]{place}}}")
         for k in range(len(n.children) - 1, -1, -1):
             stack.append(n.children[k])
             if k:
@@ -150,6 +160,23 @@ def _attribute(name: str, value) -> str:
     return f'{escape_name(attr)}="{escape_value(value)}"'
 
 
+def open_html(n: Node, parent: str, dangerous: bool = True) -> str:
+    """What is written of a node before its first child. parent: the tag above it."""
+    if n.type == "element":
+        attrs = "".join(f" {a}" for a in (_attribute(k, v) for k, v in n.props.items()) if a)
+        return f"<{n.tag}{attrs}>"
+    if n.type == "text":
+        return n.value if parent in ("script", "style") else escape_text(n.value)
+    if n.type == "raw":
+        return n.value if dangerous else escape_text(n.value)
+    return f"<!--{n.value}-->" if n.type == "comment" else "<!doctype html>" if n.type == "doctype" else ""
+
+
+def close_html(n: Node, children: int) -> str:
+    """And after its last one."""
+    return f"</{n.tag}>" if n.type == "element" and (n.tag not in vocab.VOID or children) else ""
+
+
 def to_html(node: Node, dangerous: bool = True, parent: str = "") -> str:
     """HTML of a tree; raw nodes as they are, or escaped unless ``dangerous``."""
     out: list[str] = []
@@ -158,19 +185,10 @@ def to_html(node: Node, dangerous: bool = True, parent: str = "") -> str:
         n, parent = stack.pop()
         if isinstance(n, str):
             out.append(n)
-        elif n.type == "text":
-            out.append(n.value if parent in ("script", "style") else escape_text(n.value))
-        elif n.type == "raw":
-            out.append(n.value if dangerous else escape_text(n.value))
-        elif n.type == "comment":
-            out.append(f"<!--{n.value}-->")
-        elif n.type == "doctype":
-            out.append("<!doctype html>")
-        else:
-            if n.type == "element":
-                attrs = "".join(f" {a}" for a in (_attribute(k, v) for k, v in n.props.items()) if a)
-                out.append(f"<{n.tag}{attrs}>")
-                if n.tag not in vocab.VOID or n.children:
-                    stack.append((f"</{n.tag}>", ""))
+            continue
+        out.append(open_html(n, parent, dangerous))
+        if end := close_html(n, len(n.children)):
+            stack.append((end, ""))
+        if n.type in ("element", "root"):
             stack += [(c, n.tag) for c in reversed(n.children)]
     return "".join(out)

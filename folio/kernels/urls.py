@@ -134,12 +134,12 @@ def _end_of(g: _Grammar, text: str, scheme: str, at: int) -> int:
     return _rest(g, text, host.end()) if host else -1
 
 
-def find_links(text: str, most: int = 512) -> list[Link]:
-    """Links of a text in order, up to ``most``."""
+def find_links(text: str, most: int | None = None) -> list[Link]:
+    """Links of a text in order, all or up to ``most``."""
     if "@" not in text and "//" not in text and ":" not in text:
         return []
     g, found, at = _grammar(), [], 0
-    while len(found) < most and (m := g.start.search(text, at)):
+    while (most is None or len(found) < most) and (m := g.start.search(text, at)):
         i, scheme = m.start(), m[0].lower()
         at = i + 1
         if scheme == "@":

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import vocab
+from .trees import as_of, intervals
 
 
 def reference_counts(references: DataFrame) -> DataFrame:
@@ -91,11 +92,16 @@ def names_or_pages(references: DataFrame, pages: DataFrame, page_col: str = "slu
     return left.join(right, "name", "full").select("name", F.coalesce("tagged", F.lit(False)).alias("tagged"), F.coalesce("page", F.lit(False)).alias("page"))
 
 
-def inside(marks: DataFrame, links: DataFrame) -> DataFrame:
-    """Marks (source_id, at) that lie inside a link (start, end) of their source, with the link's url. Equality on the source first, so no task pairs all."""
-    spans = links.select("source_id", "start", "end", "url")
-    m = marks.alias("m")
-    return m.join(spans.alias("s"), (F.col("m.source_id") == F.col("s.source_id")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end"))).select("m.source_id", "at", "url")
+def inside(marks: DataFrame, links: DataFrame, width: int | None = 100_000) -> DataFrame:
+    """Marks (source_id, at) that lie inside a link (start, end) of their source, with the link's url. Links of a text don't overlap, so the last one that
+    starts before a mark is the only one that may hold it: a sweep, not pairs."""
+    got = as_of(marks.select("source_id", "at"), links.select("source_id", "start", "end", "url"), ["source_id"], "at", "start", ["end", "url"], width=width)
+    return got.where("at < end").select("source_id", "at", "url")
+
+
+def heading_above(rows: DataFrame, headings: DataFrame, width: int | None = 100_000) -> DataFrame:
+    """rows (source_id, line, ...) with the title of the nearest heading above: an as-of join by line. ``title`` is null where there is none."""
+    return as_of(rows, headings.select("source_id", F.col("line").alias("_line"), "title"), ["source_id"], "line", "_line", ["title"], strict=True, width=width)
 
 
 def setext_headings(lines: DataFrame) -> DataFrame:
@@ -104,18 +110,9 @@ def setext_headings(lines: DataFrame) -> DataFrame:
     return lines.withColumn("under", under).where(F.col("under").rlike(r"^(=+|-{4,})[ \t]*$") & (F.col("text") != "")).select("source_id", F.col("text").alias("title"), "number")
 
 
-def descendants(nodes: DataFrame, levels: int = 1_000) -> DataFrame:
-    """(source_id, node_id, below): how many nodes are below each node, by a recursive query along parent_id.
-
-    Trees of more than ``levels`` levels raise an error, and so does a recursion of more rows than ``spark.sql.cteRecursionRowLimit``.
-    """
-    nodes.select("source_id", "node_id", "parent_id").createOrReplaceTempView("folio_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up(source_id, node_id, parent_id) MAX RECURSION LEVEL {levels} AS (
-            SELECT source_id, node_id, parent_id FROM folio_nodes
-            UNION ALL
-            SELECT u.source_id, n.node_id, n.parent_id FROM up u JOIN folio_nodes n ON u.source_id = n.source_id AND u.parent_id = n.node_id)
-        SELECT source_id, node_id, count(*) - 1 AS below FROM up GROUP BY source_id, node_id""")
+def descendants(nodes: DataFrame) -> DataFrame:
+    """(source_id, node_id, below): how many rows are below each node, at any depth, from its interval of ids."""
+    return intervals(nodes).select("source_id", "node_id", "below")
 
 
 @F.udtf(returnType="word string, place int")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..kernels import vocab
 from ..operators import relational as R
+from ..operators import trees
 from ..operators.documents import DocFrame
 
 QUERIES: dict = {}
@@ -765,3 +766,79 @@ def raw_text_elements(spark, d):
 def void_elements(spark, d):
     docs = DocFrame(_one(_parts(spark, d), "p_partkey", _s('<img alt="', "@p_name", '"> text')))
     return docs.html().join(docs.messages().select("source_id", "rule"), "source_id")
+
+
+# --- node tables: written again, edited, grafted, swept ------------------------------------------------------------
+
+
+def _customer_lists(spark, d):
+    return _written(_table(spark, d, "customer"), _nation_key(), "c_custkey", _s("- c", "@c_custkey", " #t", "@c_custkey"))
+
+
+def _lists_sql(item: str, where: str = "true") -> str:
+    """HTML of a list per source, one item a customer."""
+    return f"SELECT {_NATION_SQL}::BIGINT AS source_id, '<ul>' || chr(10) || string_agg('<li>' || {item} || '</li>', chr(10) ORDER BY c_custkey) || chr(10) || '</ul>' AS html FROM customer WHERE {where} GROUP BY 1"
+
+
+_LINKED = "'c' || c_custkey || ' <a href=\"/tags/t' || c_custkey || '\">#t' || c_custkey || '</a>'"
+
+
+@query(_lists_sql(_LINKED))
+def nodes_to_html(spark, d):
+    """A node table written as HTML: what the parser's own writer gives."""
+    return trees.to_html(DocFrame(_customer_lists(spark, d)).nodes())
+
+
+@query(ORACLE["json_tree"])
+def nodes_to_json(spark, d):
+    return trees.to_json(DocFrame(_one(_parts(spark, d), "p_partkey", _s("@p_name", ' "q" \\\\'))).nodes())
+
+
+@query(_lists_sql(_LINKED.replace("c_custkey || '\">", "c_custkey || '\" title=\"see #t' || c_custkey || '\">")))
+def edited_html(spark, d):
+    """A property set by an expression over the nodes, then HTML."""
+    n = DocFrame(_customer_lists(spark, d)).nodes(content=True)
+    return trees.to_html(trees.with_property(n, "title", F.concat(F.lit("see "), "content"), F.col("tag") == "a"))
+
+
+@query(_lists_sql("'c' || c_custkey || ' '"))
+def pruned_html(spark, d):
+    """Rows of links left out, and with them what is below them."""
+    return trees.to_html(DocFrame(_customer_lists(spark, d)).nodes().where("tag IS NULL OR tag <> 'a'"))
+
+
+@query(_lists_sql(f"{_LINKED} || CASE WHEN c_custkey % 3 = 0 THEN '<p>of <strong>' || c_mktsegment || '</strong></p>' ELSE '' END"))
+def grafted_html(spark, d):
+    """A tree for every third customer, put below that customer's item in the trees of all customers."""
+    n = DocFrame(_customer_lists(spark, d)).nodes(content=True)
+    c = _table(spark, d, "customer").where("c_custkey % 3 = 0")
+    notes = DocFrame(_one(c, "c_custkey", _s("of **", "@c_mktsegment", "**"))).nodes()
+    items = n.where("tag = 'li'").select("source_id", "node_id", F.regexp_extract("content", r"c(\d+)", 1).cast("long").alias("tree"), F.lit(0).alias("place"))
+    return trees.to_html(trees.graft(n, items.join(c.select(F.col("c_custkey").alias("tree")), "tree"), notes))
+
+
+@query(f"SELECT {_NATION_SQL}::BIGINT AS source_id, (count(*) * 4)::BIGINT AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1")
+def nodes_under(spark, d):
+    """Subtrees as ranges of ids: rows below or at the items of even customers (item, text, link, its text), by a sweep."""
+    n = DocFrame(_customer_lists(spark, d)).nodes(content=True)
+    tops = trees.intervals(n, ["tag", "content"]).where(F.col("tag").eqNullSafe("li") & F.col("content").rlike("[02468]$"))
+    return trees.under(n, tops).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH x AS (SELECT {_NATION_SQL}::BIGINT AS source_id, c_custkey, row_number() OVER (PARTITION BY {_NATION_SQL} ORDER BY c_custkey)::INT AS line FROM customer)
+SELECT a.source_id, a.line, 'c' || (SELECT max(b.c_custkey) FROM x b WHERE b.source_id = a.source_id AND b.c_custkey < a.c_custkey AND b.c_custkey % 5 = 0) AS title FROM x a WHERE a.c_custkey % 5 <> 0"""
+)
+def heading_above_link(spark, d):
+    """As-of join by line: the nearest heading above each link."""
+    line = F.when(F.col("c_custkey") % 5 == 0, _s("= c", "@c_custkey")).otherwise(_s("#t", "@c_custkey"))
+    docs = DocFrame(_written(_table(spark, d, "customer"), _nation_key(), "c_custkey", line))
+    links = docs.nodes(tags=["p"]).select("source_id", F.explode(F.sequence("line", "end_line")).alias("line"))
+    return R.heading_above(links, docs.headings()).select("source_id", "line", "title")
+
+
+@query("SELECT s_suppkey AS source_id, (900 + s_nationkey)::BIGINT AS links FROM supplier")
+def many_links(spark, d):
+    """As many links of one text as it has."""
+    x = _one(_table(spark, d, "supplier"), "s_suppkey", F.expr("repeat('http://x.example/a ', CAST(s_nationkey + 900 AS INT))"))
+    return DocFrame(x).links().groupBy("source_id").agg(F.count(F.lit(1)).alias("links"))
