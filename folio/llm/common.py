@@ -143,11 +143,16 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def table_bytes(df: DataFrame) -> int:
-    """A bound of what the rows of df take: 16 bytes for a value of fixed size, 16 and its length as text for any other."""
+def row_bytes(df: DataFrame) -> Column:
+    """A bound of what a row of df takes: 16 bytes for a value of fixed size, 16 and its length as text for any other."""
     loose = [c for c, t in df.dtypes if any(k in t for k in ("string", "binary", "array", "map", "struct"))]
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in loose), F.lit(16 * (len(df.columns) + len(loose))))
-    return int(df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0])
+    return width.cast("long")
+
+
+def table_bytes(df: DataFrame) -> int:
+    """A bound of what all rows of df take."""
+    return int(df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0])
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, broadcast_bytes: int = 24_000_000, salts: int = 64) -> DataFrame:
@@ -171,20 +176,23 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, b
 
 
 HEAVY = 100_000  # keys that join_counted broadcasts at most, each with at least this share of all rows
+HEAVY_BYTES = 24_000_000  # and what they take
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, size: str = "size") -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, key: str | list[str], size: str = "size") -> DataFrame:
     """Inner join with a staged table that has one row per key, and in ``size`` how many rows of ``left`` have that key.
 
-    A small table is broadcast by its measured bytes. Else the keys that hold more than 1 / HEAVY of all rows, HEAVY
-    of them at most, are broadcast, and only the others, none of which is a large part of the rows, are shuffled.
+    A table of up to HEAVY rows and HEAVY_BYTES measured bytes is broadcast. Else the keys that hold more than 1 / HEAVY of all rows, HEAVY
+    of them at most, and fewer if these take more than HEAVY_BYTES, are broadcast, and only the others, none of which is a large part of the rows, are shuffled.
     """
-    got = right.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total")).first()
-    if got["n"] <= HEAVY:
+    key = [key] if isinstance(key, str) else key
+    wide = F.coalesce(F.sum(row_bytes(right)), F.lit(0))
+    got = right.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("total"), wide.alias("bytes"), F.coalesce(F.max(row_bytes(right)), F.lit(1)).alias("widest")).first()
+    if got["n"] <= HEAVY and got["bytes"] <= HEAVY_BYTES:
         return left.join(F.broadcast(right), key)
-    least = max(1_000, got["total"] // HEAVY)
+    least = max(1_000, got["total"] // min(HEAVY, max(1, HEAVY_BYTES // got["widest"])))
     heavy, light = right.where(F.col(size) > least), right.where(F.col(size) <= least)
-    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    rest = left.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key)
     return left.join(F.broadcast(heavy), key).unionByName(rest)
 
 

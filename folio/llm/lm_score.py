@@ -33,7 +33,7 @@ from .common import crc_mod, in_small_batches, split_words, staged
 
 END = "\n"  # no word holds a line end
 HELD_OUT_OF, HELD_OUT = 7, 2
-FREQUENT = 100_000
+FREQUENT, BUCKETS = 100_000, 65_536
 SHARD_TOKENS = 2_000_000
 RATES = (0.02, 0.01)  # of the rounds
 _FLUSH, _POOL_TOKENS = 1_000_000, 4_000_000
@@ -77,17 +77,37 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[str, int]]:
-    """The words of the highest counts, most frequent first: as many whole steps of counts as fit into ``most`` rows."""
+    """The ``most`` words of the highest counts, most frequent first; of equally frequent ones at the end those of the lowest hashes.
+
+    Whole steps of counts while they fit; then, in the first step that doesn't, whole counts, and of the first count that doesn't, whole buckets
+    of words by hash. Only histograms and the words themselves reach the driver.
+    """
     step = F.floor(F.log2("n") * 64).cast("int")
     hist = sorted((r["s"], r["k"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect())  # a few thousand steps at most
-    least, total = None, 0
-    for s, k in reversed(hist):
-        if total + k > most:
-            break
-        least, total = s, total + k
-    if least is None:
-        return []
-    rows = counts.where(step >= least).select("word", "n").toArrow()
+
+    def fitting(hist: list[tuple[int, int]], room: int) -> tuple[list[int], int | None, int]:
+        """The highest values whose rows fit, the first that doesn't, and the room left."""
+        taken = []
+        for value, k in sorted(hist, reverse=True):
+            if k > room:
+                return taken, value, room
+            taken.append(value)
+            room -= k
+        return taken, None, room
+
+    taken, split, room = fitting(hist, most)
+    want = step >= min(taken) if taken else F.lit(False)
+    if split is not None and room:
+        inside = counts.where(step == split)
+        taken, cut, room = fitting([(r["n"], r["k"]) for r in inside.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()], room)  # counts within a hundredth of each other
+        want = want | ((step == split) & (F.col("n") > cut if cut is not None else F.lit(True)))
+        if cut is not None and room:
+            bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS))
+            by_hash = inside.where(F.col("n") == cut).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
+            taken, _, _ = fitting([(-r["b"], r["k"]) for r in by_hash], room)
+            if taken:
+                want = want | ((F.col("n") == cut) & (bucket <= -min(taken)))
+    rows = counts.where(want).select("word", "n").toArrow()
     return sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
@@ -123,8 +143,9 @@ def train_model(docs: DataFrame, lm_words: list[str], start: dict, n_tokens: int
 
         return fit
 
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, "key long, ids binary")
-    deal = lambda what, n: F.pmod(F.xxhash64(F.lit(what), F.col("key"), F.length("ids")), F.lit(n)).cast("int")
+    encoded = docs.select("doc_id", "text").mapInArrow(encode, "key long, ids binary").withColumn("row", F.monotonically_increasing_id())
+    # by the row too, so that rows equal in id and text are dealt over rounds and shards
+    deal = lambda what, n: F.pmod(F.xxhash64(F.lit(what), F.col("key"), F.length("ids"), F.col("row")), F.lit(n)).cast("int")
     encoded = encoded.select("key", "ids", deal("round", len(rates)).alias("round"), deal("shard", shards).alias("shard"))
     weights = gru.flat(start)
     for i, rate in enumerate(rates):

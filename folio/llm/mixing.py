@@ -34,7 +34,7 @@ def text_size(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(source, source_size, ...) with a column target. One row per source; the windows see that table only."""
+    """(source, source_size, ...) with a column target. One row per source; the windows see that table only, in one task that sorts two numbers and a name for each source."""
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     ranked = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
     every = Window.partitionBy()
@@ -73,6 +73,8 @@ def balance(hist: DataFrame, goal: DataFrame, cap: float = CAP, tol: float = 1e-
         state = staged(j.select("source", "target", "source_size", "scale", lam.alias("lam"), "lo", "hi", done.alias("done")))
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"rates did not settle in {rounds} rounds")
     return state.select("source", "lam", "scale")
 
 

@@ -318,8 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = staged(rows.mapInArrow(_sketches(shingle), SKETCH))
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["n_shingles", "sig1", "sig2"]
-    folded = staged(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
-    reps = named.join(folded.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("rep")), [F.col("doc_id") == F.col("rep"), *[F.col(k) == F.col(f"_{k}") for k in key]])
+    folded = staged(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    reps = join_counted(named, folded, key).where("doc_id = rep")
     reps = staged(reps.select("doc_id", *key, "sketch").dropDuplicates(["doc_id", *key]).drop("sig1", "sig2"))
     lists = listed_values(reps, threshold)
     unstage(reps)
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossed = list_links(join_counted(labelled, open_lists, "v").select("doc_id", "n", "c", "v"), rows, shingle, threshold)
     unstage(shared, star, first, labelled, open_lists)
     # a document's node is its id; equal sets are linked with their representative
-    member = named.join(folded, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    member = join_counted(named, folded, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     comps = staged(components(stars.unionByName(crossed).unionByName(member)))
     unstage(stars, crossed)
     out = sketched.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
@@ -351,15 +351,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A document is a row's id and text; of rows equal in both, one stays.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-    named = docs.where(F.col(id_col).isNotNull()).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
+    parts = [F.col(id_col), F.col(text_col).cast("string")]
+    named = docs.where(F.col(id_col).isNotNull()).select(F.struct("*").alias("row"), parts[0].cast("long").alias("id"), parts[1].alias("text"), F.xxhash64(*parts).alias("key"), F.xxhash64(F.lit("second"), *parts).alias("key2"))
+    # two documents may have one key by chance: told apart by a second hash, they get keys of their own
+    clash = staged(named.groupBy("key").agg(F.min("key2").alias("lo"), F.max("key2").alias("hi")).where("lo <> hi").select(F.col("key").alias("_clash")))
+    if not clash.isEmpty():
+        named = named.join(clash, F.col("key") == F.col("_clash"), "left").withColumn("key", F.when(F.col("_clash").isNull(), F.col("key")).otherwise(F.xxhash64("key", "key2"))).drop("_clash")
     groups = staged(near_duplicates(named, "key", "text", shingle, threshold).select(F.col("doc_id").alias("key"), F.col("component_id").alias("g")))
     # the smallest id of each group, and how many rows have its key
     sized = groups.groupBy("key", "g").agg(F.count(F.lit(1)).alias("rows"))
     ids = staged(named.select("id", "key").distinct().join(sized, "key"))
     first = staged(ids.groupBy("g").agg(F.min(F.struct("id", "key", "rows")).alias("first")).select("first.key", "first.rows").withColumnsRenamed({"key": "_key", "rows": "_rows"}))
     kept = named.join(first, F.col("key") == F.col("_key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64(F.to_json("row")))  # as text, since a map has no hash
     once = kept.where("_rows = 1").select("row.*")
     again = kept.where("_rows > 1").withColumn("_k", F.row_number().over(order)).where("_k = 1").select("row.*")
     return once.unionByName(again).unionByName(docs.where(F.col(id_col).isNull()))

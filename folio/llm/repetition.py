@@ -2,14 +2,14 @@
 
 The suffixes of all texts of an Arrow batch are sorted together by prefix doubling (only suffixes
 that still share a rank are sorted again), the longest common prefix of neighbours is read off the
-stored ranks, and LCP intervals give the maximal repeated word sequences. Their spans are united;
+stored ranks or counted along the texts, and LCP intervals give the maximal repeated word sequences. Their spans are united;
 a text is rejected when they cover too large a fraction of its words or when one is too long. Of the intervals that hold
 a suffix the innermost is the longest, and its length is the larger of the suffix's two neighbouring LCPs: so spans are taken
 from these, and the intervals themselves are listed only to count the maximal repeats.
 
 Defined cases: null and empty texts have no words and fail the base rule; repeated rows are judged
 each on its own; nothing is read but the text, so other columns and null ids don't matter. The work is
-bounded by a group of whole texts of about ``GROUP_WORDS`` words (one longer text is a group by itself).
+bounded by a group of whole texts of about ``GROUP_WORDS`` words (one longer text is a group by itself, of some 150 bytes a word).
 """
 
 from __future__ import annotations
@@ -21,67 +21,91 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import staged, words_of
 
 #: Production thresholds: repeats count from MIN_WORDS words on.
 MIN_WORDS, MAX_COVERED, MAX_LONGEST = 10, 0.4, 150
 GROUP_WORDS = 400_000
+#: Ranks that are kept: by the first 1, 2, 4, ... words.
+LEVELS = 4
+_STEP = 100_000
 SYMBOLS = "#*$%&|<>"
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_maximal long, covered_words long, longest_repeat long, kept boolean"
 
 
 def suffix_ranks(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of many texts at once, and the ranks by the first 1, 2, 4, ... words.
+    """Suffix array of many texts at once, and the ranks by the first 1, 2, 4 and 8 words.
 
     ids: word ids, equal only within one text (other texts have other ids); ends: for each position
     the end of its text. ranks[j] has one more element, for positions past the end.
     """
     n = len(ids)
-    sa = np.argsort(ids, kind="stable")
+    sa = np.argsort(ids, kind="stable").astype(np.int32)  # a group has fewer words than 2 ** 31
     key = ids[sa]
     head = np.ones(n, bool)
     head[1:] = key[1:] != key[:-1]
-    rank = np.full(n + 1, -1, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    rank = np.full(n + 1, -1, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
     ranks, h = [rank], 1
     while True:
         r = rank[sa]
         lone = np.ones(n, bool)
         lone[1:] &= r[1:] != r[:-1]
         lone[:-1] &= r[1:] != r[:-1]
-        place = np.flatnonzero(~lone)
+        place = np.flatnonzero(~lone).astype(np.int32)
         if not len(place):
             return sa, ranks
         at, first = sa[place], r[place]
         nxt = at + h
         second = np.where(nxt < ends[at], rank[np.minimum(nxt, n)], -1)
-        order = np.argsort(first * (n + 1) + second + 1, kind="stable")
+        order = np.argsort(first.astype(np.int64) * (n + 1) + second + 1, kind="stable")
         at, first, second = at[order], first[order], second[order]
         sa[place] = at  # a group's places are one run, so sorting within groups keeps places
         head = np.ones(len(at), bool)
         head[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        rank = rank.copy()
+        rank = rank.copy() if len(ranks) < LEVELS else rank if rank is not ranks[-1] else rank.copy()
         rank[at] = np.maximum.accumulate(np.where(head, place, 0))
-        ranks.append(rank)
+        if len(ranks) < LEVELS:
+            ranks.append(rank)
         h *= 2
 
 
-def neighbour_lcp(sa: np.ndarray, ranks: list[np.ndarray], ends: np.ndarray, least: int = 2) -> np.ndarray:
-    """lcp[i]: words that suffixes sa[i-1] and sa[i] have in common, 0 where below ``least``."""
+def neighbour_lcp(ids: np.ndarray, sa: np.ndarray, ranks: list[np.ndarray], ends: np.ndarray, least: int = 2) -> np.ndarray:
+    """lcp[i]: words that suffixes sa[i-1] and sa[i] have in common, 0 where below ``least``.
+
+    Short ones are read off the ranks. Longer ones are counted in the order of the texts, each starting from one less than that of the suffix
+    before, which keeps the counting linear and needs no ranks by more words.
+    """
     n = len(sa)
-    lcp = np.zeros(n, np.int64)
+    lcp = np.zeros(n, np.int32)
     start = ranks[min(1 if least >= 2 else 0, len(ranks) - 1)]
     i = np.flatnonzero(start[sa[1:]] == start[sa[:-1]]) + 1
     a, b = sa[i - 1].copy(), sa[i].copy()
     enda, endb = ends[a], ends[b]
-    got = np.zeros(len(i), np.int64)
+    got = np.zeros(len(i), np.int32)
     for j in range(len(ranks) - 1, -1, -1):
         ok = (a < enda) & (b < endb)
         eq = ok & (ranks[j][np.minimum(a, n)] == ranks[j][np.minimum(b, n)])
-        step = eq * (1 << j)
+        step = eq * np.int32(1 << j)
         a, b, got = a + step, b + step, got + step
     got[got < least] = 0
     lcp[i] = got
+    if len(ranks) == LEVELS:
+        hot = np.flatnonzero(lcp >= 1 << (LEVELS - 1))
+        hot = hot[np.argsort(sa[hot])]
+        at, other = sa[hot], sa[hot - 1]
+        most = np.minimum(ends[at] - at, ends[other] - other)
+        words = ids.tolist() if len(hot) else []
+        h, before = 0, -2
+        for k in range(0, len(hot), _STEP):
+            part, long = slice(k, k + _STEP), []
+            for x, y, end in zip(at[part].tolist(), other[part].tolist(), most[part].tolist()):
+                h = max(h - 1, 1 << (LEVELS - 1)) if x == before + 1 else 1 << (LEVELS - 1)
+                while h < end and words[x + h] == words[y + h]:
+                    h += 1
+                before = x
+                long.append(h)
+            lcp[hot[part]] = long
     return lcp
 
 
@@ -124,23 +148,24 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def group_stats(groups: list[list[str]], min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """For each text (a list of words): words in repeated 3-word windows, maximal repeats, words they cover, the longest."""
+def group_stats(groups: list[list[str]], min_words: int = MIN_WORDS, maximal_too: bool = True) -> list[tuple[int, int | None, int, int]]:
+    """For each text (a list of words): words in repeated 3-word windows, maximal repeats (None unless asked for), words they cover, the longest."""
     sizes = np.array([len(g) for g in groups], np.int64)
     n = int(sizes.sum())
     if not n:
         return [(0, 0, 0, 0)] * len(groups)
     codes = pd.factorize(np.array([w for g in groups for w in g], dtype=object))[0].astype(np.int64)
-    doc = np.repeat(np.arange(len(groups)), sizes)
+    doc = np.repeat(np.arange(len(groups), dtype=np.int32), sizes)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
-    ends = bounds[1:][doc]
-    ids = doc * (int(codes.max()) + 1) + codes
+    ends = bounds[1:].astype(np.int32)[doc]
+    ids = doc.astype(np.int64) * (int(codes.max()) + 1) + codes
     sa, ranks = suffix_ranks(ids, ends)
-    lcp = neighbour_lcp(sa, ranks, ends)
-    most = np.zeros(n, np.int64)  # of each position: the innermost interval's length
+    lcp = neighbour_lcp(ids, sa, ranks, ends)
+    del ranks
+    most = np.zeros(n, np.int32)  # of each position: the innermost interval's length
     up = np.append(lcp[1:], 0)
     most[sa] = np.maximum(lcp, up)
-    starts = np.arange(n)
+    starts = np.arange(n, dtype=np.int32)
     three = covered(starts[most >= 3], np.full(int((most >= 3).sum()), 3), n)
     long = most >= min_words
     spans = covered(starts[long], most[long], n)
@@ -148,21 +173,23 @@ def group_stats(groups: list[list[str]], min_words: int = MIN_WORDS) -> list[tup
     before[1:] = codes[:-1]
     firsts = bounds[:-1][sizes > 0]
     before[firsts] = int(codes.max()) + 1 + np.arange(len(firsts))
-    maximal = np.zeros(len(groups), np.int64)
-    for _, lo, _ in lcp_intervals(sa, lcp, before, min_words):
-        maximal[doc[sa[lo]]] += 1
+    maximal = [None] * len(groups)
+    if maximal_too:
+        maximal = [0] * len(groups)
+        for _, lo, _ in lcp_intervals(sa, lcp, before, min_words):
+            maximal[doc[sa[lo]]] += 1
     add = lambda x: np.add.reduceat(np.append(x.astype(np.int64), 0), bounds[:-1]) * (sizes > 0)
     longest = np.zeros(len(groups), np.int64)
     np.maximum.at(longest, doc[long], most[long])
-    return list(zip(add(three).tolist(), maximal.tolist(), add(spans).tolist(), longest.tolist()))
+    return list(zip(add(three).tolist(), maximal, add(spans).tolist(), longest.tolist()))
 
 
-def _judged(texts: list[str | None], min_words: int, max_covered: float, max_longest: int) -> list[tuple]:
+def _judged(texts: list[str | None], min_words: int, max_covered: float, max_longest: int, maximal_too: bool) -> list[tuple]:
     rows, groups, size = [], [], 0
 
     def flush():
         nonlocal groups, size
-        for (text, ws), (rep, maximal, cov, longest) in zip(groups, group_stats([ws for _, ws in groups], min_words)):
+        for (text, ws), (rep, maximal, cov, longest) in zip(groups, group_stats([ws for _, ws in groups], min_words, maximal_too)):
             seen, dup = set(), 0
             for line in text.split("\n"):
                 if line in seen:
@@ -185,14 +212,14 @@ def _judged(texts: list[str | None], min_words: int, max_covered: float, max_lon
     return rows
 
 
-def repetition(text: Column, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> Column:
-    """A struct column with the counts and the verdict ``kept`` for each text."""
+def repetition(text: Column, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, maximal: bool = True) -> Column:
+    """A struct column with the counts and the verdict ``kept`` for each text; maximal=False leaves the number of maximal repeats null, which takes a walk over all intervals."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     @F.pandas_udf(SCHEMA)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(_judged(batch.tolist(), min_words, max_covered, max_longest), columns=names)
+            yield pd.DataFrame(_judged(batch.tolist(), min_words, max_covered, max_longest, maximal), columns=names).astype({"n_maximal": "Int64"})
 
     return judge(text.cast("string"))
 
@@ -205,11 +232,11 @@ def judge_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_repetitive(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """docs, all columns, without the rejected rows."""
     kept = "_folio_kept"
-    return docs.select("*", repetition(F.col(text_col), **limits)["kept"].alias(kept)).where(F.col(kept)).select(*[docs[c] for c in docs.columns])
+    return docs.select("*", repetition(F.col(text_col), maximal=False, **limits)["kept"].alias(kept)).where(F.col(kept)).select(*[docs[c] for c in docs.columns])
 
 
 def op1_repetition(spark, sf_dir: str) -> DataFrame:
-    return judge_repetition(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return staged(judge_repetition(spark.read.parquet(f"{sf_dir}/documents.parquet"), maximal=False).drop("n_maximal"))  # written once, a few texts to an Arrow batch
 
 
 #: The same in SQL: a repeat of k words or more covers exactly the k-word windows found twice or more, and

@@ -4,7 +4,8 @@ A text is a bag of sentences. Each sentence gets a probability from a logistic m
 is their noisy-or, 1 - prod(1 - p), and the model is trained on labels of whole texts only. The same
 sentence probabilities then locate the offending sentences.
 
-Training reads a bounded sample: up to ``PER_LABEL`` labelled texts for each label, chosen by a hash of the id,
+Training reads a bounded sample: up to ``PER_LABEL`` labelled ids for each label, chosen by a hash of the id, one text of each (that of the
+smallest hash), none above ``LONGEST_TEXT`` bytes and ``SAMPLE_BYTES`` in all,
 weighted back to the label's share of all labelled rows. Every text is scored, whole. Labels of rows whose
 crc32(doc_id as text) mod 5 is 0 are never read for training.
 
@@ -22,12 +23,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, crc_mod
+from .common import crc_bucket, crc_mod, staged
 
 PER_LABEL = 3_000
+LONGEST_TEXT, SAMPLE_BYTES = 1_000_000, 16_000_000  # of a text, and of all texts of a label, in the sample
 BITS = 20  # hashed words
 PREFIXES = (4, 5, 6)
 MIN_TEXTS = 4  # texts of the sample that a word must be in
@@ -108,9 +110,14 @@ def _sample_features(docs: DataFrame, labels: DataFrame, per_label: int) -> tupl
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).select("doc_id", "label")
+        part = known.where(F.col("label") == y).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(picked), F.col("_id") == F.col("doc_id")).select("doc_id", "label", "text")
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST_TEXT).join(F.broadcast(picked), F.col("_id") == F.col("doc_id"))
+    # one text of each id and label, whatever rows share the id; then as many as fit
+    texts = staged(texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "label", "x.text"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sizes = texts.select("doc_id", "label", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "label")
+    texts = texts.join(F.broadcast(sizes), ["doc_id", "label"])
 
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,7 +188,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    return score(docs, fit(docs, labels)).select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("spans").alias("n_offending"))
+    return staged(score(docs, fit(docs, labels))).select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("spans").alias("n_offending"), "spans")
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}

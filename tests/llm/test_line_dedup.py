@@ -1,6 +1,9 @@
+import hashlib
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm.line_dedup import dedup_lines
 
@@ -47,3 +50,16 @@ def test_same_id_other_text(spark):
     got = [(r.doc_id, r.text) for r in dedup_lines(df).collect()]
     assert (None, "a\nb\nc") in got and (2, "") in got and (3, "\n\n\n") in got and (4, "\n\n\n") in got
     assert sorted(t for i, t in got if i == 1) == ["", "d"]
+
+
+def test_many_lines_take_linear_time(spark):
+    def took(n):
+        half = [f"line {i}" for i in range(n // 2)]
+        docs = spark.createDataFrame([(1, "\n".join(half + half))], "doc_id long, text string")
+        began = time.time()
+        assert dedup_lines(docs).select("_n_lines", "_n_removed").first() == (n // 2 * 2, n // 2)
+        assert dedup_lines(docs).select(F.md5("text")).first()[0] == hashlib.md5("\n".join(half).encode()).hexdigest()
+        return time.time() - began
+
+    took(1_000)
+    assert took(400_000) < 40

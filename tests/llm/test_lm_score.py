@@ -113,3 +113,11 @@ def test_scores_are_those_of_a_plain_loop(spark, monkeypatch):
             before = vocabulary.get(w, 0)
             total += gru.log_probs(p, h, np.array([before]))[0] / math.log(10) + (0 if before else math.log10(c[w] + 1) - outside)
         assert math.isclose(got[i].score, total, rel_tol=1e-5)
+
+
+def test_frequent_words_are_a_total_order(spark):
+    counts = spark.createDataFrame([(f"w{i}", 5) for i in range(400)] + [("top", 1000), ("b", 990), ("c", 985)], "word string, n long")
+    assert len(frequent_words(counts, 1000)) == 403
+    got = frequent_words(counts, 300)
+    assert [w for w, _ in got[:3]] == ["top", "b", "c"] and 290 <= len(got) <= 300 and got == frequent_words(counts.repartition(7), 300)
+    assert [w for w, _ in frequent_words(counts, 2)] == ["top", "b"] and frequent_words(counts, 0) == []

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from folio.llm import common
 from folio.llm.common import components, lower_ascii, words_of
 from folio.llm.near_dup import drop_near_duplicates, near_duplicates
 
@@ -76,3 +77,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[k] == 100 for k in range(100, 160)) and got[51] == 50
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_columns_of_map_type_and_hot_keys(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 3, "one two three four five six seven", {"k": k % 2}) for k in range(60)] + [(9, "alpha beta gamma delta epsilon zeta", {})], "doc_id long, text string, m map<string,int>")
+    want = [(0, "one two three four five six seven"), (9, "alpha beta gamma delta epsilon zeta")]
+    assert sorted(tuple(r) for r in drop_near_duplicates(docs).select("doc_id", "text").collect()) == want
+    monkeypatch.setattr(common, "HEAVY", 1)  # all keys but the heavy one are shuffled
+    assert sorted(tuple(r) for r in drop_near_duplicates(docs).select("doc_id", "text").collect()) == want
+    got = near_duplicates(docs.select("doc_id", "text"))
+    assert got.count() == 61 and {(r.doc_id, r.component_id) for r in got.collect()} == {(0, 0), (1, 0), (2, 0), (9, 9)}

@@ -1,10 +1,15 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
 from folio.llm.common import crc_bucket, lower_ascii, words_of
 from folio.llm.repetition import drop_repetitive, group_stats, judge_repetition
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def brute(ws, least):
     n = len(ws)
@@ -66,3 +71,21 @@ def test_clean_text_stays(spark):
     spam = clean + " " + " ".join([passage] * 9)
     df = spark.createDataFrame([(1, clean), (2, spam)], "doc_id long, text string")
     assert [r.doc_id for r in drop_repetitive(df).collect()] == [1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_repeats_against_brute_force(seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(4):
+        part = [rng.choice("ab") for _ in range(rng.randint(1, 30))]
+        texts.append(part * rng.randint(1, 4) + [rng.choice("abc") for _ in range(10)] + part)
+    for ws, (three, n_max, cov, longest) in zip(texts, group_stats(texts, 12)):
+        assert (three, cov, longest, n_max) == (*brute(ws, 12), maximal(ws, 12))
+    assert [(a, None, c, d) for a, _, c, d in group_stats(texts, 12)] == group_stats(texts, 12, False)
+
+
+def test_a_text_of_millions_of_equal_words_takes_bounded_memory():
+    code = "import resource, sys; from folio.llm.repetition import group_stats; w = ['a'] * 3_000_000; b = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; assert group_stats([w], 10, False) == [(3_000_000, None, 3_000_000, 2_999_999)]; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - b)"
+    kb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout)
+    assert kb < 500_000

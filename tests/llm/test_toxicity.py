@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from folio.llm import toxicity
 from folio.llm.common import crc_bucket
 from folio.llm.toxicity import fit, noisy_or, score, sentences
 
@@ -52,3 +53,35 @@ def test_edges(spark, edge_docs, no_docs):
     none = fit(docs, labels.limit(0))
     assert {r.predicted for r in score(docs, none).collect()} == {0}
     assert score(no_docs.select("doc_id", "text"), none).count() == 0
+
+
+def test_rows_that_share_an_id_are_one_text_of_the_sample(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id % 4 AS doc_id", "concat('text ', id, '. more') AS text")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, label int")
+    bags, y, _, _ = toxicity._sample_features(docs, labels, 2)
+    assert len(y) == bags.n_bags <= 4
+    long = spark.createDataFrame([(k, "word " * 400) for k in range(40)], "doc_id long, text string")
+    many = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, label int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5_000)
+    assert len(toxicity._sample_features(long, many, 40)[1]) == 4  # two of 2,000 bytes for each label
+    monkeypatch.setattr(toxicity, "LONGEST_TEXT", 1_000)
+    assert len(toxicity._sample_features(long, many, 40)[1]) == 0
+
+
+def test_scores_against_a_plain_loop(spark):
+    docs = spark.createDataFrame([(1, "You are vile. Fine day!\nvile vile"), (2, None), (3, "nothing here"), (4, "a. b? c! vile")], "doc_id long, text string")
+    rng = np.random.default_rng(3)
+    w, b = rng.normal(0, 2, 1 << toxicity.BITS).astype(np.float32), -1.0
+    for r in score(docs, (w, b)).collect():
+        text = {1: "You are vile. Fine day!\nvile vile", 2: "", 3: "nothing here", 4: "a. b? c! vile"}[r.doc_id]
+        left, spans = 1.0, []
+        for s, e in toxicity.sentences(text):
+            z = b
+            for word in set(toxicity.tokens(text[s:e])):
+                for f in toxicity.features([word]):
+                    z += float(w[f])
+            p = 1 / (1 + np.exp(-z))
+            left *= 1 - p
+            if p >= 0.5:
+                spans.append((s, e, round(p, 5)))
+        assert abs(r.score - (1 - left)) < 1e-5 and [(x.start, x.end, round(x.p, 5)) for x in r.spans] == spans
