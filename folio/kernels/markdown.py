@@ -13,7 +13,6 @@ _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _HR = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
 _FENCE = re.compile(r"( {0,3})(`{3,}(?=[^`]*$)|~{3,})[ \t]*(.*?)[ \t]*$")
-_QUOTE = re.compile(r" {0,3}> ?")
 _ITEM = re.compile(r"( {0,3})([-+*]|([0-9]{1,9})[.)])(?=[ \t]|$)")
 _TASK = re.compile(r"\[([ xX])\](?=[ \t])[ \t]")
 _TABLE = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
@@ -38,7 +37,9 @@ _INLINE_HTML = re.compile(rf"{_TAG}|<!--.*?-->|<\?.*?\?>|<![A-Za-z][^>]*>|<!\[CD
 _BARE = re.compile(r"(?:https?://|www\.)[^\s<]+")
 _MAIL_NAME = re.compile(r"[\w.+-]+$")
 _MAIL_HOST = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
-_DEPTH = 100
+_FENCE_END = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*$")
+#: Fixed value: containers inside each other, at most; what is deeper is text.
+_DEPTH = 128
 
 
 def _unescape(s: str) -> str:
@@ -57,173 +58,256 @@ def entity(s: str) -> str:
     return html5.get(s[1:], s)
 
 
-class _Parser:
-    def __init__(self):
-        self.definitions: dict[str, tuple[str, str | None]] = {}
+@dataclass(slots=True, eq=False)
+class _Block:
+    """An open block. start, end: its first and last line, by which blank lines between blocks are seen."""
+
+    kind: str  # doc, quote, list, item; p, h, hr, code, fence, html, table; gone: a paragraph of definitions only
+    start: int
+    end: int
+    kids: list[_Block] = field(default_factory=list)
+    lines: list[str] = field(default_factory=list)
+    offset: int = 0  # columns that an item's lines are indented by, or a fence was
+    mark: str = ""  # a list's delimiter, a fence, the mark of a task
+    number: int | None = None  # a list's first number, a heading's level, an HTML block's kind
+
+
+def _indent(s: str, col: int) -> int:
+    """Columns of white space at the start of s, which begins in column col: a tab goes to the next multiple of four."""
+    at = col
+    for c in s:
+        if c == " ":
+            at += 1
+        elif c == "\t":
+            at += 4 - at % 4
+        else:
+            break
+    return at - col
 
-    # --- blocks: first a list of (kind, ...) for each container, then nodes ------------
 
-    def blocks(self, lines: list[str], depth: int = 0) -> list[tuple]:
-        out: list[tuple] = []
-        para: list[str] = []
-        i = 0
+def _strip(s: str, col: int, columns: int) -> tuple[str, int]:
+    """s without so many columns of white space, or all it has; of a tab that is wider the rest stays, as blanks."""
+    k, at, to = 0, col, col + columns
+    while at < to and k < len(s) and s[k] in " \t":
+        at += 1 if s[k] == " " else 4 - at % 4
+        k += 1
+    return (" " * (at - to) + s[k:], to) if at > to else (s[k:], at)
 
-        def close():
-            if para:
-                text = "\n".join(x.strip(" \t") if k == len(para) - 1 else x.lstrip(" \t") for k, x in enumerate(para))
-                while m := _DEFINITION.match(text):
-                    title = m[4][1:-1] if m[4] else None
-                    self.definitions.setdefault(_label(m[1]), (_unescape(m[2] if m[2] is not None else m[3]), title and _unescape(title)))
-                    text = text[m.end() :]
-                if text.strip():
-                    out.append(("p", text))
-                para.clear()
-
-        while i < len(lines):
-            line = lines[i].expandtabs(4) if lines[i][:1] in " \t" else lines[i]
-            if not line.strip():
-                close()
-                i += 1
-            elif line.startswith("    ") and not para:
-                end = i
-                while end < len(lines) and (not lines[end].strip() or lines[end].expandtabs(4).startswith("    ")):
-                    end += 1
-                while not lines[end - 1].strip():
-                    end -= 1
-                out.append(("code", "", "".join(x.expandtabs(4)[4:] + "\n" for x in lines[i:end])))
-                i = end
-            elif para and (m := _SETEXT.match(line)):
-                before = len(out)
-                close()
-                if len(out) > before and out[-1][0] == "p":
-                    out[-1] = ("h", 1 if m[1][0] == "=" else 2, out[-1][1].strip())
-                elif _HR.match(line):
-                    out.append(("hr",))
-                i += 1
-            elif _HR.match(line):
-                close()
-                out.append(("hr",))
-                i += 1
-            elif m := _ATX.match(line):
-                close()
-                body = (m[2] or "").strip()
-                out.append(("h", len(m[1]), "" if body.strip("#") == "" else body))
-                i += 1
-            elif m := _FENCE.match(line):
-                close()
-                shut = re.compile(rf" {{0,3}}{re.escape(m[2])}{re.escape(m[2][0])}*[ \t]*$")
-                end = next((j for j in range(i + 1, len(lines)) if shut.match(lines[j])), len(lines))
-                strip = re.compile(rf" {{0,{len(m[1])}}}")
-                out.append(("code", _unescape(m[3].split()[0]) if m[3] else "", "".join(strip.sub("", x, count=1) + "\n" for x in lines[i + 1 : end])))
-                i = end + 1
-            elif _QUOTE.match(line) and depth < _DEPTH:
-                close()
-                i = self._quote(lines, i, out, depth)
-            elif (m := _ITEM.match(line)) and depth < _DEPTH and not (para and (not line[m.end() :].strip() or (m[3] and m[3] != "1"))):
-                close()
-                i = self._list(lines, i, out, depth)
-            elif (end := self._html(lines, i, bool(para))) is not None:
-                close()
-                out.append(("html", "".join(x + "\n" for x in lines[i:end])))
-                i = end
-            elif "|" in line and i + 1 < len(lines) and _TABLE.match(lines[i + 1]) and "|" in lines[i + 1] and len(_cells(line)) == len(_cells(lines[i + 1])):
-                close()
-                end = i + 2
-                while end < len(lines) and lines[end].strip() and not self._interrupts(lines, end):
-                    end += 1
-                out.append(("table", lines[i:end]))
-                i = end
-            else:
-                para.append(line)
-                i += 1
-        close()
-        return out
-
-    def _html(self, lines, i, in_para) -> int | None:
-        for k, (start, stop) in enumerate(_HTML):
-            if start.match(lines[i]) and not (k == 6 and in_para):
-                if stop is None:
-                    return next((j for j in range(i, len(lines)) if not lines[j].strip()), len(lines))
-                return next((j + 1 for j in range(i, len(lines)) if stop.search(lines[j])), len(lines))
-        return None
-
-    def _interrupts(self, lines, i) -> bool:
-        x = lines[i]
-        m = _ITEM.match(x)
-        return bool(_HR.match(x) or _ATX.match(x) or _FENCE.match(x) or _QUOTE.match(x) or (m and x[m.end() :].strip() and m[3] in (None, "1"))) or self._html(lines, i, True) is not None
 
-    def _quote(self, lines, i, out, depth) -> int:
-        inner = []
-        while i < len(lines):
-            m = _QUOTE.match(lines[i])
-            if m:
-                inner.append(lines[i][m.end() :])
-            elif inner and inner[-1].strip() and lines[i].strip() and not self._interrupts(lines, i) and not inner[-1].startswith("    ") and not _FENCE.match(inner[-1]):
-                inner.append(lines[i].lstrip(" "))  # a lazy continuation
-            else:
-                break
-            i += 1
-        out.append(("quote", self.blocks(inner, depth + 1)))
-        return i
+class _Parser:
+    """Blocks line by line: a line is first matched by the open containers, from the outermost in; what is left of it may
+    open new ones, continue the paragraph that is open (even where containers don't match, lazily), or close what didn't match."""
+
+    def __init__(self):
+        self.definitions: dict[str, tuple[str, str | None]] = {}
 
-    def _list(self, lines, i, out, depth) -> int:
-        first = _ITEM.match(lines[i].expandtabs(4))
-        kind, items, loose = first[2][-1], [], False
-        while i < len(lines):
-            line = lines[i].expandtabs(4)
-            m = _ITEM.match(line)
-            if not m or m[2][-1] != kind or _HR.match(line):
+    def blocks(self, lines: list[str]) -> list[tuple]:
+        self.open = [_Block("doc", 0, 0)]
+        for n, line in enumerate(lines):
+            self.line(n, line)
+        self.shut(1)
+        return [_plain(b) for b in self.open[0].kids if b.kind != "gone"]
+
+    def shut(self, to: int) -> None:
+        """Close the open blocks from the innermost out until ``to`` are left."""
+        while len(self.open) > to:
+            b = self.open.pop()
+            if b.kind == "p":
+                self.define(b)
+            elif b.kind == "code":
+                while b.lines and not b.lines[-1].strip():
+                    b.lines.pop()
+            above = self.open[-1]
+            above.end = max(above.end, b.end)
+
+    def define(self, p: _Block) -> None:
+        """Take the definitions off a paragraph's start."""
+        last = len(p.lines) - 1
+        text = "\n".join(x.strip(" \t") if k == last else x.lstrip(" \t") for k, x in enumerate(p.lines))
+        while m := _DEFINITION.match(text):
+            title = m[4][1:-1] if m[4] else None
+            self.definitions.setdefault(_label(m[1]), (_unescape(m[2] if m[2] is not None else m[3]), title and _unescape(title)))
+            text = text[m.end() :]
+        p.lines = [text] if text.strip() else []
+        if not p.lines:
+            p.kind = "gone"
+
+    def add(self, kind: str, n: int, **fields) -> _Block:
+        b = _Block(kind, n, n, **fields)
+        above = self.open[-1]
+        above.kids.append(b)
+        above.end = max(above.end, n)
+        self.open.append(b)
+        return b
+
+    # --- one line -----------------------------------------------------------------
+
+    def line(self, n: int, s: str) -> None:
+        col, depth, fresh = 0, 1, False
+        for b in self.open[1:]:
+            got = self.goes_on(b, n, s, col)
+            if got == "end":  # a fence that closes
+                return
+            if got is None:
                 break
-            rest = line[m.end() :]
-            gap = len(rest) - len(rest.lstrip(" "))
-            width = m.end() + (gap if 1 <= gap <= 4 and rest.strip() else 1)
-            inner, i, blank = [line[width:]], i + 1, False
-            while i < len(lines):
-                x = lines[i].expandtabs(4)
-                if not x.strip():
-                    if len(inner) == 1 and not inner[0].strip():
-                        break
-                    inner.append("")
-                    blank = True
-                elif len(x) - len(x.lstrip(" ")) >= width:
-                    inner.append(x[width:])
-                    blank = False
-                elif blank or not inner[-1].strip() or self._interrupts(lines, i) or _ITEM.match(x):
-                    break
+            s, col = got
+            depth += 1
+        tip = self.open[-1]
+        if depth == len(self.open) and tip.kind in ("fence", "html", "table", "code"):
+            self.take(tip, n, s)
+            return
+        while (got := self.opens(n, s, col, depth)) is not None:
+            if got == "done":
+                return
+            s, col = got
+            depth, fresh = len(self.open), True
+        tip = self.open[-1]
+        if tip.kind == "p" and s.strip() and not fresh:
+            tip.lines.append(s)
+            tip.end = n
+            return
+        self.shut(depth)
+        if s.strip():
+            self.leave_list()
+            self.add("p", n, lines=[s])
+
+    def goes_on(self, b: _Block, n: int, s: str, col: int):
+        """What is left of the line if the block continues on it; None if not."""
+        wide, blank = _indent(s, col), not s.strip()
+        if b.kind == "quote":
+            if wide > 3 or s.lstrip(" \t")[:1] != ">":
+                return None
+            b.end = n
+            s, col = _strip(s, col, wide)
+            return _strip(s[1:], col + 1, 1)
+        if b.kind == "item":
+            if blank:
+                return ("", col) if b.kids else None
+            return _strip(s, col, b.offset) if wide >= b.offset else None
+        if b.kind == "fence":
+            m = _FENCE_END.match(" " * wide + s.lstrip(" \t"))
+            if m and m[1][0] == b.mark[0] and len(m[1]) >= len(b.mark):
+                b.end = n
+                self.shut(self.open.index(b))
+                return "end"
+            return _strip(s, col, b.offset)
+        if b.kind == "code":
+            return _strip(s, col, 4) if wide >= 4 or blank else None
+        if b.kind == "html":
+            return None if blank and _HTML[b.number][1] is None else (s, col)
+        if b.kind == "table":
+            return None if blank or self.interrupts(s, col) else (s, col)
+        return None if b.kind == "p" and blank else (s, col)
+
+    def take(self, b: _Block, n: int, s: str) -> None:
+        """A line of a block of lines."""
+        b.lines.append(s)
+        if s.strip() or b.kind == "fence":
+            b.end = n
+        if b.kind == "html" and (stop := _HTML[b.number][1]) and stop.search(s):
+            self.shut(self.open.index(b))
+
+    def interrupts(self, s: str, col: int) -> bool:
+        """Whether the line would end a paragraph."""
+        wide = _indent(s, col)
+        x = " " * wide + s.lstrip(" \t")
+        m = _ITEM.match(x)
+        return wide < 4 and bool(_HR.match(x) or _ATX.match(x) or _FENCE.match(x) or x.lstrip()[:1] == ">" or (m and x[m.end() :].strip() and m[3] in (None, "1")) or _html_kind(x, True) is not None)
+
+    def opens(self, n: int, s: str, col: int, depth: int):
+        """Open the block that the rest of the line starts: what is left of the line, ``done`` if nothing, None if no block starts."""
+        wide = _indent(s, col)
+        bare = s.lstrip(" \t")
+        p = self.open[depth - 1] if self.open[depth - 1].kind == "p" else None
+        if not bare:
+            return None
+        if wide >= 4:
+            if self.open[-1].kind == "p":  # it continues a paragraph, lazily if need be
+                return None
+            self.shut(depth)
+            self.leave_list()
+            self.add("code", n, lines=[_strip(s, col, 4)[0]])
+            return "done"
+        x = " " * wide + bare
+        room = len(self.open) < _DEPTH
+
+        def base() -> None:
+            """Close what didn't match, and a paragraph that did: what comes stands beside it."""
+            self.shut(depth - 1 if p else depth)
+
+        if bare[0] == ">" and room:
+            base()
+            self.leave_list()
+            self.add("quote", n)
+            return _strip(bare[1:], col + wide + 1, 1)
+        if m := _ATX.match(x):
+            base()
+            self.leave_list()
+            body = (m[2] or "").strip()
+            self.add("h", n, lines=["" if body.strip("#") == "" else body], number=len(m[1]))
+        elif m := _FENCE.match(x):
+            base()
+            self.leave_list()
+            self.add("fence", n, offset=len(m[1]), mark=m[2], lines=[m[3]])
+            return "done"
+        elif (kind := _html_kind(x, self.open[-1].kind == "p")) is not None:
+            base()
+            self.leave_list()
+            self.take(self.add("html", n, number=kind), n, s)
+            return "done"
+        elif p and (m := _SETEXT.match(x)) and self.heading(p, n, 1 if m[1][0] == "=" else 2):
+            return "done"
+        else:
+            if p and p.kind == "gone":
+                depth, p = depth - 1, None
+            if _HR.match(x):
+                base()
+                self.leave_list()
+                self.add("hr", n)
+            elif (m := _ITEM.match(x)) and room and not (p and (not x[m.end() :].strip() or m[3] not in (None, "1"))):
+                base()
+                mark, after, at = m[2][-1], bare[len(m[2]) :], col + wide + len(m[2])
+                if self.open[-1].kind != "list" or self.open[-1].mark != mark:
+                    self.leave_list()
+                    self.add("list", n, mark=mark, number=int(m[3]) if m[3] else None)
+                gap = _indent(after, at)
+                pad = gap if 1 <= gap <= 4 and after.strip() else 1
+                item = self.add("item", n, offset=wide + len(m[2]) + pad)
+                s, col = _strip(after, at, pad)
+                if task := _TASK.match(s):
+                    item.mark = task[1]
+                    s, col = s[task.end() :], col + task.end()
+                return s, col
+            elif p and "|" in bare and _TABLE.match(x) and "|" in p.lines[-1] and len(_cells(p.lines[-1])) == len(_cells(bare)):
+                head = p.lines.pop()
+                if p.lines:
+                    p.end -= 1
+                    self.shut(depth - 1)
                 else:
-                    inner.append(x.lstrip(" "))
-                i += 1
-            tail = 0
-            while inner and not inner[-1].strip():
-                inner.pop()
-                tail += 1
-            while i < len(lines) and not lines[i].strip():
-                i, tail = i + 1, tail + 1
-            nxt = _ITEM.match(lines[i].expandtabs(4)) if i < len(lines) else None
-            task = _TASK.match(inner[0]) if inner else None
-            if task:
-                inner[0] = inner[0][task.end() :]
-            children = self.blocks(inner, depth + 1)
-            if tail and nxt and nxt[2][-1] == kind:
-                loose = True
-            loose |= self._gaps(inner, children)
-            items.append((task[1] if task else None, children))
-        out.append(("list", int(first[3]) if first[3] else None, loose, items))
-        return i
-
-    def _gaps(self, inner: list[str], children: list[tuple]) -> bool:
-        """Whether a blank line stands between two blocks of an item."""
-        if len(children) < 2 or "" not in inner:
+                    self.open.pop()
+                    self.open[-1].kids.pop()
+                self.add("table", n, lines=[head, s]).start = n - 1
+                return "done"
+            else:
+                return None
+        self.shut(len(self.open) - 1)
+        return "done"
+
+    def leave_list(self) -> None:
+        if self.open[-1].kind == "list":
+            self.shut(len(self.open) - 1)
+
+    def heading(self, p: _Block, n: int, level: int) -> bool:
+        """Make the open paragraph a heading, unless it holds definitions only."""
+        self.define(p)
+        if p.kind == "gone":
+            self.open.pop()
+            p.end = n - 1
             return False
-        fence = None
-        for k, x in enumerate(inner):
-            if fence:
-                fence = None if re.match(rf" {{0,3}}{re.escape(fence)}", x) else fence
-            elif m := _FENCE.match(x):
-                fence = m[2]
-            elif not x and not (k + 1 < len(inner) and inner[k + 1].startswith(" ") and _ITEM.match(inner[k + 1].lstrip(" "))):
-                return True
-        return False
+        p.kind, p.number, p.end = "h", level, n
+        p.lines = [p.lines[0].strip()]
+        self.shut(len(self.open) - 1)
+        return True
 
     # --- nodes ----------------------------------------------------------------------
 
@@ -296,6 +380,34 @@ class _Parser:
         return _Spans(self, text).nodes()
 
 
+def _html_kind(x: str, in_paragraph: bool) -> int | None:
+    return next((k for k, (start, _) in enumerate(_HTML) if start.match(x) and not (k == 6 and in_paragraph)), None)
+
+
+def _plain(b: _Block) -> tuple:
+    """A closed block as (kind, ...)."""
+    kids = lambda b: [_plain(k) for k in b.kids if k.kind != "gone"]
+    match b.kind:
+        case "p" | "h":
+            return ("p", b.lines[0]) if b.kind == "p" else ("h", b.number, b.lines[0])
+        case "hr":
+            return ("hr",)
+        case "html":
+            return ("html", "".join(x + "\n" for x in b.lines))
+        case "code":
+            return ("code", "", "".join(x + "\n" for x in b.lines))
+        case "fence":
+            info = b.lines[0].split()
+            return ("code", _unescape(info[0]) if info else "", "".join(x + "\n" for x in b.lines[1:]))
+        case "table":
+            return ("table", b.lines)
+        case "quote":
+            return ("quote", kids(b))
+    parted = lambda blocks: any(y.start - x.end > 1 for x, y in zip(blocks, blocks[1:]))
+    loose = parted(b.kids) or any(parted(item.kids) for item in b.kids)
+    return ("list", b.number, loose, [(item.mark or None, kids(item)) for item in b.kids])
+
+
 def _cells(line: str) -> list[str]:
     inner = line.strip().removeprefix("|")
     if inner.endswith("|") and not inner.endswith("\\|"):

@@ -842,3 +842,23 @@ def many_links(spark, d):
     """As many links of one text as it has."""
     x = _one(_table(spark, d, "supplier"), "s_suppkey", F.expr("repeat('http://x.example/a ', CAST(s_nationkey + 900 AS INT))"))
     return DocFrame(x).links().groupBy("source_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+# --- Markdown containers ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS source_id, repeat('<blockquote>' || chr(10), k) || '<p>c' || c_custkey || chr(10) || 'lazy</p>' || repeat(chr(10) || '</blockquote>', k) AS html FROM (SELECT c_custkey, (c_custkey % 9 + 1)::BIGINT AS k FROM customer)")
+def markdown_quotes(spark, d):
+    """Quotes inside each other, with a last line that continues the innermost paragraph without any mark."""
+    k = (F.col("c_custkey") % 9 + 1).cast("int")
+    return DocFrame(_one(_table(spark, d, "customer"), "c_custkey", F.concat(F.repeat(F.lit("> "), k), _s("c", "@c_custkey", "\nlazy")))).markdown_html()
+
+
+@query("SELECT p_partkey AS source_id, array_to_string(list_transform(range(0, k + 1), lambda i: '<ul>' || chr(10) || '<li>n' || i), '') || ' ' || p_name || repeat('</li>' || chr(10) || '</ul>', k + 1) AS html FROM (SELECT p_partkey, p_name, p_partkey % 12 AS k FROM part)")
+def markdown_lists(spark, d):
+    """Lists inside each other: the same nest by blanks and by tabs, which go to the next multiple of four columns."""
+    k = (F.col("p_partkey") % 12).cast("int")
+    by_tabs = F.col("p_partkey") % 2 == 0
+    line = lambda i: F.concat(F.when(by_tabs, F.repeat(F.lit("\t"), i)).otherwise(F.repeat(F.lit("  "), i)), F.when(by_tabs, F.lit("-\tn")).otherwise(F.lit("- n")), i.cast("string"))
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), k), line), "\n"), F.lit(" "), F.col("p_name"))
+    return DocFrame(_one(_parts(spark, d), "p_partkey", text)).markdown_html()
