@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = staged(rows.mapInArrow(_sketches(shingle), SKETCH))
     named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = ["n_shingles", "sig1", "sig2"]
-    folded = staged(named.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    folded = staged(named.groupBy(*key).agg(F.min("doc_id").alias("rep")))
     reps = named.join(folded.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("rep")), [F.col("doc_id") == F.col("rep"), *[F.col(k) == F.col(f"_{k}") for k in key]])
     reps = staged(reps.select("doc_id", *key, "sketch").dropDuplicates(["doc_id", *key]).drop("sig1", "sig2"))
     lists = listed_values(reps, threshold)
@@ -337,8 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_lists = staged(labelled.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("v", "size"))
     crossed = list_links(join_counted(labelled, open_lists, "v").select("doc_id", "n", "c", "v"), rows, shingle, threshold)
     unstage(shared, star, first, labelled, open_lists)
-    # a document's node is its id; equal sets are linked with their representative
-    member = join_counted(named, folded, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    # a document's node is its id; equal sets are linked with their representative. No aggregation by the set follows, so that a hot set's rows are split by adaptive execution
+    member = named.join(folded, key).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     comps = staged(components(stars.unionByName(crossed).unionByName(member)))
     unstage(stars, crossed)
     out = sketched.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
