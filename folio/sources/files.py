@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def read_sources(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -23,35 +25,11 @@ def write_outputs(df: DataFrame, path: str, value: str) -> None:
     df.select(F.col(value).cast("string")).write.mode("overwrite").option("lineSep", "\x00").text(path)
 
 
-class MarkupSource(DataSource):
-    """``spark.read.format("markup").option("text", …)``: documents of an inline text, for tests and notebooks.
-
-    Options: text, and documents=true to split at separator lines.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "markup"
-
-    def schema(self) -> str:
-        return "source_id bigint, document int, text string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _MarkupReader(self.options)
-
-
-class _MarkupReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = dict(options)
-
-    def partitions(self):
-        return [InputPartition(0)]
-
-    def read(self, partition):
-        import re
-
-        text = self.options.get("text", "")
-        parts = [text]
-        if self.options.get("documents", "false").lower() == "true":
-            parts = [p for p in re.split(r"(?m)^---[ \t]*\n?$\n?", text) if p.strip()] or [""]
-        yield from ((0, i, p) for i, p in enumerate(parts))
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name that the driver and all executors see: below ``spark.checkpoint.dir``, or where everything runs in one process a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("executors need a shared folder: set spark.checkpoint.dir")
+        base = "file://" + tempfile.mkdtemp(prefix="folio-")
+    return f"{base.rstrip('/')}/folio-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from folio.operators.documents import DocFrame
-from folio.sources.files import MarkupSource, read_sources, read_texts, write_outputs
+from folio.sources.files import read_sources, read_texts, write_outputs
 from folio.streaming.stream import stream_references, windowed_tags
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -24,12 +24,6 @@ def test_files(spark, tmp_path):
     assert spark.read.option("lineSep", "\x00").text(str(tmp_path / "out")).count() == 2
 
 
-def test_data_source(spark):
-    spark.dataSource.register(MarkupSource)
-    got = spark.read.format("markup").option("text", "a\n---\nb").option("documents", "true").load()
-    assert [r.text.strip() for r in got.orderBy("document").collect()] == ["a", "b"]
-
-
 def test_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "#t"), (4, "x " * 50_000), (4, "x")], "source_id long, text string")
     d = DocFrame(df)
