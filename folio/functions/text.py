@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..kernels import vocab
+
 # The characters that JavaScript trims; the fewer that a slug turns into hyphens.
 JS_SPACE = r"\x{9}-\x{d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 SLUG_SPACE = r" \t\n\r\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -168,3 +172,41 @@ def yaml_scalar(c: Column) -> Column:
         .when(c.rlike(r"^([-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?|[-+]?\.(inf|Inf|INF)|\.(nan|NaN|NAN))\z"), "float")
         .otherwise("str")
     )
+
+
+# --- plain prose: texts that hold no markup at all, told apart and written by columns ---------------------------
+
+#: What makes a text more than plain prose; a search without nested repetition, so that length is no matter.
+_NOT_PLAIN = "|".join(
+    [
+        r"[^\p{L}\p{N} \n.,-]",  # any other character may be markup
+        r"\A[^\p{L}]",
+        r"\n[^\p{L}\n]",  # a line begins with a letter
+        r" (?: |\n|\z)",  # single blanks, between words
+        r"\.\.",
+        r",,",
+        r"(?<![\p{L}\p{N}])-",
+        r"-(?![\p{L}\p{N}])",  # a dash inside a word
+        *sorted(re.escape(f) for f in vocab.EMOTICONS if re.fullmatch(r"[A-Za-z0-9.,-]+", f)),
+    ]
+)
+
+
+def is_plain(text: Column) -> Column:
+    """Whether a text is words, commas, full stops and line ends only, so that it parses to paragraphs of one text each and nothing more. False for null and empty texts."""
+    return F.coalesce((text != "") & ~text.rlike(_NOT_PLAIN), F.lit(False))
+
+
+def _paragraphs(text: Column) -> Column:
+    """Of plain prose, without line ends after the last paragraph."""
+    return F.regexp_replace(text, r"\n+\z", "")
+
+
+def plain_html(text: Column) -> Column:
+    """HTML of plain prose."""
+    return F.concat(F.lit("<p>"), F.translate(F.regexp_replace(_paragraphs(text), r"\n\n+", "</p><p>"), "\n", " "), F.lit("</p>"))
+
+
+def plain_nodes(text: Column) -> Column:
+    """Number of nodes of plain prose: the root, and two for each paragraph."""
+    return (F.lit(3) + F.lit(2) * F.regexp_count(_paragraphs(text), F.lit(r"\n\n+"))).cast("long")

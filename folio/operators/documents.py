@@ -1,11 +1,12 @@
 """DocFrame: a DataFrame of sources, and the DataFrames that its texts hold.
 
 Each output runs one narrow kernel per source in Arrow batches, next to the scan: no shuffle, and only the columns
-asked for are made. Filters on other columns belong before it. All outputs also work on streams.
+asked for are made. Texts of plain prose never leave the JVM for outputs that columns can make or that they have nothing of. Filters on other columns belong before it. All outputs also work on streams.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
 from itertools import accumulate
@@ -56,7 +57,19 @@ class DocFrame:
         self.df = df.select(F.col(id_col).alias("source_id"), F.col(text_col).cast("string").alias("text"))
         self.options = replace(blocks.Options(), **options)
 
-    def _rows(self, schema: str, kernel: Callable[[str | None], Iterable[tuple]]) -> DataFrame:
+    def _split(self) -> tuple[DataFrame, DataFrame | None]:
+        """The sources that need a kernel, and those of plain prose, for which columns do; None where options make a difference to these."""
+        o = self.options
+        if o.documents or re.fullmatch(r"[\w.,-]*", o.frontmatter_fence):
+            return self.df, None
+        plain = X.is_plain(F.col("text"))
+        return self.df.where(~plain), self.df.where(plain)
+
+    def _marked_rows(self, schema: str, kernel: Callable[[str | None], Iterable[tuple]]) -> DataFrame:
+        """As ``_rows``, for outputs of which plain prose has none."""
+        return self._rows(schema, kernel, self._split()[0])
+
+    def _rows(self, schema: str, kernel: Callable[[str | None], Iterable[tuple]], df: DataFrame | None = None) -> DataFrame:
         """A row for each that the kernel gives for a text. Ids pass as they are: they are picked, never converted."""
         id_type = self.df.schema["source_id"].dataType
         out = T.StructType([T.StructField("source_id", id_type), *T.StructType.fromDDL(schema).fields])
@@ -87,7 +100,7 @@ class DocFrame:
                         of, rows = [], []
                 yield made(b.column(0), of, rows)
 
-        return self.df.mapInArrow(run, out)
+        return (self.df if df is None else df).mapInArrow(run, out)
 
     def documents(self) -> DataFrame:
         """(document, text, matter, body) of each document of each source: columns only."""
@@ -111,7 +124,7 @@ class DocFrame:
 
     def links(self) -> DataFrame:
         """Links in the text as plain text: start, end (code points, end exclusive), mailto."""
-        return self._rows("ord int, start int, end int, mailto boolean, url string", lambda t: ((i, k.start, k.end, k.mailto, t[k.start : k.end]) for i, k in enumerate(find_links(t or ""))))
+        return self._marked_rows("ord int, start int, end int, mailto boolean, url string", lambda t: ((i, k.start, k.end, k.mailto, t[k.start : k.end]) for i, k in enumerate(find_links(t or ""))))
 
     def apply(self, function: Callable[[Node], Iterable[tuple]], schema: str) -> DataFrame:
         """Rows that a function of the user's own makes of each tree."""
@@ -121,15 +134,15 @@ class DocFrame:
     def references(self) -> DataFrame:
         """Tags, mentions and page links, once per document, in order of appearance."""
         o = self.options
-        return self._rows("document int, ord int, kind string, name string", lambda t: ((d, i, k, n) for i, (d, k, n) in enumerate(blocks.parse(t, o).references)))
+        return self._marked_rows("document int, ord int, kind string, name string", lambda t: ((d, i, k, n) for i, (d, k, n) in enumerate(blocks.parse(t, o).references)))
 
     def messages(self) -> DataFrame:
         o = self.options
-        return self._rows(f"ord int, rule string, reason string, {PLACE}", lambda t: ((i, m.rule, m.reason, *(m.pos or (None,) * 4)) for i, m in enumerate(blocks.parse(t, o).messages)))
+        return self._marked_rows(f"ord int, rule string, reason string, {PLACE}", lambda t: ((i, m.rule, m.reason, *(m.pos or (None,) * 4)) for i, m in enumerate(blocks.parse(t, o).messages)))
 
     def footnotes(self) -> DataFrame:
         o = self.options
-        return self._rows("document int, id string, number int, refs int, content string", lambda t: ((d, n.id, n.number, n.refs, n.content) for d, n in blocks.parse(t, o).footnotes))
+        return self._marked_rows("document int, id string, number int, refs int, content string", lambda t: ((d, n.id, n.number, n.refs, n.content) for d, n in blocks.parse(t, o).footnotes))
 
     def front_matter(self) -> DataFrame:
         o = self.options
@@ -143,7 +156,7 @@ class DocFrame:
             hs = (n for n, _ in blocks.parse(t, o).root.walk() if len(n.tag) == 2 and n.tag[0] == "h" and n.tag[1].isdigit() and n.pos)
             return ((i, int(n.tag[1]), n.props.get("id"), n.text(), n.pos[0]) for i, n in enumerate(hs))
 
-        return self._rows("ord int, level int, id string, title string, line int", rows)
+        return self._marked_rows("ord int, level int, id string, title string, line int", rows)
 
     def json(self, positions: bool = True) -> DataFrame:
         o = self.options
@@ -151,12 +164,17 @@ class DocFrame:
 
     def html(self, dangerous: bool = True) -> DataFrame:
         o = self.options
-        return self._rows("html string", lambda t: [(to_html(blocks.parse(t, o).root, dangerous),)])
+        marked, plain = self._split()
+        got = self._rows("html string", lambda t: [(to_html(blocks.parse(t, o).root, dangerous),)], marked)
+        return got if plain is None else got.unionByName(plain.select("source_id", X.plain_html(F.col("text")).alias("html")))
 
     def stats(self) -> DataFrame:
         """Bytes of text and number of nodes."""
         o = self.options
-        return self._rows("bytes long, nodes long", lambda t: [(len((t or "").encode()), sum(1 for _ in blocks.parse(t, o).root.walk()))])
+        marked, plain = self._split()
+        got = self._rows("bytes long, nodes long", lambda t: [(len((t or "").encode()), sum(1 for _ in blocks.parse(t, o).root.walk()))], marked)
+        size = F.octet_length("text").cast("long").alias("bytes")
+        return got if plain is None else got.unionByName(plain.select("source_id", size, X.plain_nodes(F.col("text")).alias("nodes")))
 
     def yaml(self) -> DataFrame:
         """The text as YAML: json or error."""

@@ -1,12 +1,12 @@
 """``markup``: a data source of folders of texts, and a writer of one file per source.
 
-    spark.dataSource.register(MarkupSource)
+    register(spark)
     spark.read.format("markup").option("path", "/corpus").option("glob", "*.txt").option("documents", "true").load()
     df.select("source_id", "text").write.format("markup").option("path", "/out").option("suffix", ".html").mode("append").save()
 
 Reading: files are listed once and packed into partitions of about ``split`` bytes, a larger file alone; a task reads its files one by one and hands on
 Arrow batches. Rows: source_id (the path below ``path``), document (its number, 0 unless documents are split), text. Conditions on source_id (equality, a list, a beginning) choose
-among the files before any is read, those on document among the documents (needs ``spark.sql.python.filterPushdown.enabled``). Bytes that aren't UTF-8 become U+FFFD.
+among the files before any is read, those on document among the documents. Bytes that aren't UTF-8 become U+FFFD.
 
 Writing: a task writes each row's text to a file of its own below a folder of its attempt; only when all tasks have ended are the files moved to
 ``path``/source_id + suffix, by the task's list of them, and what an aborted job or a lost attempt leaves is removed. Of rows that share a source_id the job takes none: it fails, and
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 SPLIT = 64_000_000
@@ -38,6 +39,12 @@ def _open(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3a://", "s3://", path) if "://" in path else "file://" + path.removeprefix("file:"))
 
 
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session, and let conditions reach it."""
+    spark.dataSource.register(MarkupSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 def documents_of(text: str) -> list[str]:
     """The documents of a stream: parts between separator lines, without empty ones; one at least."""
     return [p for p in _SEPARATOR.split(text) if p.strip()] or [""]

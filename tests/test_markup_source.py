@@ -4,13 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators.documents import DocFrame
-from folio.sources.markup import MarkupSource, _Reader
+from folio.sources.markup import _Reader, register
 
 
 @pytest.fixture
 def source(spark):
-    spark.dataSource.register(MarkupSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    register(spark)
     return spark
 
 
