@@ -12,7 +12,7 @@ from dataclasses import replace
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,6 +50,34 @@ def _node_rows(root: Node, documents: bool, tags: frozenset | None = None, types
             stack += [(c, me, k, depth + 1) for k, c in zip(range(len(n.children) - 1, -1, -1), reversed(n.children))]
 
 
+def _plain_nodes(plain: DataFrame, tags: frozenset | None, types: frozenset | None, content: bool) -> DataFrame:
+    """The same rows of plain prose: the root, and for each stretch of lines between empty ones a paragraph and its text. Columns only."""
+    ls = F.col("ls")
+    number = F.sequence(F.lit(0), F.size("ls") - 1)
+    blank = lambda i: F.coalesce(F.get(ls, i), F.lit("")) == ""
+    starts = F.filter(number, lambda i: ~blank(i) & blank(i - 1))
+    ends = F.filter(number, lambda i: ~blank(i) & blank(i + 1))
+    x = plain.select("source_id", F.split("text", "\n", -1).alias("ls"))
+    x = x.select("source_id", "ls", F.arrays_zip(starts.alias("s"), ends.alias("e")).alias("parts"))
+    text = lambda p: F.array_join(F.slice(ls, p["s"] + 1, p["e"] - p["s"] + 1), " ")
+    none, of = F.lit(None), T.StructType.fromDDL(NODES + (", content string" if content else ""))
+
+    def row(*values) -> Column:
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(f.dataType).alias(f.name) for v, f in zip(values, of)])
+
+    nothing = F.array().cast(of["props"].dataType)
+    rows = []
+    if (tags is None or "p" in tags) and (types is None or "element" in types):
+        rows.append(lambda p, k: row(2 * k + 1, 0, k, 1, 0, "element", "p", none, nothing, p["s"] + 1, 1, p["e"] + 1, X.utf16_length(F.get(ls, p["e"])) + 1, *([text(p)] if content else [])))
+    if tags is None and (types is None or "text" in types):
+        rows.append(lambda p, k: row(2 * k + 2, 2 * k + 1, 0, 2, 0, "text", none, text(p), nothing, none, none, none, none, *([text(p)] if content else [])))
+    below = F.flatten(F.transform("parts", lambda p, k: F.array(*[r(p, k) for r in rows]))) if rows else F.array().cast(T.ArrayType(of))
+    if tags is None and (types is None or "root" in types):
+        whole = F.array_join(F.transform("parts", text), "")
+        below = F.concat(F.array(row(0, none, 0, 0, 0, "root", none, none, nothing, none, none, none, none, *([whole] if content else []))), below)
+    return x.select("source_id", F.inline(below))
+
+
 class DocFrame:
     """options: keyword arguments of kernels.blocks.Options."""
 
@@ -60,7 +88,7 @@ class DocFrame:
     def _split(self) -> tuple[DataFrame, DataFrame | None]:
         """The sources that need a kernel, and those of plain prose, for which columns do; None where options make a difference to these."""
         o = self.options
-        if o.documents or re.fullmatch(r"[\w.,-]*", o.frontmatter_fence):
+        if o.documents or o.line_offset or re.fullmatch(r"[\w.,-]*", o.frontmatter_fence):
             return self.df, None
         plain = X.is_plain(F.col("text"))
         return self.df.where(~plain), self.df.where(plain)
@@ -116,11 +144,14 @@ class DocFrame:
         content: a further column with all the text below a node, so that it needs no join with its children.
         """
         o = self.options
-        return self._nodes(lambda t: blocks.parse(t, o).root, o.documents, tags, types, content)
+        tags, types = (None if x is None else frozenset(x) for x in (tags, types))
+        marked, plain = self._split()
+        got = self._nodes(lambda t: blocks.parse(t, o).root, o.documents, tags, types, content, marked)
+        return got if plain is None else got.unionByName(_plain_nodes(plain, tags, types, content))
 
-    def _nodes(self, tree: Callable[[str | None], Node], documents: bool, tags, types, content: bool) -> DataFrame:
+    def _nodes(self, tree: Callable[[str | None], Node], documents: bool, tags, types, content: bool, df: DataFrame | None = None) -> DataFrame:
         tags, types = (None if x is None else frozenset(x) for x in (tags, types))
-        return self._rows(NODES + (", content string" if content else ""), lambda t: _node_rows(tree(t), documents, tags, types, content))
+        return self._rows(NODES + (", content string" if content else ""), lambda t: _node_rows(tree(t), documents, tags, types, content), df)
 
     def links(self) -> DataFrame:
         """Links in the text as plain text: start, end (code points, end exclusive), mailto."""

@@ -9,7 +9,7 @@ from folio.functions import text as X
 from folio.functions import values as V
 from folio.kernels import blocks, tree, vocab
 from folio.operators import relational as R
-from folio.operators.documents import DocFrame
+from folio.operators.documents import DocFrame, _node_rows
 
 BITS = ["word", "A", "é", "日本", "xD", "X", "D", "P", "B", "8", "12", "0", "1", " ", " ", " ", " ", ", ", ". ", ".", ",", "-", "\n", "\n", "\n\n", "a-b", "x.y", "st,", "\n\n\n", "  ", "#", ":", ")", "T-T", "\t", "--", "²", "٣", "ª", " ", "́", "=", "one two three"]
 
@@ -37,12 +37,17 @@ def test_what_is_plain_is_written_by_columns(spark):
 
 @pytest.mark.parametrize("options", [{}, {"documents": True}, {"frontmatter_fence": "word"}])
 def test_outputs_are_the_same_either_way(spark, options):
-    some = [*texts()[:400], None]
+    some = [*texts()[:400], *texts()[-9:-3], texts()[-1], None]
     df = spark.createDataFrame(list(enumerate(some)), "source_id long, text string")
     d, o = DocFrame(df, **options), blocks.Options(**options)
     parsed = {i: blocks.parse(t, o) for i, t in enumerate(some)}
     assert {r.source_id: r.html for r in d.html().collect()} == {i: tree.to_html(p.root) for i, p in parsed.items()}
     assert {r.source_id: (r.bytes, r.nodes) for r in d.stats().collect()} == {i: (len((some[i] or "").encode()), sum(1 for _ in p.root.walk())) for i, p in parsed.items()}
+    for wanted in ({}, {"content": True}, {"tags": ["p", "li"]}, {"types": ["text"]}, {"types": ["root", "element"], "content": True}, {"tags": ["h1"]}):
+        got = d.nodes(**wanted)
+        want = [(i, *r) for i, p in parsed.items() for r in _node_rows(p.root, o.documents, *(frozenset(wanted[k]) if k in wanted else None for k in ("tags", "types")), wanted.get("content", False))]
+        plain = lambda r: tuple([tuple(p) for p in v] if isinstance(v, list) else v for v in r)
+        assert sorted(map(plain, got.collect()), key=lambda r: r[:2]) == sorted(map(plain, want), key=lambda r: r[:2]), wanted
     assert d.messages().count() == sum(len(p.messages) for p in parsed.values())
     assert d.references().count() == sum(len(p.references) for p in parsed.values())
 
