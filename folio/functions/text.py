@@ -176,25 +176,24 @@ def yaml_scalar(c: Column) -> Column:
 
 # --- plain prose: texts that hold no markup at all, told apart and written by columns ---------------------------
 
-#: What makes a text more than plain prose; a search without nested repetition, so that length is no matter.
-_NOT_PLAIN = "|".join(
-    [
-        r"[^\p{L}\p{N} \n.,-]",  # any other character may be markup
-        r"\A[^\p{L}]",
-        r"\n[^\p{L}\n]",  # a line begins with a letter
-        r" (?: |\n|\z)",  # single blanks, between words
-        r"\.\.",
-        r",,",
-        r"(?<![\p{L}\p{N}])-",
-        r"-(?![\p{L}\p{N}])",  # a dash inside a word
-        *sorted(re.escape(f) for f in vocab.EMOTICONS if re.fullmatch(r"[A-Za-z0-9.,-]+", f)),
-    ]
-)
+#: Emoticons of letters, digits and dashes only. A class in front, so that a search skips what begins none.
+_WORDLIKE = sorted(f for f in vocab.EMOTICONS if re.fullmatch(r"[A-Za-z0-9.,-]+", f))
+_FACE = f"(?=[{''.join(sorted({f[0] for f in _WORDLIKE}))}])(?:{'|'.join(map(re.escape, _WORDLIKE))})"
 
 
 def is_plain(text: Column) -> Column:
-    """Whether a text is words, commas, full stops and line ends only, so that it parses to paragraphs of one text each and nothing more. False for null and empty texts."""
-    return F.coalesce((text != "") & ~text.rlike(_NOT_PLAIN), F.lit(False))
+    """Whether a text is words, commas, full stops and line ends only, so that it parses to paragraphs of one text each and nothing more. False for null and empty texts.
+
+    Searches for single strings come first, then patterns without nested repetition: length is no matter, and most texts with markup are told by their first sign of it.
+    """
+    never = ("..", ",,", "  ", " \n", "--")
+    free = F.lit(True)
+    for pair in never:
+        free = free & ~text.contains(pair)
+    free = free & ~text.endswith(" ") & ~text.rlike(r"[^a-zA-Z \n.,\p{L}\p{N}-]")  # any other character may be markup
+    free = free & ~text.rlike(r"\A[^\p{L}]") & ~text.rlike(r"\n[^\p{L}\n]")  # a line begins with a letter
+    free = free & F.when(text.contains("-"), ~text.rlike(r"-(?:(?![\p{L}\p{N}])|(?<![\p{L}\p{N}]-))")).otherwise(F.lit(True))  # a dash inside a word
+    return F.coalesce((text != "") & free & ~text.rlike(_FACE), F.lit(False))
 
 
 def _paragraphs(text: Column) -> Column:
