@@ -169,5 +169,31 @@ def op11_runs(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def runs_sql(levels: int = 15) -> str:
+    """The same in SQL, another way: stretches of 2 ** k words are named by doubling, the next place of the same stretch gives a period that is no longer than it, and
+    for each period of a text all stretches with that period are listed. Finds periods below 2 ** levels, all that texts of four times as many words can have."""
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT)),
+ lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda v, one: CASE WHEN v & one = one THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+    grams = ",\n".join(f"h{k} AS (SELECT r, i, md5(h || lead(h, {2 ** (k - 1)}) OVER (PARTITION BY r ORDER BY i)) AS h FROM h{k - 1} WHERE h IS NOT NULL)" for k in range(1, levels + 1))
+    gaps = " UNION ALL ".join(f"SELECT r, g FROM (SELECT r, lead(i) OVER (PARTITION BY r, h ORDER BY i) - i AS g FROM h{k + 1} WHERE h IS NOT NULL) WHERE g >= {2 ** k} AND g < {2 ** (k + 1)}" for k in range(levels))
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {crc} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+e AS (SELECT r, doc_id, h, ws, len(ws) AS n, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e),
+w AS (SELECT r, i, ws[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS w FROM (SELECT r, h, ws, a, p, unnest(range(0, n)) AS i FROM p)),
+h0 AS (SELECT r, i, md5(w) AS h FROM w),
+{grams},
+gap AS (SELECT DISTINCT r, g FROM ({gaps})),
+same AS (SELECT g.r, g.g, x.i, x.i - row_number() OVER (PARTITION BY g.r, g.g ORDER BY x.i) AS island FROM gap g JOIN w x ON x.r = g.r JOIN w y ON y.r = g.r AND y.i = x.i + g.g AND y.w = x.w),
+long AS (SELECT r, g AS period, min(i) AS start, count(*) + g AS length FROM same GROUP BY r, g, island HAVING count(*) + g >= greatest(6, 4 * g)),
+run AS (SELECT * FROM long a WHERE NOT EXISTS (SELECT 1 FROM long b WHERE b.r = a.r AND b.period < a.period AND b.start <= a.start AND b.start + b.length >= a.start + a.length)),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+said AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT w.r, string_agg(w.w, ' ' ORDER BY w.i) AS t FROM w ANTI JOIN gone ON w.r = gone.r AND w.i = gone.i GROUP BY w.r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+ sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN said USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
 QUERIES = {"op11_runs": op11_runs}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op11_runs": runs_sql()}
