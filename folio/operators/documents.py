@@ -35,7 +35,7 @@ def _prop(name: str, v) -> tuple:
     return (name, "string", v, None, None, None) if isinstance(v, str) else (name, "number", None, float(v), None, None)
 
 
-def _node_rows(root: Node, documents: bool, tags: frozenset | None = None, types: frozenset | None = None, content: bool = False) -> Iterator[tuple]:
+def _node_rows(root: Node, documents: bool, tags: frozenset | None = None, types: frozenset | None = None, content: bool = False, level: int | None = None) -> Iterator[tuple]:
     """Pre-order rows; a stack instead of recursion, so depth is no matter. Only rows that are wanted are made; ids count every node."""
     stack, next_id, document = [(root, None, 0, 0)], 0, 0
     while stack:
@@ -43,14 +43,14 @@ def _node_rows(root: Node, documents: bool, tags: frozenset | None = None, types
         me, next_id = next_id, next_id + 1
         if documents and depth == 1:
             document = ordinal
-        if (tags is None or n.tag in tags) and (types is None or n.type in types):
+        if (tags is None or n.tag in tags) and (types is None or n.type in types) and (level is None or depth == level):
             props = [_prop(k, v) for k, v in n.props.items()]
             yield (me, parent, ordinal, depth, document, n.type, n.tag or None, n.value if n.type in ("text", "raw", "comment") else None, props, *(n.pos or (None,) * 4), *([n.text()] if content else []))
         if n.children:
             stack += [(c, me, k, depth + 1) for k, c in zip(range(len(n.children) - 1, -1, -1), reversed(n.children))]
 
 
-def _plain_nodes(plain: DataFrame, tags: frozenset | None, types: frozenset | None, content: bool) -> DataFrame:
+def _plain_nodes(plain: DataFrame, tags: frozenset | None, types: frozenset | None, content: bool, level: int | None = None) -> DataFrame:
     """The same rows of plain prose: the root, and for each stretch of lines between empty ones a paragraph and its text. Columns only."""
     ls = F.col("ls")
     number = F.sequence(F.lit(0), F.size("ls") - 1)
@@ -67,12 +67,12 @@ def _plain_nodes(plain: DataFrame, tags: frozenset | None, types: frozenset | No
 
     nothing = F.array().cast(of["props"].dataType)
     rows = []
-    if (tags is None or "p" in tags) and (types is None or "element" in types):
+    if (tags is None or "p" in tags) and (types is None or "element" in types) and level in (None, 1):
         rows.append(lambda p, k: row(2 * k + 1, 0, k, 1, 0, "element", "p", none, nothing, p["s"] + 1, 1, p["e"] + 1, X.utf16_length(F.get(ls, p["e"])) + 1, *([text(p)] if content else [])))
-    if tags is None and (types is None or "text" in types):
+    if tags is None and (types is None or "text" in types) and level in (None, 2):
         rows.append(lambda p, k: row(2 * k + 2, 2 * k + 1, 0, 2, 0, "text", none, text(p), nothing, none, none, none, none, *([text(p)] if content else [])))
     below = F.flatten(F.transform("parts", lambda p, k: F.array(*[r(p, k) for r in rows]))) if rows else F.array().cast(T.ArrayType(of))
-    if tags is None and (types is None or "root" in types):
+    if tags is None and (types is None or "root" in types) and level in (None, 0):
         whole = F.array_join(F.transform("parts", text), "")
         below = F.concat(F.array(row(0, none, 0, 0, 0, "root", none, none, nothing, none, none, none, none, *([whole] if content else []))), below)
     return x.select("source_id", F.inline(below))
@@ -138,20 +138,20 @@ class DocFrame:
     def lines(self) -> DataFrame:
         return self.df.select("source_id", F.explode(X.lines(F.col("text"))).alias("l")).select("source_id", "l.*")
 
-    def nodes(self, tags: Iterable[str] | None = None, types: Iterable[str] | None = None, content: bool = False) -> DataFrame:
-        """The trees' nodes: all, or only elements of some tags or nodes of some types. A filter on tag or type after it can't reach the kernel.
+    def nodes(self, tags: Iterable[str] | None = None, types: Iterable[str] | None = None, content: bool = False, depth: int | None = None) -> DataFrame:
+        """The trees' nodes: all, or only elements of some tags, nodes of some types, or those at one depth. A filter after it can't reach the kernel.
 
         content: a further column with all the text below a node, so that it needs no join with its children.
         """
         o = self.options
         tags, types = (None if x is None else frozenset(x) for x in (tags, types))
         marked, plain = self._split()
-        got = self._nodes(lambda t: blocks.parse(t, o).root, o.documents, tags, types, content, marked)
-        return got if plain is None else got.unionByName(_plain_nodes(plain, tags, types, content))
+        got = self._nodes(lambda t: blocks.parse(t, o).root, o.documents, tags, types, content, marked, depth)
+        return got if plain is None else got.unionByName(_plain_nodes(plain, tags, types, content, depth))
 
-    def _nodes(self, tree: Callable[[str | None], Node], documents: bool, tags, types, content: bool, df: DataFrame | None = None) -> DataFrame:
+    def _nodes(self, tree: Callable[[str | None], Node], documents: bool, tags, types, content: bool, df: DataFrame | None = None, depth: int | None = None) -> DataFrame:
         tags, types = (None if x is None else frozenset(x) for x in (tags, types))
-        return self._rows(NODES + (", content string" if content else ""), lambda t: _node_rows(tree(t), documents, tags, types, content), df)
+        return self._rows(NODES + (", content string" if content else ""), lambda t: _node_rows(tree(t), documents, tags, types, content, depth), df)
 
     def links(self) -> DataFrame:
         """Links in the text as plain text: start, end (code points, end exclusive), mailto."""

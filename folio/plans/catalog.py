@@ -175,7 +175,7 @@ def task_progress(spark, d):
 def loose_lists(spark, d):
     x = _table(spark, d, "nation")
     odd = F.when(F.col("n_regionkey") % 2 == 1, "\n").otherwise("")
-    got = DocFrame(_written(x, "n_regionkey", "n_nationkey", F.concat(_s("- ", "@n_name"), odd))).nodes()
+    got = DocFrame(_written(x, "n_regionkey", "n_nationkey", F.concat(_s("- ", "@n_name"), odd))).nodes(tags=["ul", "p"])
     return got.groupBy("source_id").agg(F.sum((F.col("tag") == "p").cast("long")).alias("paragraphs")).withColumn("paragraphs", F.coalesce("paragraphs", F.lit(0)))
 
 
@@ -230,8 +230,8 @@ def comments_dropped(spark, d):
 @query("SELECT r_regionkey AS source_id, r_regionkey::BIGINT AS divs FROM region WHERE r_regionkey > 0")
 def indent_depth(spark, d):
     r = _table(spark, d, "region")
-    n = DocFrame(_one(r, "r_regionkey", F.concat(F.repeat(F.lit("  "), F.col("r_regionkey")), F.col("r_name")))).nodes()
-    return n.where("tag = 'div'").groupBy("source_id").agg(F.count(F.lit(1)).alias("divs"))
+    n = DocFrame(_one(r, "r_regionkey", F.concat(F.repeat(F.lit("  "), F.col("r_regionkey")), F.col("r_name")))).nodes(tags=["div"])
+    return n.groupBy("source_id").agg(F.count(F.lit(1)).alias("divs"))
 
 
 _BREAK = "CASE p_size % 4 WHEN 0 THEN '- - -' WHEN 1 THEN '***' WHEN 2 THEN '--' ELSE '_ _ _ x' END"
@@ -240,7 +240,7 @@ _BREAK = "CASE p_size % 4 WHEN 0 THEN '- - -' WHEN 1 THEN '***' WHEN 2 THEN '--'
 @query(f"SELECT p_partkey AS source_id, regexp_matches(x, '^(-[ \\t]*-[ \\t]*-[- \\t]*|\\*[ \\t]*\\*[ \\t]*\\*[* \\t]*|_[ \\t]*_[ \\t]*_[_ \\t]*)$') AS is_break FROM (SELECT p_partkey, {_BREAK} AS x FROM part)")
 def thematic_breaks(spark, d):
     x = _parts(spark, d).select(F.col("p_partkey").alias("source_id"), F.expr(_BREAK).alias("text"))
-    n = DocFrame(x).nodes().where("depth = 1")
+    n = DocFrame(x).nodes(depth=1)
     kernel = n.select("source_id", (F.col("tag") == "hr").alias("is_break"))
     native = x.select("source_id", X.is_thematic_break(F.col("text")).alias("is_break"))
     return kernel.intersectAll(native)
@@ -372,7 +372,7 @@ def footnote_unreferenced(spark, d):
 
 @query("SELECT n_regionkey AS source_id, count(*)::BIGINT AS backrefs FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY n_regionkey")
 def footnote_section(spark, d):
-    n = DocFrame(_notes(spark, d)).nodes().where(F.exists("props", lambda p: p["name"] == "dataFootnoteBackref"))
+    n = DocFrame(_notes(spark, d)).nodes(tags=["a"]).where(F.exists("props", lambda p: p["name"] == "dataFootnoteBackref"))
     return n.groupBy("source_id").agg(F.count(F.lit(1)).alias("backrefs"))
 
 
@@ -389,7 +389,7 @@ def _elements(spark, d):
 @query(f"SELECT r_regionkey || '-' || t AS source_id, {_BUILT} AS tag FROM region, (VALUES {_TAGS}) v(t) WHERE t NOT IN ('script', 'iframe')")
 def sanitize_elements(spark, d):
     x = _elements(spark, d).select(F.col("id").alias("source_id"), _s("<", "@t", ">").alias("text"))
-    return DocFrame(x).nodes().where("depth = 1").select("source_id", "tag")
+    return DocFrame(x).nodes(depth=1).select("source_id", "tag")
 
 
 @query(f"SELECT r_regionkey || '-' || t AS source_id, {_BUILT} AS tag FROM region, (VALUES {_TAGS}) v(t) WHERE t NOT IN ('script', 'iframe')")
@@ -1240,7 +1240,7 @@ _START = "CASE p_partkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '007' WHEN 2 THEN repea
 @query("SELECT p_partkey AS source_id, p_partkey % 4 <> 3 AS is_list, CASE p_partkey % 4 WHEN 1 THEN 7.0 WHEN 2 THEN 9223372036854775808.0 END::DOUBLE AS start FROM part")
 def list_numbers(spark, d):
     """Leading noughts, numbers of 400 digits, and digits of other scripts, which number nothing."""
-    n = DocFrame(_one(_parts(spark, d), "p_partkey", F.concat(F.expr(_START), F.lit(". x")))).nodes().where("depth = 1")
+    n = DocFrame(_one(_parts(spark, d), "p_partkey", F.concat(F.expr(_START), F.lit(". x")))).nodes(depth=1)
     return n.select("source_id", (F.col("tag") == "ol").alias("is_list"), F.when(F.size("props") > 0, F.col("props")[0]["n"]).alias("start"))
 
 

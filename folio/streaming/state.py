@@ -56,7 +56,7 @@ def reference_changes(stream: DataFrame, text_col: str, id_col: str, version_col
     """CHANGES: for each version of a source the references that the version before didn't have, and those it had and this one doesn't.
 
     A first version adds all. Versions that come after a newer one was seen are passed over; of two with one time both count, in the order of their texts' hashes. keep_ms: a source without a
-    new version for so long (of processing time) is forgotten, and then starts anew; None keeps it. References are found before the shuffle, which carries names, not texts.
+    new version for so long (of processing time) is forgotten, and then starts anew, and the query runs until it is stopped; None keeps it. References are found before the shuffle, which carries names, not texts.
     Null ids are one source. Works on streams only (output mode append or update); sums over the changes give what the last versions hold.
     """
     o = blocks.Options(**options)

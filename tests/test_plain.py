@@ -43,9 +43,9 @@ def test_outputs_are_the_same_either_way(spark, options):
     parsed = {i: blocks.parse(t, o) for i, t in enumerate(some)}
     assert {r.source_id: r.html for r in d.html().collect()} == {i: tree.to_html(p.root) for i, p in parsed.items()}
     assert {r.source_id: (r.bytes, r.nodes) for r in d.stats().collect()} == {i: (len((some[i] or "").encode()), sum(1 for _ in p.root.walk())) for i, p in parsed.items()}
-    for wanted in ({}, {"content": True}, {"tags": ["p", "li"]}, {"types": ["text"]}, {"types": ["root", "element"], "content": True}, {"tags": ["h1"]}):
+    for wanted in ({}, {"content": True}, {"tags": ["p", "li"]}, {"types": ["text"]}, {"types": ["root", "element"], "content": True}, {"tags": ["h1"]}, {"depth": 0}, {"depth": 1}, {"depth": 2, "types": ["text"]}):
         got = d.nodes(**wanted)
-        want = [(i, *r) for i, p in parsed.items() for r in _node_rows(p.root, o.documents, *(frozenset(wanted[k]) if k in wanted else None for k in ("tags", "types")), wanted.get("content", False))]
+        want = [(i, *r) for i, p in parsed.items() for r in _node_rows(p.root, o.documents, *(frozenset(wanted[k]) if k in wanted else None for k in ("tags", "types")), wanted.get("content", False), wanted.get("depth"))]
         plain = lambda r: tuple([tuple(p) for p in v] if isinstance(v, list) else v for v in r)
         assert sorted(map(plain, got.collect()), key=lambda r: r[:2]) == sorted(map(plain, want), key=lambda r: r[:2]), wanted
     assert d.messages().count() == sum(len(p.messages) for p in parsed.values())

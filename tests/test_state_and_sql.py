@@ -21,7 +21,13 @@ def replay(spark, tmp_path, batches, keep_ms=None):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
         changes = reference_changes(spark.readStream.schema(schema).parquet(str(src)), "text", "id", "at", keep_ms)
-        changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
+        w = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check"))
+        if keep_ms is None:
+            w.trigger(availableNow=True).start().awaitTermination(120)
+        else:  # runs on, since states may end without new rows
+            q = w.start()
+            q.processAllAvailable()
+            q.stop()
     order = ["version", "source_id", F.desc("added"), "kind", "name"]
     return [tuple(r) for r in spark.read.schema(CHANGES).parquet(out).orderBy(*order).collect()]
 
