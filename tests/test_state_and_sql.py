@@ -1,6 +1,7 @@
 """Streaming state, sessions, and table functions in SQL text."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +27,10 @@ def replay(spark, tmp_path, batches, keep_ms=None):
             w.trigger(availableNow=True).start().awaitTermination(120)
         else:  # runs on, since states may end without new rows
             q = w.start()
-            q.processAllAvailable()
+            for _ in range(120):
+                if any(p["numInputRows"] for p in q.recentProgress):
+                    break
+                time.sleep(0.5)
             q.stop()
     order = ["version", "source_id", F.desc("added"), "kind", "name"]
     return [tuple(r) for r in spark.read.schema(CHANGES).parquet(out).orderBy(*order).collect()]
