@@ -153,6 +153,16 @@ class DocFrame:
         tags, types = (None if x is None else frozenset(x) for x in (tags, types))
         return self._rows(NODES + (", content string" if content else ""), lambda t: _node_rows(tree(t), documents, tags, types, content, depth), df)
 
+    def element_counts(self, tags: Iterable[str] | None = None) -> DataFrame:
+        """How many elements of each tag a source has, of those that it has: counted next to the tree, with no row for an element."""
+        o = self.options
+        tags = None if tags is None else frozenset(tags)
+        marked, plain = self._split()
+        got = self._rows("tag string, n long", lambda t: ((k, n) for k, n in blocks.count_elements(t, o).items() if tags is None or k in tags), marked)
+        if plain is None or (tags is not None and "p" not in tags):
+            return got
+        return got.unionByName(plain.select("source_id", F.lit("p").alias("tag"), ((X.plain_nodes(F.col("text")) - 1) / 2).cast("long").alias("n")))
+
     def links(self) -> DataFrame:
         """Links in the text as plain text: start, end (code points, end exclusive), mailto."""
         return self._marked_rows("ord int, start int, end int, mailto boolean, url string", lambda t: ((i, k.start, k.end, k.mailto, t[k.start : k.end]) for i, k in enumerate(find_links(t or ""))))

@@ -112,3 +112,26 @@ def test_deep_and_long_sources_end_no_job(spark):
     docs = DocFrame(spark.createDataFrame(list(enumerate(texts)), "source_id long, text string"))
     assert docs.html().count() == docs.json().count() == docs.stats().count() == docs.yaml().count() == 4
     assert docs.references().count() == 0 and docs.nodes().where("tag = 'ul'").count() == 500
+
+
+def test_element_counts(spark):
+    """As many as node rows, without a row for each; deep steps cost no more than shallow ones."""
+    texts = ["= Bed\n\n- hoe **now**\n    - a\n      x", " " * 40 + "x\n" + " " * 47 + "y", "\t<td>\n\t\t    z", "", None, "Plain words.\n\nMore words, two\nlines.", "<script>\n  x"]
+    docs = DocFrame(spark.createDataFrame(list(enumerate(texts)), "source_id long, text string"))
+    want = {(r.source_id, r.tag): r["count"] for r in docs.nodes(types=["element"]).groupBy("source_id", "tag").count().collect()}
+    assert {(r.source_id, r.tag): r.n for r in docs.element_counts().collect()} == want
+    assert {(r.source_id, r.tag): r.n for r in docs.element_counts(["div", "p"]).collect()} == {k: n for k, n in want.items() if k[1] in ("div", "p")}
+    deep = DocFrame(spark.createDataFrame([(1, " " * 2_000_000 + "x")], "source_id long, text string"))
+    assert [tuple(r) for r in deep.element_counts(["div"]).collect()] == [(1, "div", 1_000_000)]
+
+
+def test_sources_of_a_small_file_are_dealt_out(spark, tmp_path):
+    """A file of few bytes holds many rows; its scan is one task, its texts are written and parsed in many."""
+    from folio.plans import features  # noqa: F401  adds its queries to the catalog
+    from folio.plans.catalog import QUERIES
+
+    part = spark.range(400).selectExpr("id p_partkey", "'a b' p_name", "'B' p_brand", "cast(id % 50 + 1 as int) p_size")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("deep_indentation", "markdown_lists", "yaml_folding", "markdown_breaks_and_html"):
+        used = QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count()
+        assert used >= 2 * spark.sparkContext.defaultParallelism, name
