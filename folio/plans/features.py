@@ -96,13 +96,18 @@ def sessions_of_edits(spark, d):
 
 @query("SELECT n_regionkey, count(DISTINCT c_name)::BIGINT AS exact, true AS near FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey")
 def tag_sketches(spark, d):
-    """Distinct names from sketches: one per nation, kept, then merged by region; within 3 per cent of the exact number."""
-    names = DocFrame(_by_nation(spark, d)).references().where("kind = 'mention'")
-    daily = R.name_sketches(names, F.floor(F.col("source_id") / 1_000_000).cast("int").alias("n_nationkey"))
-    merged = R.merged_sketches(daily.join(F.broadcast(_table(spark, d, "nation")), "n_nationkey"), "n_regionkey")
+    """Distinct names from sketches: one per nation, kept, then merged by region; within 3 per cent of the exact number.
+
+    A name is written as its bytes' digits, since equal names may stand under several keys and hold what ends a mention.
+    """
     c = _table(spark, d, "customer").join(F.broadcast(_table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.struct(F.col("c_nationkey").alias("nation"), F.expr("c_custkey DIV 1000").alias("block"))
+    names = DocFrame(_written(c, key, "c_custkey", F.concat(F.lit("- @n"), F.hex("c_name")))).references().where("kind = 'mention'")
+    daily = R.name_sketches(names, F.col("source_id")["nation"].alias("n_nationkey"), within=0.03)
+    merged = R.merged_sketches(daily.join(F.broadcast(_table(spark, d, "nation")), "n_nationkey"), "n_regionkey")
     exact = c.groupBy("n_regionkey").agg(F.countDistinct("c_name").alias("exact"))
-    return merged.join(exact, "n_regionkey").select("n_regionkey", "exact", (F.abs(F.col("names") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"))
+    off = F.abs(F.coalesce("names", F.lit(0)) - F.col("exact"))
+    return exact.join(merged, "n_regionkey", "left").select("n_regionkey", "exact", (off <= 0.03 * F.col("exact")).alias("near"))
 
 
 @query(

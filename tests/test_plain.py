@@ -72,3 +72,22 @@ def test_aggregates(spark):
     whole = R.merged_sketches(R.name_sketches(names, F.col("day")).withColumn("all", F.lit(1)), "all").first().names
     assert abs(whole - 50_000) < 0.05 * 50_000
     assert R.common_prefix(df.limit(0), "k", "name").count() == 0
+
+
+def test_sketches_are_within_the_error_asked_for(spark):
+    names = spark.range(300_000).select((F.col("id") % 60).alias("day"), F.concat(F.lit("user"), F.col("id")).alias("name"))
+    off = F.abs(F.col("names") / 5_000 - 1)
+    assert R.merged_sketches(R.name_sketches(names, F.col("day")), "day").where(off > 0.03).count() == 0
+    assert R.merged_sketches(R.name_sketches(names, F.col("day"), within=0.1), "day").where(off > 0.1).count() == 0
+
+
+def test_names_that_stand_under_several_keys(spark, tmp_path):
+    """Names are counted, not keys: a table repeated with shifted keys has no more of them. Any name counts."""
+    from folio.plans import features  # noqa: F401  adds its queries to the catalog
+    from folio.plans.catalog import QUERIES
+
+    name = "CASE id % 500 WHEN 0 THEN '' WHEN 1 THEN '#a b' WHEN 2 THEN '#a' WHEN 3 THEN NULL ELSE concat('Customer#', id % 500) END"
+    customer = spark.range(3_000).selectExpr("id + 10000 * (id DIV 500) c_custkey", f"{name} c_name", "cast(id % 2 as int) c_nationkey", "'x' c_mktsegment")
+    customer.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT * FROM VALUES (0, 'A', 7), (1, 'B', 7) t(n_nationkey, n_name, n_regionkey)").write.parquet(f"{tmp_path}/nation.parquet")
+    assert [tuple(r) for r in QUERIES["tag_sketches"](spark, str(tmp_path)).collect()] == [(7, 499, True)]
