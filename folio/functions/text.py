@@ -156,6 +156,14 @@ def names(c: Column, sigil: str) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){sigil}((?:[\p{{L}}_]|(?![0-9])\p{{N}})(?:[\p{{L}}\p{{N}}_\-]*[\p{{L}}\p{{N}}_])?)"), F.lit(1))
 
 
+def addresses(c: Column) -> Column:
+    """array<string>: bare e-mail addresses of a text, whatever stands around them, from left to right.
+
+    A name is taken whole or not at all, from its first character or the end of the address before it, and nothing is given back: length is no matter.
+    """
+    return F.regexp_extract_all(c, F.lit(r"(?:\G|(?<![A-Za-z0-9.]))[A-Za-z0-9.]++@[a-z0-9]++(?:\.[a-z$]++)++"), F.lit(0))
+
+
 def typography(c: Column) -> Column:
     """Arrows, ellipses and dashes of text without raw spans."""
     for seq, pic in (("<-->", "↔"), ("<==>", "⇔"), ("-->", "→"), ("<--", "←"), ("==>", "⇒"), ("<==", "⇐")):

@@ -89,6 +89,23 @@ def test_long_address_is_whole(spark, tmp_path):
     assert [r.address for r in QUERIES["emails"](spark, str(tmp_path)).collect()] == [address]
 
 
+def test_addresses_in_any_text(spark, tmp_path):
+    """Addresses beside signs, in comments, elements and code, by hundreds, and in long runs without any: as the SQL finds them."""
+    import random
+
+    import duckdb
+
+    from folio.plans.catalog import ORACLE, QUERIES
+
+    rng = random.Random(4)
+    bits = ["ab.c", "X9", "@", "@", ".", ".com", ".de$", "mail.ex", "|", "<", ">", "# ", "**", "``", "_", "-", " ", "\n", "\n    ", "é", "[[", "$", ":", "+++\n"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(2, 24))) for _ in range(3_000)]
+    texts += ["# a@b.com", "<x a@b.com", "``a@b.com``", "a@b.com|", "a@b.comX.y@c.de", "- a@b.com\n" * 700, "a@b.com " * 700, None, "", "x" * 1_000_000 + " a@b.com", "a@b" + ".c" * 200_000, "a." * 500_000 + "@"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, QUERIES["emails"](spark, str(tmp_path)).collect())) == sorted(duckdb.sql(ORACLE["emails"]).fetchall())
+
+
 def test_ids_and_narrow_outputs(spark):
     """Ids beyond 2 ** 53 beside null keep their digits; narrow outputs agree with filters on the whole."""
     rows = [(2**60 + 1, "= Bed\n\n- hoe **now**\n- http://a.example/x"), (None, "see mail@b.example"), (2**60 + 3, None), (5, "")]
