@@ -63,6 +63,13 @@ def test_sessions(spark):
     assert got == {("a", at(0)): (at(40), 2), ("a", at(45)): (at(75), 1), ("a", at(100)): (at(130), 1), ("b", at(5)): (at(35), 1)}
 
 
+def test_sessions_of_equal_times(spark):
+    """Versions of one time are in one session, and a pause as long as the gap doesn't end it."""
+    rows = [("a", at(m)) for m in (0, 0, 40, 40, 40, 70, 70)]
+    got = {r.start: (r.end, r.versions) for r in edit_sessions(spark.createDataFrame(rows, "id string, at timestamp").repartition(3), "id", "at").collect()}
+    assert got == {at(0): (at(30), 2), at(40): (at(100), 5)}
+
+
 @pytest.fixture(scope="module")
 def notes(spark):
     sql.register(spark)
