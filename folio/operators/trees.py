@@ -191,7 +191,7 @@ def graft(nodes: DataFrame, at: DataFrame, trees: DataFrame) -> DataFrame:
     tree's name; its root row is replaced by its children if it is a root, else it is grafted itself. Ids are given anew, so that the result is in
     pre-order again: rows after a graft move up by its size, counted by a window over (source_id, node_id). Trees must not be below themselves; places
     (line and column) go with the rows. A target that isn't in nodes, or holds no children (a text), or a
-    tree without rows, changes nothing. Rows with a null source_id are left out.
+    tree without rows, changes nothing. Rows with a null source_id are left out. Both tables are read several times: persist what is dear to make.
     """
     names = ["node_id", "parent_id", "ordinal", "depth", "document", "type", "tag", "value", "props", *_PLACE]
     wide = lambda df: df.withColumn("node_id", F.col("node_id").cast("long")).withColumn("parent_id", F.col("parent_id").cast("long"))

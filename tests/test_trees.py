@@ -161,3 +161,13 @@ def test_unclosed_wiki_links_take_linear_time():
     assert took(40_000) < 12 * max(took(8_000), 0.02)
     html = tree.to_html(blocks.parse("[[ a [[ b ]] c [[ [[e]] [[", blocks.Options()).root)
     assert html == '<p><a href="a--b">a [[ b</a> c <a href="e">[[e</a> [[</p>'
+
+
+def test_grafted_tables_are_parsed_once(spark, tmp_path, capsys):
+    """A graft reads both node tables several times; the query keeps them."""
+    from folio.plans.catalog import QUERIES
+
+    spark.range(30).selectExpr("id c_custkey", "cast(id % 2 as int) c_nationkey", "'x' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    QUERIES["grafted_html"](spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert "InMemoryTableScan" in plan and "Scan parquet" in plan
