@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ PER_LABEL = 3_000
 LONGEST_TEXT, SAMPLE_BYTES = 1_000_000, 16_000_000  # of a text, and of all texts of a label, in the sample
 BITS = 20  # hashed words
 PREFIXES = (4, 5, 6)
+PART = 500_000  # features and sentences that the driver works on at once
 MIN_TEXTS = 4  # texts of the sample that a word must be in
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)|[.!?\n]+")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -54,17 +56,42 @@ def tokens(sentence: str) -> list[str]:
 
 
 class Bags:
-    """Texts as flat arrays: distinct features of all sentences, the sentence of each, the bag of each sentence."""
-
-    def __init__(self, feats: np.ndarray, per_sentence: np.ndarray, per_bag: np.ndarray):
-        self.n_sents, self.n_bags = len(per_sentence), len(per_bag)
-        sent = np.repeat(np.arange(self.n_sents), per_sentence)
-        pairs = np.unique(sent << BITS | feats)
-        self.sent, self.feats = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        self.bag = np.repeat(np.arange(self.n_bags), per_bag)
-
-    def logits(self, w: np.ndarray, b: float) -> np.ndarray:
-        return np.bincount(self.sent, w[self.feats], self.n_sents) + b
+    """Texts as flat arrays: the features of all sentences, ascending and once in each, how many each sentence has, how many features
+    and sentences each bag has. Numbers of 32 bits, and worked on in parts of whole bags: the driver's memory holds little more than the arrays."""
+
+    def __init__(self, feats: np.ndarray, per_sentence: np.ndarray, bag_feats: np.ndarray, bag_sents: np.ndarray):
+        self.feats, self.per_sentence, self.bag_feats, self.bag_sents = feats, per_sentence, bag_feats, bag_sents
+        self.n_sents, self.n_bags = len(per_sentence), len(bag_sents)
+
+    def parts(self) -> list[tuple[slice, slice, slice]]:
+        """Bags, sentences and features of stretches of about PART features and sentences, or of one larger bag."""
+        size = np.cumsum(self.bag_feats + self.bag_sents)
+        f, s = (np.concatenate(([0], np.cumsum(x))) for x in (self.bag_feats, self.bag_sents))
+        out, at = [], 0
+        while at < self.n_bags:
+            to = max(at + 1, int(np.searchsorted(size, PART + (size[at - 1] if at else 0), "right")))
+            out.append((slice(at, to), slice(s[at], s[to]), slice(f[at], f[to])))
+            at = to
+        return out
+
+    def logits(self, sents: slice, feats: slice, w: np.ndarray, b: float) -> np.ndarray:
+        per = self.per_sentence[sents]
+        return np.bincount(np.repeat(np.arange(len(per)), per), w[self.feats[feats]], len(per)) + b
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Only these features (ascending), by their place among them."""
+        place = np.full(1 << BITS, -1, np.int32)
+        place[wanted] = np.arange(len(wanted), dtype=np.int32)
+        end = 0
+        for bags, sents, feats in self.parts():  # in place: what is written is behind what is read
+            new, per, n = place[self.feats[feats]], self.per_sentence[sents], self.bag_sents[bags]
+            of = np.repeat(np.arange(len(per)), per)[new >= 0]
+            new, per = new[new >= 0], np.bincount(of, minlength=len(per))
+            self.feats[end : end + len(new)] = new
+            self.per_sentence[sents] = per
+            self.bag_feats[bags] = np.bincount(np.repeat(np.arange(len(n)), n), per, len(n)).astype(np.int64)
+            end += len(new)
+        self.feats = self.feats[:end]
 
 
 def noisy_or(logits: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
@@ -74,26 +101,35 @@ def noisy_or(logits: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
 
 def train(x: Bags, labels: np.ndarray, weight: np.ndarray, steps: int = 120, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the weighted cross-entropy of noisy-or. Words of few texts keep weight 0."""
-    pairs = np.unique(x.bag[x.sent].astype(np.int64) << BITS | x.feats)
-    feats = pairs & ((1 << BITS) - 1)
-    often = np.bincount(feats, minlength=1 << BITS)
+    often, ones = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+    for bags, _, feats in x.parts():
+        n = x.bag_feats[bags]
+        pairs = np.unique(np.repeat(np.arange(len(n)), n) << BITS | x.feats[feats])
+        names = pairs & ((1 << BITS) - 1)
+        often += np.bincount(names, minlength=1 << BITS)
+        ones += np.bincount(names, labels[bags][pairs >> BITS], 1 << BITS)
     names = np.flatnonzero(often >= MIN_TEXTS)
     # start from half the log odds of a word's texts, where they speak for label 1: words that many texts share lead
-    ones = np.bincount(feats, labels[pairs >> BITS], 1 << BITS)[names]
+    ones = ones[names]
     zeros = often[names] - ones
     odds = np.log((ones + 0.5) / (labels.sum() + 1)) - np.log((zeros + 0.5) / ((1 - labels).sum() + 1))
-    keep = often[x.feats] >= MIN_TEXTS
-    x.feats, x.sent = np.searchsorted(names, x.feats[keep]), x.sent[keep]
+    x.keep(names)
     w, b = np.maximum(0, odds) / 2, -6.0
     first = w.copy()
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    g, parts = np.zeros(x.n_sents), x.parts()
     for t in range(1, steps + 1):
-        z = x.logits(w, b)
-        p = np.clip(noisy_or(z, x.bag, x.n_bags), 1e-7, 1 - 1e-7)
-        # d loss / d log(prod(1 - p_s)) for each bag, times the sentence's sigmoid
-        outer = weight * (np.where(labels == 1, -(1 - p) / p, 1.0))
-        g = outer[x.bag] / (1 + np.exp(-z))
-        gw = np.bincount(x.feats, g[x.sent], len(names)) / weight.sum() + l2 * (w - first)
+        gw = np.zeros(len(names))
+        for bags, sents, feats in parts:
+            n = x.bag_sents[bags]
+            bag = np.repeat(np.arange(len(n)), n)
+            z = x.logits(sents, feats, w, b)
+            p = np.clip(noisy_or(z, bag, len(n)), 1e-7, 1 - 1e-7)
+            # d loss / d log(prod(1 - p_s)) for each bag, times the sentence's sigmoid
+            outer = weight[bags] * (np.where(labels[bags] == 1, -(1 - p) / p, 1.0))
+            g[sents] = outer[bag] / (1 + np.exp(-z))
+            np.add.at(gw, x.feats[feats], np.repeat(g[sents], x.per_sentence[sents]))  # one by one, so that parts make no difference
+        gw = gw / weight.sum() + l2 * (w - first)
         gb = g.sum() / weight.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
@@ -124,16 +160,16 @@ def _sample_features(docs: DataFrame, labels: DataFrame, per_label: int) -> tupl
             fs, ls = [], []
             for t in b["text"]:
                 t = t if isinstance(t, str) else ""
-                each = [features(tokens(t[i:j])) for i, j in sentences(t)]
+                each = [sorted(set(features(tokens(t[i:j])))) for i, j in sentences(t)]
                 fs.append([f for s in each for f in s])
                 ls.append([len(s) for s in each])
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "feats": fs, "lens": ls})
 
-    rows = texts.mapInPandas(flat, "doc_id long, label int, feats array<int>, lens array<int>").orderBy("doc_id").toArrow().combine_chunks()
-    column = lambda k: rows[k].combine_chunks() if hasattr(rows[k], "combine_chunks") else rows[k]
-    flat_of = lambda k: column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = texts.mapInPandas(flat, "doc_id long, label int, feats array<int>, lens array<int>").orderBy("doc_id").toArrow()
+    flat_of = lambda k: np.concatenate([c.flatten().to_numpy() for c in rows[k].chunks] or [np.zeros(0, np.int32)])
+    sizes_of = lambda k: pc.list_value_length(rows[k]).to_numpy().astype(np.int64)
     y = rows["label"].to_numpy().astype(np.int64)
-    bags = Bags(flat_of("feats"), flat_of("lens"), np.array([len(x) for x in column("lens")], np.int64))
+    bags = Bags(flat_of("feats"), flat_of("lens"), sizes_of("feats"), sizes_of("lens"))
     here = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     return bags, y, np.array([counts.get(int(k), 0) / here[int(k)] for k in y]), counts
 

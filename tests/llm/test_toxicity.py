@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from folio.llm import toxicity
-from folio.llm.common import crc_bucket
+from folio.llm.common import crc_bucket, staged
 from folio.llm.toxicity import fit, noisy_or, score, sentences
 
 
@@ -85,3 +87,18 @@ def test_scores_against_a_plain_loop(spark):
             if p >= 0.5:
                 spans.append((s, e, round(p, 5)))
         assert abs(r.score - (1 - left)) < 1e-5 and [(x.start, x.end, round(x.p, 5)) for x in r.spans] == spans
+
+
+def test_training_takes_little_more_than_the_sample(spark, monkeypatch):
+    """The driver holds hashed words in 32 bits and works on parts of them; parts make no difference to the weights."""
+    text = F.expr("concat(array_join(transform(sequence(1, 2500), i -> concat('word', (id * 131 + i * 7) % 1500, if(i % 9 = 0, '.', ''))), ' '), if(id % 3 = 0, ' vile', ''))")
+    docs = staged(spark.range(600).select(F.col("id").alias("doc_id"), text.alias("text")))
+    labels = spark.range(600).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS label")
+    tracemalloc.start()
+    w, b = fit(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.count_nonzero(w) and most < 150e6, most
+    monkeypatch.setattr(toxicity, "PART", 60_000)
+    again, c = fit(docs, labels)
+    assert b == c and (w == again).all()
