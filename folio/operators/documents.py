@@ -167,6 +167,10 @@ class DocFrame:
         """Links in the text as plain text: start, end (code points, end exclusive), mailto."""
         return self._marked_rows("ord int, start int, end int, mailto boolean, url string", lambda t: ((i, k.start, k.end, k.mailto, t[k.start : k.end]) for i, k in enumerate(find_links(t or ""))))
 
+    def link_counts(self) -> DataFrame:
+        """How many links a text has, of those that have any: counted next to the text, with no row for a link."""
+        return self._marked_rows("n long", lambda t: [(n,)] if (n := len(find_links(t or ""))) else [])
+
     def apply(self, function: Callable[[Node], Iterable[tuple]], schema: str) -> DataFrame:
         """Rows that a function of the user's own makes of each tree."""
         o = self.options

@@ -142,6 +142,20 @@ def test_element_counts(spark):
     assert [tuple(r) for r in deep.element_counts(["div"]).collect()] == [(1, "div", 1_000_000)]
 
 
+def test_link_counts(spark, tmp_path):
+    """As many as rows of links, without a row for each, and no shuffle to count them."""
+    from folio.plans.catalog import QUERIES
+
+    texts = ["http://a.example/ b@c.example //d.example/x " * k for k in range(4)] + [None, "plain", "http:// a"]
+    docs = DocFrame(spark.createDataFrame(list(enumerate(texts)), "source_id long, text string"))
+    want = {r.source_id: r["count"] for r in docs.links().groupBy("source_id").count().collect()}
+    assert {r.source_id: r.n for r in docs.link_counts().collect()} == want == {1: 3, 2: 6, 3: 9}
+    spark.range(3).selectExpr("id s_suppkey", "cast(id AS int) s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["many_links"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(0, 900), (1, 901), (2, 902)]
+    assert "HashAggregate" not in got._jdf.queryExecution().toString()
+
+
 def test_sources_of_a_small_file_are_dealt_out(spark, tmp_path):
     """A file of few bytes holds many rows; its scan is one task, its texts are written and parsed in many."""
     from folio.plans import features  # noqa: F401  adds its queries to the catalog
