@@ -166,3 +166,15 @@ def test_sources_of_a_small_file_are_dealt_out(spark, tmp_path):
     for name in ("deep_indentation", "markdown_lists", "yaml_folding", "markdown_breaks_and_html"):
         used = QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count()
         assert used >= 2 * spark.sparkContext.defaultParallelism, name
+
+
+def test_texts_of_customers_and_suppliers_are_dealt_out(spark, tmp_path):
+    """As those of parts: one task of the scan, many tasks of the kernel, and the whole result."""
+    from folio.plans.catalog import QUERIES
+
+    spark.range(400).selectExpr("id c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).selectExpr("id s_suppkey", "cast(id % 9 AS int) s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    for name in ("markdown_quotes", "many_links"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert got.count() == 400
+        assert got.select(F.spark_partition_id()).distinct().count() >= 2 * spark.sparkContext.defaultParallelism, name

@@ -171,3 +171,32 @@ def test_depth_has_a_bound_and_time_is_linear():
     for line in ("- a\n", "> a\n", "a\n\n", "- a\n\n  b\n", "    code\n\n"):
         took(line * 100)
         assert took(line * 8_000) < 14 * max(took(line * 1_600), 0.01)
+
+
+#: Lines that start with letters, lazy ones, and headings inside other blocks.
+LETTERS = [
+    ('> # a b\n> - ## c\n\nd e\n===', '<blockquote>\n<h1 id="a-b">a b</h1>\n<ul>\n<li><h2 id="c">c</h2></li>\n</ul>\n</blockquote>\n<h1 id="d-e">d e</h1>'),
+    ('ªb\n- x\n\tya\n\néa|b\n-|-', '<p>ªb</p>\n<ul>\n<li>x\nya</li>\n</ul>\n<table>\n<thead>\n<tr>\n<th>éa</th>\n<th>b</th>\n</tr>\n</thead>\n</table>'),
+    ('> > a\nlazy\n\nb<br>\n<div>\nc', '<blockquote>\n<blockquote>\n<p>a\nlazy</p>\n</blockquote>\n</blockquote>\n<p>b&#x3C;br></p>\n<div>\nc\n'),
+    ('a  \nb\\\nc\n\n<div>\n# d\n</div>\n\n# e', '<p>a<br>b<br>c</p>\n<div>\n# d\n</div>\n\n<h1 id="e">e</h1>'),
+]
+
+
+@pytest.mark.parametrize("source,html", LETTERS)
+def test_lines_that_start_with_letters(source, html):
+    assert to_html(parse_markdown(source)) == html
+
+
+def test_no_pattern_of_a_block_is_tried_on_a_letter(monkeypatch):
+    """Such lines are most of a text; only a tree's headings are looked at again for their ids."""
+    tried = []
+
+    class Pattern:
+        def match(self, s):
+            tried.append(s)
+
+    for name in ("_SETEXT", "_HR", "_ITEM", "_TABLE", "_ATX", "_FENCE"):
+        monkeypatch.setattr(f"folio.kernels.markdown.{name}", Pattern())
+    monkeypatch.setattr("folio.kernels.tree.Node.walk", lambda self: tried.append(self) or iter(()))
+    assert to_html(parse_markdown("> c5\nlazy|x\n\néa b")) == "<blockquote>\n<p>c5\nlazy|x</p>\n</blockquote>\n<p>éa b</p>"
+    assert not tried
