@@ -215,3 +215,22 @@ def test_emoticons():
     colon = {f: p for f, p in vocab.EMOTICONS.items() if ":" in f and f != ":-"}
     assert all(vocab.EMOTICONS[f.replace(":", "=")] == p for f, p in colon.items())
     assert all(re.fullmatch("[!-~]{2,5}", f) for f in vocab.EMOTICONS)
+
+
+def test_words_and_lines_of_yaml_are_told_once(monkeypatch):
+    """No number is sought in a word, no comment where no # is, and no pattern is looked up by its text; the values stay."""
+    tried = []
+
+    class Pattern:
+        def match(self, s):
+            tried.append(s)
+
+        search = match
+
+    for name in ("_INT", "_FLOAT", "_COMMENT"):
+        monkeypatch.setattr(f"folio.kernels.yaml12.{name}", Pattern())
+    for name in ("match", "finditer"):
+        monkeypatch.setattr(re, name, lambda *a: tried.append(a) or iter(()))
+    assert read_yaml("---\na: plum\n c: e5\n  \n") == (None, "line 3: unexpected content after the document")
+    assert read_yaml("a: plum\n  two\nb: |\n  x\n   y\nc: e5\nd: 'it''s'\nNo: true\n") == ('{"a":"plum two","b":"x\\n y\\n","c":"e5","d":"it\'s","No":true}', None)
+    assert not tried
