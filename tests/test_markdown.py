@@ -200,3 +200,25 @@ def test_no_pattern_of_a_block_is_tried_on_a_letter(monkeypatch):
     monkeypatch.setattr("folio.kernels.tree.Node.walk", lambda self: tried.append(self) or iter(()))
     assert to_html(parse_markdown("> c5\nlazy|x\n\néa b")) == "<blockquote>\n<p>c5\nlazy|x</p>\n</blockquote>\n<p>éa b</p>"
     assert not tried
+
+
+@pytest.mark.parametrize(
+    "source,html",
+    [
+        ("a  \nb\\\nc\n\n<div>\nd\n</div>", "<p>a<br>b<br>c</p>\n<div>\nd\n</div>\n"),
+        ("a &lt; b  \n*c*  \n[d](e)", '<p>a &#x3C; b<br><em>c</em><br><a href="e">d</a></p>'),
+        ("a [b\nc](d) ~~e~~\\\nf", '<p>a <a href="d">b\nc</a> <del>e</del><br>f</p>'),
+        ("a ] b * c\n![d", "<p>a ] b * c\n![d</p>"),
+    ],
+)
+def test_breaks_with_and_without_marks(source, html):
+    assert to_html(parse_markdown(source)) == html
+
+
+def test_lines_of_a_paragraph_are_measured_once(monkeypatch):
+    from folio.kernels import markdown
+
+    measured, indent = [], markdown._indent
+    monkeypatch.setattr(markdown, "_indent", lambda s, col: measured.append(s) or indent(s, col))
+    assert to_html(parse_markdown("a  \nb\\\nc\nd")) == "<p>a<br>b<br>c\nd</p>"
+    assert measured == ["a  ", "b\\", "c", "d"]
